@@ -227,7 +227,7 @@ def link_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame
             wanted = wanted.join(sets_of.select("node"), "node", "left_anti")
         ids = materialize(buckets.select(F.col("m.node").alias("node"), "doc_id").distinct().join(wanted, "node", "left_semi"), "wanted")
         few = ids.count() <= BROADCAST_ROWS
-        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(ids["doc_id"]) if False else "doc_id")
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids) if few else ids, "doc_id")
         own = materialize(_shingle_sets(texts, k), "sets")
         sets_of = own if sets_of is None else sets_of.unionByName(own)
         found = _verify(edges, sets_of, percent)

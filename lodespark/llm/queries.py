@@ -22,6 +22,12 @@ def tokenizer(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import link_components
+
+    return link_components(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .records import token_records
 
@@ -51,4 +57,4 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_token_records, op6_decontaminate, op8_pack, op9_language_id)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_ngram_join, op4_token_records, op6_decontaminate, op8_pack, op9_language_id)}

@@ -3,6 +3,21 @@
 LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES: dict[str, str] = {
+    "op2_ngram_join": rf"""
+with recursive d as (select doc_id, regexp_extract_all(coalesce({LOWER}, ''), '[^\x20\x09-\x0D]+') w from documents),
+sh as (select distinct doc_id, array_to_string(list_slice(w, i, i + 3), ' ') || case when len(w) < 4 then '#' || len(w) else '' end g
+       from d, unnest(range(1, greatest(len(w) - 3, 1) + 1)) t(i) where len(w) > 0),
+n as (select doc_id, count(*) n from sh group by doc_id),
+rare as (select sh.doc_id, sh.g, row_number() over (partition by sh.doc_id order by f, sh.g) r
+         from sh join (select g, count(*) f from sh group by g) using (g)),
+pre as (select rare.doc_id, g from rare join n using (doc_id) where r <= n - ceil(n * 85 / 100.0) + 1),
+cand as (select distinct a.doc_id x, b.doc_id y from pre a join pre b on a.g = b.g and a.doc_id < b.doc_id),
+com as (select x, y, count(*) c from cand join sh a on a.doc_id = x join sh b on b.doc_id = y and a.g = b.g group by x, y),
+link as (select x, y from com join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= 85 * (a.n + b.n - c)),
+e as (select x, y from link union all select y, x from link),
+reach(s, v) as (select doc_id, doc_id from documents union select s, y from reach join e on v = x)
+select d.doc_id, cast(coalesce(n, 0) as bigint) n_shingles, c.component_id
+from d left join n using (doc_id) join (select s, min(v) component_id from reach group by s) c on c.s = d.doc_id""",
     "op6_decontaminate": rf"""
 with d as (select doc_id, regexp_extract_all(coalesce({LOWER}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
 b as (select item_id, regexp_extract_all(coalesce({LOWER}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark),
