@@ -3,6 +3,21 @@
 LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES: dict[str, str] = {
+    "op10_suffix_dedup": r"""
+with d as (select doc_id, lower(hex(encode(coalesce(text, '')))) x, octet_length(encode(coalesce(text, ''))) n from documents),
+w as (select doc_id, p, substr(x, 2 * p + 1, 200) s from d, unnest(range(0, greatest(n - 99, 0))) t(p)),
+f as (select md5_number(s) h, min(doc_id * 1000000000 + p) least from w group by h),
+cov as (select w.doc_id, p from w join f on md5_number(w.s) = f.h where w.doc_id * 1000000000 + p <> f.least),
+g as (select doc_id, p, lag(p) over (partition by doc_id order by p) before from cov),
+r as (select doc_id, p, sum(case when before is null or p - before > 100 then 1 else 0 end) over (partition by doc_id order by p) k from g),
+runs as (select doc_id, k, min(p) a, max(p) + 100 e from r group by doc_id, k),
+gaps as (select doc_id, coalesce(lag(e) over (partition by doc_id order by a), 0) a, a e from runs
+         union all select doc_id, max(e), null from runs group by doc_id),
+kept as (select g.doc_id, string_agg(substr(x, cast(2 * g.a + 1 as bigint), cast(2 * (coalesce(g.e, n) - g.a) as bigint)), '' order by g.a) x from gaps g join d using (doc_id) group by g.doc_id),
+tot as (select doc_id, sum(e - a) n_removed, count(*) n_spans from runs group by doc_id)
+select d.doc_id, cast(d.n as bigint) n_bytes, cast(coalesce(n_removed, 0) as bigint) n_removed, cast(coalesce(n_spans, 0) as bigint) n_spans,
+       sha256(unhex(coalesce(kept.x, d.x))) kept_sha256
+from d left join tot using (doc_id) left join kept using (doc_id)""",
     "op2_ngram_join": rf"""
 with recursive d as (select doc_id, regexp_extract_all(coalesce({LOWER}, ''), '[^\x20\x09-\x0D]+') w from documents),
 sh as (select distinct doc_id, array_to_string(list_slice(w, i, i + 3), ' ') || case when len(w) < 4 then '#' || len(w) else '' end g
