@@ -35,6 +35,17 @@ def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tiff import digest_texts
+
+    out = digest_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    tail = F.expr("substring(payload, greatest(octet_length(payload) - 15, 1), 16)")
+    return out.select(
+        "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(tail).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature",
+    )
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contaminated, find_contamination
 
@@ -64,4 +75,4 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_ngram_join, op4_token_records, op6_decontaminate, op8_pack, op9_language_id, op10_suffix_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_ngram_join, op4_token_records, op5_tiff, op6_decontaminate, op8_pack, op9_language_id, op10_suffix_dedup)}
