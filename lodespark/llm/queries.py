@@ -34,6 +34,12 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_components(table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_tree import extract
+
+    return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .records import token_records
 
@@ -87,4 +93,4 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_ngram_join, op4_token_records, op5_tiff, op6_decontaminate, op7_toxicity, op8_pack, op9_language_id, op10_suffix_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_ngram_join, op3_html_text, op4_token_records, op5_tiff, op6_decontaminate, op7_toxicity, op8_pack, op9_language_id, op10_suffix_dedup)}
