@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .tokens import Encoder, groups
+from .tokens import encoder, groups
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, nth long"
 
@@ -34,7 +34,7 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, size: int) -> DataFrame:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        enc = Encoder(tokenizer)
+        enc = encoder(tokenizer)
         nth = np.zeros(size + 1, np.int64)
         for b in batches:
             keys = b.column(0).to_pylist()

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, partitions_for, scratch
-from .tokens import Encoder, groups
+from .tokens import encoder, groups
 
 _DELTA = 0xA282EAD8
 _MANIFEST = "shard int, path string, n_docs long, n_ids long, n_bytes long"
@@ -87,7 +87,7 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int, out: str, shard_
         store, base = _open(out)
         store.create_dir(base, recursive=True)
         name = f"shard-{shard:06d}-{uuid.uuid4().hex}"
-        enc = Encoder(tokenizer)
+        enc = encoder(tokenizer)
         docs_n = ids_n = at = 0
         f = index = None
         for b in batches:

@@ -1,60 +1,106 @@
 """Exact tokenisation with the tokenizers library, remembering the ids of segments already seen.
 
-A byte-level BPE with the usual pre-tokenizer never joins characters across a single space that stands between two
-non-space characters, so a text's ids are those of its segments between such spaces, one after the other. Segments
-are looked up; those not seen yet are encoded by the library in one call for a batch of texts and told apart by their
-character offsets.
+A byte-level BPE never joins characters across a single space that stands between two non-space characters, so a text's
+ids are those of its segments between such spaces, one after the other. Segments are looked up. A new one of common
+characters is cut by the pre-tokenizer's pattern; pieces are looked up in turn, and a new piece goes to the library's BPE model
+itself. Any other new segment, and any tokenizer of another build, goes through the library's whole encode.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from array import array
+from functools import lru_cache
 
 import numpy as np
+import regex
+
+# Fixed values of byte-level BPE: the pre-tokenizer's pattern, and the character each byte is written as.
+PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_HIDDEN = [b for b in range(256) if b not in set(_SHOWN)]
+BYTES = {b: b for b in _SHOWN} | {b: 256 + n for n, b in enumerate(_HIDDEN)}
 
 #: A space with no kind of white space on either side (a superset of what any pre-tokenizer takes for white space).
-_EDGE = re.compile(r"(?<=[^\s\x1c-\x1f\x85​﻿]) (?=[^\s\x1c-\x1f\x85​﻿])")
-MEMO = 500_000
+_EDGE = re.compile("(?<=[^\\s\x1c-\x1f\x85\u200b\ufeff]) (?=[^\\s\x1c-\x1f\x85\u200b\ufeff])")
+#: Neither empty nor with such white space at an end.
+_SOLID = re.compile("[^\\s\x1c-\x1f\x85\u200b\ufeff](?:.*[^\\s\x1c-\x1f\x85\u200b\ufeff])?\\Z", re.S)
+#: Characters whose classes no Unicode version disputes.
+_COMMON = re.compile("[\t\n\r -~\xa1-\u024f]*")
+SEGMENTS, PIECES = 1_000_000, 500_000
+
 
+class _NotSolid(Exception):
+    """A space beside other white space: the text needs the exact split."""
 
-class Encoder:
-    """encode(texts) gives one unsigned array of ids for each text. `splits`: the tokenizer has the property above."""
 
-    def __init__(self, path: str, splits: bool = True):
+class Encoder(dict):
+    """encode(texts) gives one unsigned array of ids for each text. As a dict: segments (without their space) to packed ids."""
+
+    def __init__(self, path: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # a special token's string in a text is ordinary text
         self.dtype = np.uint16 if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
-        self.splits = splits
-        self.memo: dict[str, bytes] = {}
+        built = json.loads(self.tok.to_str())
+        before = built.get("pre_tokenizer") or {}
+        self.splits = built.get("normalizer") is None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and built["model"]["type"] == "BPE" and not built["model"].get("dropout")
+        self.model = self.tok.model
+        self.code = "H" if self.dtype is np.uint16 else "I"
+        self.pieces: dict[str, bytes] = {}
 
     def plain(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-
-    def _learn(self, new: list[str]) -> None:
-        joined = " " + " ".join(new)
-        e = self.tok.encode(joined, add_special_tokens=False)
-        ids = np.array(e.ids, self.dtype)
-        begin = np.fromiter((o[0] for o in e.offsets), np.int64, len(ids))
-        cut = np.searchsorted(begin, np.cumsum([0] + [len(w) + 1 for w in new]))
-        raw, wide = ids.tobytes(), ids.itemsize
-        for w, a, b in zip(new, (cut[:-1] * wide).tolist(), (cut[1:] * wide).tolist(), strict=True):
-            self.memo[w] = raw[a:b]
+        return array(self.code, self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        found = self.pieces[piece] = array(self.code, [t.id for t in self.model.tokenize(piece.encode().decode("latin1").translate(BYTES))]).tobytes()
+        return found
+
+    def __missing__(self, segment: str) -> bytes:
+        if not _SOLID.match(segment):
+            raise _NotSolid
+        text = " " + segment
+        if _COMMON.fullmatch(segment):
+            known = self.pieces
+            found = b"".join([known.get(p) or self._piece(p) for p in PATTERN.findall(text)])
+        else:
+            found = self.plain(text)
+        self[segment] = found
+        return found
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.splits:
             return [np.frombuffer(self.plain(t), self.dtype) for t in texts]
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        parts = [_EDGE.split(t) for t in texts]
-        new = {w: None for p in parts for w in p[1:] if w not in memo}
-        if new:
-            self._learn(list(new))
-        return [np.frombuffer(b"".join([self.plain(p[0]) if p[0] else b"", *map(memo.__getitem__, p[1:])]), self.dtype) for p in parts]
+        if len(self) > SEGMENTS:
+            self.clear()
+        if len(self.pieces) > PIECES:
+            self.pieces.clear()
+        out = []
+        for t in texts:
+            first, *rest = t.split(" ")
+            try:  # most texts have single spaces only
+                if rest and not _SOLID.match(first):
+                    raise _NotSolid
+                known = list(map(self.__getitem__, rest))
+            except _NotSolid:
+                first, *rest = _EDGE.split(t)
+                known = list(map(self.__getitem__, rest[:-1]))
+                for last in rest[-1:]:  # it alone may end in white space
+                    known.append(self[last] if _SOLID.match(last) else self.plain(" " + last))
+            known.insert(0, self.plain(first) if first else b"")
+            out.append(np.frombuffer(b"".join(known), self.dtype))
+        return out
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One for each Python worker, so that what one task has seen serves the next."""
+    return Encoder(path)
 
 
 def groups(texts, most: int = 1 << 20):
