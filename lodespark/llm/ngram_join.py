@@ -3,13 +3,14 @@
 A document's set is its distinct shingles of `k` words. A parity sketch is a bit vector in which every shingle flips one
 bit, so the Hamming distance of two sketches is at most the symmetric difference of the sets. Two sets that link differ
 in at most (s + t)(1 - J) / (1 + J) shingles, so sizes go in bands (a link joins the same or neighbouring bands), and for each
-band the sketch is cut into one block more than that difference can reach: in a linked pair some block has equal
+band the sketch is cut into more blocks than that difference can reach: in a linked pair some block has equal
 bits. Blocks are wide and sparse and are kept as the XOR of 64-bit codes of their set bits. Documents meet on
 (band, block, bits); a narrow 256-bit sketch and the sizes then drop pairs that cannot link, and whole shingle sets
 decide.
 
-An empty block says nothing, so documents with one meet on the blocks of a second division, and there of a third; in the
-last an empty block is a key by itself.
+An empty block says nothing. Some spare blocks make up for the usual number of empty ones; documents with more of them
+also meet on the blocks of a second division under the empty block's name, and there of a third; in the last an empty block is a
+key by itself.
 
 Buckets are not expanded into all pairs. Each bucket is first joined to one member, then to another one where its
 members are not connected yet; a last join takes members of different components only, so no link between components
@@ -30,11 +31,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED, U64, chunks, materialize, mix64, shingles, words
+from .common import SPACED, U64, chunks, materialize, mix64, partitions_for, shingles, words
 
 #: A set of candidate documents up to this many is broadcast to the scan that fetches their texts; more are joined.
 BROADCAST_ROWS = 500_000
 LEVELS = 3
+#: Keys that a task sorts at a time.
+FLUSH = 2_000_000
 
 
 def bound(a: int, b: int, percent: int) -> int:
@@ -43,14 +46,26 @@ def bound(a: int, b: int, percent: int) -> int:
 
 
 @lru_cache
-def bands(percent: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Least size of each band, and the number of blocks of its sketches."""
-    low, k = [1], []
+def bands(percent: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Least size of each band; the number of blocks of its sketches; and how many empty blocks a document may ignore.
+
+    With k = difference + 1 + spare blocks, linked documents have spare + 1 equal blocks, so one with at most `spare` empty
+    blocks is met on a full one. Long documents have about k exp(-size / k) empty blocks: `spare` covers nearly all of them."""
+    low, blocks, spare = [1], [], []
     while low[-1] <= most:
         low.append(low[-1] * 100 // percent + 1)
-    for a in low[1:]:
-        k.append(bound(a - 1, (a - 1) * 100 // percent, percent) + 1)
-    return np.array(low), np.array(k)
+    for first, past in zip(low, low[1:], strict=False):
+        least = bound(past - 1, (past - 1) * 100 // percent, percent) + 1
+        x = 0
+        for _ in range(50):
+            empty = (least + x) * np.exp(-first / (least + x))
+            more = 0 if empty < 0.3 and not x else int(np.ceil(empty + 3 * np.sqrt(empty)))
+            if more <= x:
+                break
+            x = more
+        blocks.append(least + x)
+        spare.append(x)
+    return np.array(low), np.array(blocks), np.array(spare)
 
 
 def sets(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,12 +99,17 @@ def _block_keys(t: np.ndarray, doc: np.ndarray, k: np.ndarray, salt: np.ndarray)
     return doc[at], block[at].astype(np.int64), mix64(bits ^ mix64(salt[at] + block[at]))
 
 
-def _nested(t: np.ndarray, k: int, groups: list[int], level: int) -> list[np.ndarray]:
+def _telling(empty: np.ndarray, spare: int) -> np.ndarray:
+    """The empty blocks that must be looked into: if all of spare + 1 equal blocks are empty, the first of them is not among the last `spare`."""
+    return empty[: max(0, len(empty) - spare)]
+
+
+def _nested(t: np.ndarray, k: int, spare: int, groups: list[int], level: int) -> list[np.ndarray]:
     """Keys of one document under each group key (an empty block's): the blocks of a further division."""
     t = np.sort(mix64(t + U64(level * 0x9E37)))
     zero = np.zeros(len(t), np.int64)
     _, block, _ = _block_keys(t, zero, np.full(len(t), k), np.zeros(len(t), U64))
-    empty = np.setdiff1d(np.arange(k), block)
+    empty = _telling(np.setdiff1d(np.arange(k), block), spare)
     out = []
     for g in groups:
         g64 = U64(g)
@@ -98,14 +118,14 @@ def _nested(t: np.ndarray, k: int, groups: list[int], level: int) -> list[np.nda
         if len(empty):
             inner = mix64(np.full(len(empty), g64, U64) ^ mix64(empty.astype(U64) + U64(0xE0 + level)))
             if level + 1 < LEVELS:
-                out += _nested(t, k, [int(x) for x in inner], level + 1)
+                out += _nested(t, k, spare, [int(x) for x in inner], level + 1)
             else:
                 out.append(inner)
     return out
 
 
 def sketch(data: np.ndarray, off: np.ndarray, k: int, percent: int):
-    """Per document: set size, set hash, four 64-bit words of the narrow sketch; and all keys with their documents."""
+    """Per document: set size, set hash, four 64-bit words of the narrow sketch; and all keys (none for percent 0), where each one's begin."""
     t, first = sets(data, off, k)
     n = np.diff(first)
     doc = np.repeat(np.arange(len(n)), n)
@@ -119,7 +139,8 @@ def sketch(data: np.ndarray, off: np.ndarray, k: int, percent: int):
         bit = U64(1) << (at & U64(63))
         for w in range(4):
             narrow[w, full] = np.bitwise_xor.reduceat(np.where(at >> U64(6) == U64(w), bit, U64(0)), first[full])
-        low, blocks = bands(percent, int(n.max()))
+    if len(full) and percent:
+        low, blocks, spare = bands(percent, int(n.max()))
         band = np.searchsorted(low, n, "right") - 1
         for lower in (0, 1):
             own = np.flatnonzero((n > 0) & (band - lower >= 0))
@@ -129,12 +150,12 @@ def sketch(data: np.ndarray, off: np.ndarray, k: int, percent: int):
             keys.append(key)
             owners.append(d)
             got = np.bincount(d, minlength=len(n))
-            for x in own[got[own] < blocks[scheme[own]]]:  # documents with empty blocks
+            for x in own[got[own] < (blocks - spare)[scheme[own]]]:  # documents with more empty blocks than they may ignore
                 kk, s = int(blocks[scheme[x]]), int(scheme[x])
                 lo, hi = np.searchsorted(d, [x, x + 1])
-                empty = np.setdiff1d(np.arange(kk), b[lo:hi]).astype(U64)
+                empty = _telling(np.setdiff1d(np.arange(kk), b[lo:hi]), int(spare[s])).astype(U64)
                 group = mix64(mix64(empty + U64(s << 32)) + U64(0xE0))
-                for more in _nested(t[first[x] : first[x + 1]], kk, [int(g) for g in group], 1):
+                for more in _nested(t[first[x] : first[x + 1]], kk, int(spare[s]), [int(g) for g in group], 1):
                     keys.append(more)
                     owners.append(np.full(len(more), x))
     keys = np.concatenate(keys) if keys else np.zeros(0, U64)
@@ -143,20 +164,92 @@ def sketch(data: np.ndarray, off: np.ndarray, k: int, percent: int):
     return n, node, narrow, keys[order], np.searchsorted(owners[order], np.arange(len(n) + 1))
 
 
-_SIG = "doc_id long, n long, node long, s0 long, s1 long, s2 long, s3 long, keys array<long>"
+_SIG = "doc_id long, n long, node long, s0 long, s1 long, s2 long, s3 long"
 
 
 def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Per row: size and hash of its set and the narrow sketch."""
+
     def run(batches):
         for batch in batches:
             for a, e, data, off in chunks(batch.column(1)):
-                n, node, narrow, keys, first = sketch(data, off, k, percent)
-                cols = [batch.column(0).slice(a, e - a), pa.array(n), pa.array(node.view(np.int64)), *(pa.array(w.view(np.int64)) for w in narrow)]
-                yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(keys.view(np.int64)))], names=["doc_id", "n", "node", "s0", "s1", "s2", "s3", "keys"])
+                n, node, narrow, _, _ = sketch(data, off, k, 0)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, e - a), pa.array(n), pa.array(node.view(np.int64)), *(pa.array(w.view(np.int64)) for w in narrow)], names=[x.split()[0] for x in _SIG.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SIG)
 
 
+def block_members(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(key, short): the low 48 bits of the nodes of each block key that more than one node has; a few keys may have only one.
+
+    Each task sorts its keys, keeps those that it sees twice itself as members, and sends one node for each key on, so a hot
+    key costs each task one entry. Entries travel packed, six bytes for the key and six for the node."""
+    parts = partitions_for(docs, 32 << 20)
+
+    def pack(key: np.ndarray, node: np.ndarray) -> bytes:
+        return b"".join(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes() for x in (key, node))
+
+    def unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        a = np.zeros((len(raw) // 6, 8), np.uint8)
+        a[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+        key, node = np.split(a.view(U64).ravel(), 2)
+        return key, node
+
+    def sorted_pairs(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct (key, node) in order, and which are first of their key."""
+        order = np.lexsort((node, key))
+        key, node = key[order], node[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+        key, node = key[new], node[new]
+        first = np.ones(len(key), bool)
+        first[1:] = key[1:] != key[:-1]
+        return key, node, first
+
+    def shared(first: np.ndarray) -> np.ndarray:
+        """Which entries have a neighbour of the same key."""
+        return ~first | np.append(~first[1:], False)
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        task = TaskContext.get().partitionId()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = turn = 0
+
+        def flush():
+            key, node, first = sorted_pairs(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            own = shared(first)
+            out = [(parts + (task + turn) % parts, pack(key[own], node[own]))] if own.any() else []
+            key, node = key[first], node[first]
+            part = (key * U64(parts) >> U64(48)).astype(np.int64)
+            edge = np.searchsorted(part, np.arange(parts + 1))
+            out += [(p, pack(key[a:e], node[a:e])) for p, (a, e) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if a < e]
+            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["part", "entries"])
+
+        for batch in batches:
+            for _, _, data, off in chunks(batch.column(0)):
+                _, node, _, keys, first = sketch(data, off, k, percent)
+                held.append((keys >> U64(16), np.repeat(node, np.diff(first)) & U64(0xFFFFFFFFFFFF)))
+                size += len(keys)
+                if size >= FLUSH:
+                    yield flush()
+                    held, size, turn = [], 0, turn + 1
+        if size:
+            yield flush()
+
+    def meet(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        raw = [unpack(x) for x in table.column("entries").to_pylist()]
+        keys, nodes = (np.concatenate(x) for x in zip(*raw, strict=True))
+        if key[0].as_py() < parts:
+            keys, nodes, first = sorted_pairs(keys, nodes)
+            own = shared(first)
+            keys, nodes = keys[own], nodes[own]
+        return pa.table([pa.array(keys.view(np.int64)), pa.array(nodes.view(np.int64))], names=["key", "short"])
+
+    return docs.select("text").mapInArrow(run, "part int, entries binary").groupBy("part").applyInArrow(meet, "key long, short long")
+
+
 def _shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     def run(batches):
         for batch in batches:
@@ -190,42 +283,43 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
 def link_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; links have a Jaccard similarity of percent / 100 or more."""
     sig = materialize(signatures(docs, k, percent), "signatures")
-    entries = sig.where("n > 0").select(F.explode("keys").alias("key"), "node")
-    shared = entries.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
-    met = entries.join(shared, "key", "left_semi").distinct()
-    nodes = sig.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "s0", "s1", "s2", "s3")))
-    buckets = materialize(met.join(nodes, "node").select("key", F.struct("node", "n", "s0", "s1", "s2", "s3").alias("m"), "doc_id"), "buckets")
-
-    def star(members: DataFrame, order: Column) -> DataFrame:
-        """One member of each bucket with all others of other components that it may link with."""
-        hub = members.groupBy("key").agg(F.min_by(F.struct("m", "comp"), order).alias("h"))
-        at = members.join(hub, "key").where(F.col("h.comp") != F.col("comp")).where(_possible("h.m", "m", percent))
-        return at.select(F.least("h.m.node", "m.node").alias("a"), F.greatest("h.m.node", "m.node").alias("b")).distinct()
+    rows = sig.where("n > 0")
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first(F.struct("node", "n", "s0", "s1", "s2", "s3")).alias("m"))
+    short = F.col("node").bitwiseAND(F.lit(0xFFFFFFFFFFFF))
+    met = block_members(docs, k, percent).distinct()
+    buckets = materialize(met.join(nodes.select("node", short.alias("short")), "short").select("key", "node"), "buckets")
+
+    def possible(edges: DataFrame) -> DataFrame:
+        """Edges (a, b) that sizes and narrow sketches allow."""
+        x, y = (nodes.select(F.col("node").alias(c), F.col("m").alias(f"m{c}")) for c in "ab")
+        return edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(x, "a").join(y, "b").where(_possible("ma", "mb", percent)).select("a", "b")
 
     links: DataFrame | None = None
     comp: DataFrame | None = None
     sets_of: DataFrame | None = None
     for step in ("first", "again", "all"):
-        members = buckets.withColumn("comp", F.col("m.node"))
-        if comp is not None:
-            members = members.withColumn("node", F.col("m.node")).drop("comp").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")).drop("node")
-            open_ = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-            members = members.join(open_, "key", "left_semi")
         if step == "first":
-            edges = star(members, F.col("m.node"))
-        elif step == "again":
-            edges = star(members, F.xxhash64("m.node", "key"))
+            hub = buckets.groupBy("key").agg(F.min("node").alias("a"))
+            edges = possible(buckets.join(hub, "key").where("a <> node").select("a", F.col("node").alias("b")))
         else:
-            x, y = (members.select("key", F.col("m").alias(c), F.col("comp").alias(f"{c}_comp")) for c in "xy")
-            pairs = x.join(y, (x["key"] == y["key"]) & (F.col("x.node") < F.col("y.node")) & (F.col("x_comp") != F.col("y_comp")) & _possible("x", "y", percent))
-            edges = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+            members = buckets.withColumn("comp", F.col("node")) if comp is None else buckets.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+            open_ = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+            members = members.join(open_, "key", "left_semi")
+            if step == "again":  # another member of each bucket that is not one component yet
+                hub = members.groupBy("key").agg(F.min_by(F.struct("node", "comp"), F.xxhash64("node", "key")).alias("h"))
+                edges = possible(members.join(hub, "key").where("h.comp <> comp").select(F.col("h.node").alias("a"), F.col("node").alias("b")))
+            else:
+                members = members.join(nodes.select("node", "m"), "node")
+                x, y = (members.select("key", F.col("m").alias(c), F.col("comp").alias(f"{c}_comp")) for c in "xy")
+                pairs = x.join(y, (x["key"] == y["key"]) & (F.col("x.node") < F.col("y.node")) & (F.col("x_comp") != F.col("y_comp")) & _possible("x", "y", percent))
+                edges = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
         edges = materialize(edges, "edges")
         if edges.isEmpty():
             continue
         wanted = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
         if sets_of is not None:
             wanted = wanted.join(sets_of.select("node"), "node", "left_anti")
-        ids = materialize(buckets.select(F.col("m.node").alias("node"), "doc_id").distinct().join(wanted, "node", "left_semi"), "wanted")
+        ids = materialize(nodes.select("node", "doc_id").join(wanted, "node"), "wanted")
         few = ids.count() <= BROADCAST_ROWS
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids) if few else ids, "doc_id")
         own = materialize(_shingle_sets(texts, k), "sets")
