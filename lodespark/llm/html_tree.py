@@ -32,6 +32,8 @@ from .common import materialize
 GAMMA, LEAST, MIN_PAGES = 0.9, 0.3, 4
 #: A content on this share of a host's pages (of 10 at least) is part of the template wherever it stands.
 TEMPLATE_SHARE, TEMPLATE_PAGES = 0.9, 10
+#: Noise of all hosts up to this many paths and contents is broadcast; more is joined by host.
+BROADCAST_ENTRIES = 500_000
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -178,8 +180,9 @@ def parse_pages(pages: DataFrame, html: str = "html") -> DataFrame:
 
 def style_tree(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(host, path, importance, m) of the merged trees' nodes, and (host, content) that stands on nearly all pages of a host."""
-    one = parsed.groupBy("host", "page_hash").agg(F.first(F.struct("blocks", "styles")).alias("p"))  # equal pages count once
-    content = one.select("host", "page_hash", F.explode(F.array_distinct(F.transform("p.blocks", lambda b: F.struct(b["path"].alias("path"), F.xxhash64(b["text"]).alias("content"))))).alias("b"))
+    hashed = F.array_distinct(F.transform("blocks", lambda b: F.struct(b["path"].alias("path"), F.xxhash64(b["text"]).alias("content"))))
+    one = parsed.select("host", "page_hash", F.struct(hashed.alias("blocks"), "styles").alias("p")).groupBy("host", "page_hash").agg(F.first("p").alias("p"))  # equal pages count once
+    content = one.select("host", "page_hash", F.explode("p.blocks").alias("b"))
     content = content.select("host", "page_hash", "b.path", "b.content")
     shown = content.groupBy("host", "path", "content").agg(F.count("*").alias("c"))
     held = content.select("host", "page_hash", "path").distinct().groupBy("host", "path").agg(F.count("*").alias("m"))
@@ -206,8 +209,10 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     tree, everywhere = style_tree(parsed)
     noisy = tree.where((F.col("importance") < LEAST) & (F.col("m") >= MIN_PAGES)).groupBy("host").agg(F.collect_set("path").alias("noisy"))
     common = everywhere.groupBy("host").agg(F.collect_set("content").alias("common"))
-    known = noisy.join(common, "host", "full_outer")
-    rows = parsed.join(known, "host", "left")
+    known = materialize(noisy.join(common, "host", "full_outer"), "noise")
+    count = lambda c: F.coalesce(F.size(c), F.lit(0))
+    size = known.agg(F.coalesce(F.sum(F.greatest(count("noisy"), F.lit(0)) + F.greatest(count("common"), F.lit(0))), F.lit(0))).first()[0]
+    rows = parsed.join(F.broadcast(known) if size <= BROADCAST_ENTRIES else known, "host", "left")
     keeps = lambda b: ~b["marked"] & ~F.coalesce(F.exists("noisy", lambda p: (b["path"] == p) | F.startswith(b["path"], F.concat(p, F.lit("/")))), F.lit(False)) & ~F.coalesce(F.array_contains("common", F.xxhash64(b["text"])), F.lit(False))
     rows = rows.withColumn("_own", F.filter("blocks", keeps))
     main = F.filter("_own", lambda b: b["main"])
