@@ -8,6 +8,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import fixed, text
 
@@ -82,7 +84,7 @@ def parse_python(path: str, code: str) -> list[dict]:
 
 
 _CALL = re.compile(r"(?:([A-Za-z_][\w.]*)\.)?([A-Za-z_]\w*)\s*\(")
-_WORDS = frozenset("if for while switch catch return func function new typeof await else do try defer go select case match when unless sizeof assert".split())
+_WORDS = frozenset("if for while switch catch return func function new typeof await else do try defer select case match when unless sizeof assert".split())
 
 
 def _block_end(lines: list[str], start: int) -> int:
@@ -180,11 +182,10 @@ def parse_files(files: DataFrame) -> DataFrame:
     """Chunks of files (path, content, repo): parsed where there is a grammar, line blocks elsewhere."""
     known = text.extractor_of(F.col("path")) != "fallback"
 
-    def run(batches):
-        from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import StructType
+    declared = T.StructType.fromDDL(CHUNK)
+    schema = to_arrow_schema(declared)
 
-        schema = to_arrow_schema(StructType.fromDDL(CHUNK))
+    def run(batches):
         for b in batches:
             rows = [r | {"repo": repo or ""} for p, c, repo in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True) for r in parse(p, c or "")]
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
@@ -192,8 +193,6 @@ def parse_files(files: DataFrame) -> DataFrame:
     parsed = files.where(known).select("path", "content", "repo").mapInArrow(run, CHUNK)
     rest = line_chunks(files.where(~known).select("path", "content", "repo"))
     none = {"docstring": "''", "parent_class": "''", "language": "''", "extends": "''", "imports": "array()", "implements": "array()", "calls": "array()", "decorators": "array()", "is_exported": "false", "file_path": "path"}
-    from pyspark.sql.types import StructType
-
-    kinds = {f.name: f.dataType for f in StructType.fromDDL(CHUNK)}
+    kinds = {f.name: f.dataType for f in declared}
     rest = rest.select(*[F.expr(none.get(c, f"`{c}`")).cast(k).alias(c) for c, k in kinds.items()])
     return parsed.unionByName(rest)
