@@ -1,8 +1,11 @@
 """A corpus pipeline over the columns of `documents`: language ID, near duplicates, repeated passages, benchmark hits, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result as Parquet to the shared folder and
-reads it back for the next stage. Stages filter or rewrite in the task that reads the row, so other columns, repeated rows
-and repeated ids pass through; n_chars follows a rewritten text.
+reads it back for the next stage. Rows travel through the operators as one struct column beside doc_id and text, so any
+other columns, whatever their names, repeated rows and nulls come out as they went in; n_chars follows a rewritten text.
+
+Defined results: a null text has no letters (dropped by the first stage), links with nothing, loses nothing, is not
+contaminated and packs as its end id. Empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -18,58 +21,65 @@ from lodespark.llm.queries import tokenizer
 ORACLE_SQL = None
 
 
-def _with_size(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+def _boxed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"))
+
+
+def _unboxed(rows: DataFrame) -> DataFrame:
+    return rows.select("_doc.*")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the language models reject: no letters, or a cross-entropy far above their language's own.
 
-    Models are learnt from the labelled rows of `docs` itself; without any, nothing is rejected but texts without a letter."""
+    Models are learnt from the labelled rows of `docs` itself; without any, only texts without a letter go."""
     models = langid.fit(docs.select("doc_id", "text", "lang"))
     if not models.names:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    return langid.identify(docs, models).where(~F.col("lang_rejected")).select(*docs.columns)
+    return _unboxed(langid.identify(_boxed(docs), models).where(~F.col("lang_rejected")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates (five-word shingles, similarity 0.8): the one with the smallest doc_id.
 
-    Rows that repeat a doc_id count as copies of it: one of them stays. Rows without an id stay."""
-    found = ngram_join.link_components(docs, k=5, percent=80)
-    heads = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    out = docs.join(heads, "doc_id", "left_semi")
-    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id")
-    if not repeated.isEmpty():
-        once = out.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        out = out.join(repeated, "doc_id", "left_anti").unionByName(once)
-    return out.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    Rows that repeat a doc_id are one document: one of them stays if it does. Rows without an id stay."""
+    found = ngram_join.link_components(docs.select("doc_id", "text"), k=5, percent=80).where("doc_id is not null")
+    ids = materialize(found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("head")), "kept-ids")
+    gone = ids.where("not head").select("doc_id")
+    few = gone.count() <= ngram_join.BROADCAST_ROWS
+    out = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
+    repeated = ids.where("head and n > 1").select("doc_id")
+    if repeated.isEmpty():
+        return out
+    once = out.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return out.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts strings of 100 bytes that also start earlier. A character cut in half goes whole; a document of which nothing but white space is left goes."""
-    out = suffix_dedup.remove_repeats(docs, length=100)
+    rows = suffix_dedup.remove_repeats(_boxed(docs), length=100)
     cut = F.size("removed") > 0
-    text = F.when(cut, F.decode(_whole(F.col("kept")), "UTF-8")).otherwise(F.col("text"))
-    out = out.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns], cut.alias("_cut"))
-    return _with_size(out.where(~F.col("_cut") | F.col("text").rlike(r"\S")).drop("_cut"))
+    rows = rows.where(~cut | F.decode("kept", "ISO-8859-1").rlike(r"[^\x00-\x20]"))
+    doc = F.col("_doc").withField("text", F.when(cut, _whole(F.col("kept"))).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        doc = doc.withField("n_chars", F.when(cut, F.char_length(doc["text"]).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_doc.n_chars")))
+    return _unboxed(rows.select(doc.alias("_doc")))
 
 
 def _whole(raw):
-    """Bytes without parts of UTF-8 characters, so that they decode."""
-    from pyspark.sql.functions import pandas_udf
+    """The text of UTF-8 bytes, without parts of characters that a cut left behind."""
 
-    @pandas_udf("binary")
+    @F.pandas_udf("string")
     def whole(col):
-        return col.map(lambda b: b if b is None else bytes(b).decode("utf-8", "ignore").encode())
+        return col.map(lambda b: b if b is None else bytes(b).decode("utf-8", "ignore"))
 
     return whole(raw)
 
 
 def benchmark_hits(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of which a twentieth or more of the words lie in windows of benchmark items."""
-    hits = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
-    return hits.where(~decontaminate.contaminated(F.col("n_words"), F.col("n_hit"))).select(*docs.columns)
+    hits = decontaminate.find_contamination(_boxed(docs), table(spark, sf_dir, "benchmark"))
+    return _unboxed(hits.where(~decontaminate.contaminated(F.col("n_words"), F.col("n_hit"))))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
