@@ -570,3 +570,11 @@ _MODELS = " m1, m2 ,, m1"
 def ml_model_chain(spark, d):
     own = F.filter(F.transform(F.split(F.lit(_MODELS), ","), lambda m: F.trim(m)), lambda m: m != "")
     return spark.range(1).select(F.posexplode(F.array_distinct(F.concat(F.array(F.lit("main")), own))).alias("pos", "model"))
+
+
+#: DuckDB pieces for the flagship: the share of the first five tokens in a chunk (raised where its name is asked for), and tokens shared with the path.
+_HAY = "lower(repo || ' ' || file_path || ' ' || function_name || ' ' || parent_class || ' ' || signature || ' ' || \"content\")"
+_HITS = f"len(list_filter(list_slice(et, 1, 5), lambda t: contains({_HAY}, t)))"
+_RAW = f"0.35::double * {_HITS} / least(len(et), 5)"
+_SHARE = f"(case when {_HITS} = 0 then 0 when function_name <> '' and contains(lower(q), lower(function_name)) then greatest({_RAW}, 0.35::double * 0.7) else {_RAW} end)"
+_PATH_TOKENS = f"len(list_intersect(et, {s_found('lower(file_path)', fixed.PATH_TOKEN)}))"

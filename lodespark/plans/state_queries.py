@@ -477,3 +477,57 @@ def src_read_file(spark, d):
     from ..sources.files import scan
 
     return scan(spark, f"{d}/nation.parquet").select(text.basename(F.col("path")).alias("name"), text.is_binary(F.col("content")).alias("is_binary"))
+
+
+def _tree(spark):
+    """Runs the tree source over a small folder twice, with changes in between."""
+    import os
+    import tempfile
+
+    from ..sources.git import TreeSource
+
+    spark.dataSource.register(TreeSource)
+    base = tempfile.mkdtemp()
+    root = os.path.join(base, "tree")
+    os.makedirs(root)
+
+    def put(path: str, body: str) -> None:
+        with open(os.path.join(root, path), "w") as f:
+            f.write(body)
+
+    def drain() -> list:
+        rows: list = []
+
+        def take(batch, number):
+            rows.extend(batch.collect())  # a handful of test rows
+
+        q = spark.readStream.format("tree").option("root", root).option("state", f"{base}/state").load().writeStream.foreachBatch(take).option("checkpointLocation", f"{spark.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/checkpoints'}/lodespark/tree-{os.path.basename(base)}").trigger(processingTime="0 seconds").start()
+        q.processAllAvailable()
+        q.stop()
+        return rows
+
+    for p, body in (("a.py", "x"), ("b.go", "y"), ("c.txt", "z")):
+        put(p, body)
+    first = drain()
+    put("a.py", "changed")
+    put("d.rs", "new")
+    os.remove(os.path.join(root, "c.txt"))
+    out = [(1, r.file_path, r.change_type) for r in first] + [(2, r.file_path, r.change_type) for r in drain()]
+    return spark.createDataFrame(out, "poll int, file_path string, change_type string")
+
+
+@query("select * from (values (1, 'a.py', 'A'), (1, 'b.go', 'A'), (1, 'c.txt', 'A'), (2, 'a.py', 'M'), (2, 'd.rs', 'A'), (2, 'c.txt', 'D')) t(poll, file_path, change_type)")
+def sm_watch(spark, d):
+    return _tree(spark)
+
+
+@query("select poll, count(*) n from (values (1), (1), (1), (2), (2), (2)) t(poll) group by poll")
+def src_head_poll(spark, d):
+    return _tree(spark).groupBy("poll").agg(F.count("*").alias("n"))
+
+
+@query()
+def ml_embed(spark, d):
+    from .models import embed
+
+    return embed(table(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("id"), "text")).select("id.conv_id", "id.turn", F.size("vec").alias("n"))
