@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 U64 = np.uint64
 #: Odd multipliers of the polynomial and of the finaliser.
@@ -172,5 +173,8 @@ def shingles(h: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def arrow_map(df: DataFrame, fn: Callable, schema: str | T.StructType) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+def release() -> None:
+    """Gives freed memory back to the system: Python workers live on after a task, beside a JVM that needs the room."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -16,7 +16,7 @@ an earlier start) goes; strings are judged on the input, and matches never cross
 6. Covered spans go back to their blocks, which cut them out.
 
 A hot passage costs each block one record per distinct context, not one per occurrence. Nothing is collected but splitters
-(at most SAMPLE prefixes), and one name for each block.
+(at most SAMPLE prefixes).
 
 Defined results: null text is empty text; texts shorter than `length` lose nothing. Rows with the same doc_id are
 separate documents, ordered by where they were read; null ids come first. Other columns pass through.
@@ -24,18 +24,17 @@ separate documents, ordered by where they were read; null ids come first. Other
 
 from __future__ import annotations
 
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, _powers, buffers, chunks, materialize, mix64, partitions_for, prefix_hash, scratch
+from .common import _BYTE, U64, _powers, buffers, chunks, materialize, mix64, partitions_for, prefix_hash, release, scratch
 
 K = 20
-#: Text of a block, in bytes; a longer document is a block by itself.
-BLOCK_BYTES = 32 << 20
+#: Text of a block, in bytes; a longer document is a block by itself. What a task holds grows with it; the number of runs falls.
+BLOCK_BYTES = 4 << 20
 #: Prefixes that come to the driver to choose the ranges, at most.
 SAMPLE = 100_000
 
@@ -78,6 +77,10 @@ def _fs(path: str):
     return fs.FileSystem.from_uri(path)
 
 
+def _path(base: str, block: int) -> str:
+    return f"{base}/block-{block:x}.parquet"
+
+
 def _read_block(path: str) -> pa.Table:
     import pyarrow.parquet as pq
 
@@ -87,35 +90,37 @@ def _read_block(path: str) -> pa.Table:
 
 
 def write_blocks(docs: DataFrame, length: int, out: str) -> DataFrame:
-    """Writes the rows of `docs` in block files; one row for each block: its number, path, distinct anchor hashes, sampled prefixes.
+    """Writes the rows of `docs` in block files; one row for each block: its number, distinct anchor hashes, sampled prefixes.
 
-    A retried task writes files of new names; the rows that Spark commits name the files of the attempt they came from."""
+    A retried task writes files of other numbers; the rows that Spark commits have the numbers of the attempt they came from."""
 
     def run(batches):
         import pyarrow.parquet as pq
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
+        task = TaskContext.get().taskAttemptId()  # no other attempt has it
         store, base = _fs(out)
         store.create_dir(base, recursive=True)
         held, size, nth = [], 0, 0
 
         def flush():
             nonlocal held, size, nth
-            name = f"block-{part:06d}-{nth:06d}-{uuid.uuid4().hex}.parquet"
+            block = task << 16 | nth
             tab = pa.Table.from_batches(held)
-            with store.open_output_stream(f"{base}/{name}") as f:
+            with store.open_output_stream(_path(base, block)) as f:
                 pq.write_table(tab, f, compression="zstd", use_dictionary=[c for c in tab.column_names if c != "text"], row_group_size=1 << 30)
             found, sample = [], []
             for b in held:
-                for _, _, data, off in chunks(b.column("text")):
+                for _, _, data, off in chunks(b.column("text"), 1 << 19):
                     place, h, _, _ = anchors(data, off, length)
                     found.append(h)
                     for x in place[:: max(1, len(place) // 4)][:4]:
                         sample.append(data[x : x + 16].tobytes())
             h, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.int64), return_counts=True)
-            row = pa.RecordBatch.from_arrays([pa.array([part << 20 | nth]), pa.array([f"{out}/{name}"]), pa.array([h], pa.list_(pa.int64())), pa.array([n > 1], pa.list_(pa.bool_())), pa.array([sample[:64]], pa.list_(pa.binary()))], names=["block", "path", "h", "many", "sample"])
+            row = pa.RecordBatch.from_arrays([pa.array([block]), pa.array([h], pa.list_(pa.int64())), pa.array([n > 1], pa.list_(pa.bool_())), pa.array([sample[:64]], pa.list_(pa.binary()))], names=["block", "h", "many", "sample"])
             held, size, nth = [], 0, nth + 1
+            del tab, found, sample
+            release()
             return row
 
         for b in batches:
@@ -131,7 +136,7 @@ def write_blocks(docs: DataFrame, length: int, out: str) -> DataFrame:
         if held:
             yield flush()
 
-    return materialize(docs.mapInArrow(run, "block long, path string, h array<long>, many array<boolean>, sample array<binary>"), "blocks")
+    return materialize(docs.mapInArrow(run, "block long, h array<long>, many array<boolean>, sample array<binary>"), "blocks")
 
 
 # ---- runs ----------------------------------------------------------------------------------------
@@ -142,7 +147,7 @@ def _records(tab: pa.Table, wanted: np.ndarray, length: int):
     keys, rls, rows, xs, lo, hi = [], [], [], [], [], []
     base = 0
     for col in tab.column("text").chunks:
-        for a, _, data, off in chunks(col):
+        for a, _, data, off in chunks(col, 1 << 19):
             place, h, first, last = anchors(data, off, length)
             at = np.searchsorted(wanted, h)
             at[at == len(wanted)] = 0
@@ -214,16 +219,16 @@ def _common(a: bytes, b: bytes, n: int) -> int:
 _RUN = "part int, block long, lcp binary, rest_len binary, rests binary, meta binary, spans binary"
 
 
-def make_runs(hits: DataFrame, paths: dict[int, str], splitters: list[bytes], length: int) -> DataFrame:
-    own = hits.sparkSession.sparkContext.broadcast((paths, splitters))
+def make_runs(hits: DataFrame, base: str, splitters: list[bytes], length: int) -> DataFrame:
+    own = hits.sparkSession.sparkContext.broadcast(splitters)
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         from bisect import bisect_right
 
-        where, cuts = own.value
+        cuts = own.value
         block = key[0].as_py()
         wanted = np.unique(table.column("h").to_numpy())
-        keys, meta, spans = _records(_read_block(where[block]), wanted, length)
+        keys, meta, spans = _records(_read_block(_path(base, block)), wanted, length)
         out = {c: [] for c in ("part", "block", "lcp", "rest_len", "rests", "meta", "spans")}
 
         def put(*values):
@@ -238,6 +243,8 @@ def make_runs(hits: DataFrame, paths: dict[int, str], splitters: list[bytes], le
             lcp, rest, raw = _front_code(keys[a:e])
             put(int(p), block, lcp.tobytes(), rest.tobytes(), raw, meta[a:e].astype("<i8").tobytes(), None)
         types = (pa.int32(), pa.int64(), *[pa.binary()] * 5)
+        del keys, meta, spans
+        release()
         return pa.table([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], names=list(out))
 
     return hits.groupBy("block").applyInArrow(run, _RUN)
@@ -309,46 +316,49 @@ def merge(runs: list[Run]):
             node >>= 1
 
 
+def _pair(ka: bytes, kb: bytes, a: list[int], b: list[int], length: int) -> tuple[int, int]:
+    """Distances before the anchor, low to high, at which both records have the same string (none: low > high)."""
+    right = min(a[0], b[0], _common(ka, kb, 0))
+    left = _common(ka[a[0] :], kb[b[0] :], 0)
+    return max(length - right, a[4], b[4]), min(left, len(ka) - a[0], len(kb) - b[0])
+
+
 def covered(keys: list[bytes], meta: np.ndarray, blocks: np.ndarray, length: int) -> list[tuple[int, int, int]]:
     """(member, start, end) of the spans of a group's records that earlier members cover. meta: rl, doc_id, row, x, lo."""
-    order = np.lexsort((meta[:, 3], meta[:, 2], blocks, meta[:, 1]))
+    rows = meta.tolist()
+    order = sorted(range(len(keys)), key=lambda i: (rows[i][1], blocks[i], rows[i][2], rows[i][3]))
     out = []
-    if len(keys) == 2:
-        a, b = order.tolist()
-        ka, kb, ra, rb = keys[a], keys[b], int(meta[a, 0]), int(meta[b, 0])
-        right = min(ra, rb, _common(ka, kb, 0))
-        left = _common(ka[ra:], kb[rb:], 0)
-        low, high = max(length - right, int(meta[a, 4]), int(meta[b, 4])), min(left, len(ka) - ra, len(kb) - rb)
-        if low <= high:
-            x = int(meta[b, 3])
-            out.append((b, x - high, x - low + length))
+    if len(keys) <= 3:
+        for k, m in enumerate(order):
+            for e in order[:k]:
+                low, high = _pair(keys[e], keys[m], rows[e], rows[m], length)
+                if low <= high:
+                    out.append((m, rows[m][3] - high, rows[m][3] - low + length))
         return out
-    rl = meta[order, 0]
-    full = np.array([len(keys[i]) for i in order])
-    lo, hi = meta[order, 4], full - rl
+    at = np.array(order)
+    rl, lo, x = meta[at, 0], meta[at, 4], meta[at, 3]
+    hi = np.array([len(keys[i]) for i in order]) - rl
     wide, far = int(rl.max()), int(hi.max())
-    right, left = np.zeros((len(order), wide), np.uint8), np.zeros((len(order), far), np.uint8)
-    for i, (m, r) in enumerate(zip(order.tolist(), rl.tolist(), strict=True)):
-        s = np.frombuffer(keys[m], np.uint8)
-        right[i, :r], left[i, : len(s) - r] = s[:r], s[r:]
+    right = np.frombuffer(b"".join([keys[i][: rows[i][0]].ljust(wide, b"\0") for i in order]), np.uint8).reshape(len(order), wide)
+    left = np.frombuffer(b"".join([keys[i][rows[i][0] :].ljust(far, b"\0") for i in order]), np.uint8).reshape(len(order), far)
     up, _ = _powers(max(wide, far) + 1)
     sums = [np.zeros((len(order), n + 1), U64) for n in (wide, far)]
     for s, m in zip(sums, (right, left), strict=True):
-        np.cumsum(mix64(m.astype(U64) + U64(7)) * up[: m.shape[1]], axis=1, out=s[:, 1:])
-    mask = np.zeros((len(order), far + 2), bool)
-    for o in range(int(lo.min()), far + 1):
-        use = np.flatnonzero((lo <= o) & (o <= hi))
-        if len(use) > 1:
-            h = mix64(sums[0][use, length - o]) + sums[1][use, o]
-            _, first = np.unique(h, return_index=True)
-            later = np.ones(len(use), bool)
-            later[first] = False
-            mask[use[later], o] = True
-    edge = np.diff(np.pad(mask, ((0, 0), (1, 0))).astype(np.int8), axis=1)
+        np.cumsum(_BYTE[m] * up[: m.shape[1]], axis=1, out=s[:, 1:])
+    o = np.arange(int(lo.min()), far + 1)
+    h = mix64(sums[0][:, np.minimum(length - o, wide)]) + sums[1][:, o]
+    ok = (lo[:, None] <= o) & (o <= hi[:, None])
+    h = np.where(ok, h, mix64(np.arange(h.size, dtype=U64).reshape(h.shape)))  # strings that are not there equal nothing
+    by = np.argsort(h, axis=0, kind="stable")
+    h = np.take_along_axis(h, by, 0)
+    again = np.zeros(h.shape, bool)
+    again[1:] = h[1:] == h[:-1]
+    mask = np.zeros((len(order), len(o) + 2), np.int8)
+    np.put_along_axis(mask[:, 1:-1], by, (again & np.take_along_axis(ok, by, 0)).astype(np.int8), 0)
+    edge = np.diff(mask, axis=1)
     i, o1 = np.nonzero(edge == 1)
     _, o2 = np.nonzero(edge == -1)
-    x = meta[order[i], 3]
-    return list(zip(order[i].tolist(), (x - o2 + 1).tolist(), (x - o1 + length).tolist(), strict=True))
+    return list(zip(at[i].tolist(), (x[i] - o[o2 - 1]).tolist(), (x[i] - o[o1] + length).tolist(), strict=True))
 
 
 _SPAN = "block long, row long, start long, end long"
@@ -377,6 +387,8 @@ def merge_ranges(runs: DataFrame, length: int) -> DataFrame:
             refs.append((number, at))
         close()
         a = np.array(found, np.int64).reshape(-1, 4)
+        del found, keys, refs, opened, metas, cols
+        release()
         return pa.table([pa.array(a[:, k]) for k in range(4)], names=["block", "row", "start", "end"])
 
     return runs.groupBy("part").applyInArrow(run, _SPAN)
@@ -387,14 +399,13 @@ def merge_ranges(runs: DataFrame, length: int) -> DataFrame:
 _CUT = "n_bytes long, removed array<struct<start:long,end:long>>, kept binary"
 
 
-def cut_blocks(spans: DataFrame, paths: dict[int, str], docs: DataFrame) -> DataFrame:
+def cut_blocks(spans: DataFrame, base: str, docs: DataFrame) -> DataFrame:
     """The rows of all blocks (each has a row in `spans`, of row -1 at least) with n_bytes, removed and kept."""
-    own = spans.sparkSession.sparkContext.broadcast(paths)
     names = [c for c in docs.columns if c not in ("n_bytes", "removed", "kept")]
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        tab = _read_block(own.value[key[0].as_py()]).combine_chunks()
+        tab = _read_block(_path(base, key[0].as_py())).combine_chunks()
         row, start, end = (table.column(c).to_numpy() for c in ("row", "start", "end"))
         order = np.lexsort((start, row))
         row, start, end = row[order], start[order], end[order]
@@ -431,8 +442,8 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     """All columns of `docs` with n_bytes, removed (spans in bytes) and kept (the bytes that remain)."""
     spark = docs.sparkSession
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long")).drop("n_bytes", "removed", "kept")
-    blocks = write_blocks(docs, length, scratch(spark, "text"))
-    paths = {r.block: r.path for r in blocks.select("block", "path").collect()}
+    base = scratch(spark, "text")
+    blocks = write_blocks(docs, length, base)
     entries = blocks.select("block", F.explode(F.arrays_zip("h", "many")).alias("e")).select("block", "e.h", "e.many")
     repeated = entries.groupBy("h").agg(F.count("*").alias("n"), F.max("many").alias("many")).where("n > 1 or many").select("h")
     hits = entries.select("block", "h").join(repeated, "h", "left_semi")
@@ -440,10 +451,10 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     sample = blocks.select(F.explode("sample").alias("s")).orderBy(F.xxhash64("s")).limit(SAMPLE)
     prefixes = sorted({bytes(r.s) for r in sample.collect()})
     splitters = [prefixes[len(prefixes) * k // n] for k in range(1, n)] if len(prefixes) > n else prefixes
-    runs = materialize(make_runs(hits, paths, splitters, length), "runs")
+    runs = materialize(make_runs(hits, base, splitters, length), "runs")
     far = merge_ranges(runs.where("part >= 0"), length)
     none = blocks.select("block", F.lit(-1).cast("long").alias("row"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"))
-    return cut_blocks(_unpack(runs.where("part < 0").select("block", "spans")).unionByName(far).unionByName(none), paths, docs)
+    return cut_blocks(_unpack(runs.where("part < 0").select("block", "spans")).unionByName(far).unionByName(none), base, docs)
 
 
 def _unpack(rows: DataFrame) -> DataFrame:
