@@ -25,4 +25,4 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     engine = Engine(spark, chunks(spark, d), vectors(spark, d))
     near = table(spark, d, "embeddings").where("vec_id = 3").select(F.col("embedding").alias("qv"))
     hits = engine.hybrid_search(_Q, near)
-    return hits.select("id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"), "repo", "file_path", "start_line", "end_line")
+    return hits.select("id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"), "repo", "file_path", "start_line", F.col("end_line").cast("long").alias("end_line"))

@@ -396,17 +396,17 @@ def sm_key_sched(spark, d):
     return jobs.run_batch(machine_events(spark, d), jobs.KeyCooldown())
 
 
-@query()
+@query("select file, event_id, round(value, 6) value from (select user_id file, event_id, value, event_type, row_number() over (partition by user_id order by event_id desc) r from events) where r = 1 and event_type <> 'error'")
 def sm_oneshot(spark, d):
     """The change feed as files, applied by a stream that ends when all is read."""
     base = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/checkpoints'}/lodespark/feed-{uuid.uuid4().hex}"
     rows = feed(spark, d).select("event_id", "ts", "file", "change", "value")
     rows.repartition(3, "event_id").write.parquet(f"{base}/in")
     stream = jobs.change_stream(spark, f"{base}/in", rows.schema)
-    q = jobs.apply_stream(stream, f"{base}/out", f"{base}/checkpoint", "file", "event_id", ["file", "event_id", "value"])
+    q = jobs.apply_stream(stream, f"{base}/out", f"{base}/checkpoint", "file", "event_id")
     q.awaitTermination(300)
     last = q.lastProgress["batchId"] if q.lastProgress else 0
-    return spark.read.parquet(f"{base}/out/v{last}")
+    return jobs.applied(spark, f"{base}/out", last).select("file", "event_id", rounded("value").alias("value"))
 
 
 # ---- files and parsers ------------------------------------------------------------------------------------------

@@ -125,9 +125,9 @@ def test_stream_equals_batch(spark, sf, tmp_path):
 
     rows = feed(spark, sf).select("event_id", "ts", "file", "change", "value")
     rows.repartitionByRange(4, "event_id").write.parquet(f"{tmp_path}/in")
-    q = jobs.apply_stream(jobs.change_stream(spark, f"{tmp_path}/in", rows.schema), f"{tmp_path}/out", f"{tmp_path}/ck", "file", "event_id", ["file", "event_id", "value"])
+    q = jobs.apply_stream(jobs.change_stream(spark, f"{tmp_path}/in", rows.schema), f"{tmp_path}/out", f"{tmp_path}/ck", "file", "event_id")
     q.awaitTermination(120)
-    got = sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out/v{q.lastProgress['batchId']}").collect()))
+    got = sorted(map(tuple, jobs.applied(spark, f"{tmp_path}/out", q.lastProgress["batchId"]).select("file", "event_id", "value").collect()))
     last = state.latest(rows, ["file"], [F.desc("event_id")]).where("change <> 'D'").select("file", "event_id", "value")
     assert got == sorted(map(tuple, last.collect()))
 
