@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import math
+import sys
 import uuid
 from collections.abc import Iterator
 
@@ -14,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import spread
+
 U64 = np.uint64
 #: Odd multipliers of the polynomial and of the finaliser.
 _R = 0x9E3779B97F4A7C15
@@ -21,7 +24,8 @@ _M1, _M2 = U64(0xFF51AFD7ED558CCD), U64(0xC4CEB9FE1A85EC53)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in ("documents", "pages") else rows
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -84,7 +88,7 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets
 
 
-def chunks(col: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(col: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets from 0) in groups of rows of about `most` bytes; a longer row stands alone."""
     raw, off = buffers(col)
     a, n = 0, len(off) - 1
@@ -173,8 +177,12 @@ def shingles(h: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def release() -> None:
-    """Gives freed memory back to the system: Python workers live on after a task, beside a JVM that needs the room."""
+def release(tokens: bool = True) -> None:
+    """Gives freed memory back to the system: Python workers live on after a task, beside a JVM that needs the room.
+
+    What tokenising tasks have remembered goes too, unless the task is one of them."""
+    if tokens and (module := sys.modules.get(f"{__package__}.tokens")):
+        module.encoder.cache_clear()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 from .tokens import encoder, groups
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, nth long"
@@ -49,6 +49,7 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, size: int) -> DataFrame:
                         nth[m] += 1
                 cols = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 5 else pa.int64()) for k, c in enumerate(cols)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "nth"])
+        release(tokens=False)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _PIECES)
 

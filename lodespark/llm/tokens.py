@@ -1,9 +1,10 @@
-"""Exact tokenisation with the tokenizers library, remembering the ids of segments already seen.
+"""Exact tokenisation with the tokenizers library, remembering the ids of pieces already seen.
 
-A byte-level BPE never joins characters across a single space that stands between two non-space characters, so a text's
-ids are those of its segments between such spaces, one after the other. Segments are looked up. A new one of common
-characters is cut by the pre-tokenizer's pattern; pieces are looked up in turn, and a new piece goes to the library's BPE model
-itself. Any other new segment, and any tokenizer of another build, goes through the library's whole encode.
+A byte-level BPE works on each piece of the pre-tokenizer by itself. A text of common characters is cut by the
+pre-tokenizer's pattern; pieces are looked up, and a new piece goes to the library's BPE model itself. Other texts, whose
+characters another Unicode version might class otherwise, are cut only at single spaces between two non-space
+characters, which no piece crosses, and each new segment goes through the library's whole encode; so does every text for a tokenizer of
+another build.
 """
 
 from __future__ import annotations
@@ -15,85 +16,78 @@ from array import array
 from functools import lru_cache
 
 import numpy as np
-import regex
 
-# Fixed values of byte-level BPE: the pre-tokenizer's pattern, and the character each byte is written as.
-PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+# Fixed values of byte-level BPE: the pre-tokenizer's pattern over common characters (letters and numbers of Latin
+# scripts spelt out), and the character each byte is written as.
+PATTERN = re.compile(r" ?[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9\xb2\xb3\xb9\xbc-\xbe]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _HIDDEN = [b for b in range(256) if b not in set(_SHOWN)]
 BYTES = {b: b for b in _SHOWN} | {b: 256 + n for n, b in enumerate(_HIDDEN)}
 
 #: A space with no kind of white space on either side (a superset of what any pre-tokenizer takes for white space).
 _EDGE = re.compile("(?<=[^\\s\x1c-\x1f\x85\u200b\ufeff]) (?=[^\\s\x1c-\x1f\x85\u200b\ufeff])")
-#: Neither empty nor with such white space at an end.
-_SOLID = re.compile("[^\\s\x1c-\x1f\x85\u200b\ufeff](?:.*[^\\s\x1c-\x1f\x85\u200b\ufeff])?\\Z", re.S)
 #: Characters whose classes no Unicode version disputes.
 _COMMON = re.compile("[\t\n\r -~\xa1-\u024f]*")
-SEGMENTS, PIECES = 1_000_000, 500_000
+#: Entries of a generation; the one before it is kept too, so what is frequent stays known.
+REMEMBERED = 400_000
 
 
-class _NotSolid(Exception):
-    """A space beside other white space: the text needs the exact split."""
+class Memo(dict):
+    """Packed ids by piece or segment; what is new is encoded by `encode`."""
 
+    def __init__(self, encode):
+        super().__init__()
+        self.encode, self.old = encode, {}
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.old.get(key)
+        if found is None:
+            found = self.encode(key)
+        self[key] = found
+        return found
 
-class Encoder(dict):
-    """encode(texts) gives one unsigned array of ids for each text. As a dict: segments (without their space) to packed ids."""
+    def age(self) -> None:
+        if len(self) > REMEMBERED:
+            self.old = dict(self)
+            self.clear()
+
+
+class Encoder:
+    """encode(texts) gives one unsigned array of ids for each text."""
 
     def __init__(self, path: str):
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # a special token's string in a text is ordinary text
         self.dtype = np.uint16 if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
+        self.code = "H" if self.dtype is np.uint16 else "I"
         built = json.loads(self.tok.to_str())
         before = built.get("pre_tokenizer") or {}
         self.splits = built.get("normalizer") is None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and built["model"]["type"] == "BPE" and not built["model"].get("dropout")
         self.model = self.tok.model
-        self.code = "H" if self.dtype is np.uint16 else "I"
-        self.pieces: dict[str, bytes] = {}
+        self.pieces, self.segments = Memo(self._piece), Memo(self.plain)
 
     def plain(self, text: str) -> bytes:
         return array(self.code, self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        found = self.pieces[piece] = array(self.code, [t.id for t in self.model.tokenize(piece.encode().decode("latin1").translate(BYTES))]).tobytes()
-        return found
-
-    def __missing__(self, segment: str) -> bytes:
-        if not _SOLID.match(segment):
-            raise _NotSolid
-        text = " " + segment
-        if _COMMON.fullmatch(segment):
-            known = self.pieces
-            found = b"".join([known.get(p) or self._piece(p) for p in PATTERN.findall(text)])
-        else:
-            found = self.plain(text)
-        self[segment] = found
-        return found
+        return array(self.code, [t.id for t in self.model.tokenize(piece.encode().decode("latin1").translate(BYTES))]).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.splits:
             return [np.frombuffer(self.plain(t), self.dtype) for t in texts]
-        if len(self) > SEGMENTS:
-            self.clear()
-        if len(self.pieces) > PIECES:
-            self.pieces.clear()
+        self.pieces.age()
+        self.segments.age()
         out = []
         for t in texts:
-            first, *rest = t.split(" ")
-            try:  # most texts have single spaces only
-                if rest and not _SOLID.match(first):
-                    raise _NotSolid
-                known = list(map(self.__getitem__, rest))
-            except _NotSolid:
+            if _COMMON.fullmatch(t):
+                raw = b"".join(map(self.pieces.__getitem__, PATTERN.findall(t)))
+            else:
                 first, *rest = _EDGE.split(t)
-                known = list(map(self.__getitem__, rest[:-1]))
-                for last in rest[-1:]:  # it alone may end in white space
-                    known.append(self[last] if _SOLID.match(last) else self.plain(" " + last))
-            known.insert(0, self.plain(first) if first else b"")
-            out.append(np.frombuffer(b"".join(known), self.dtype))
+                raw = b"".join([self.plain(first) if first else b"", *(self.segments[" " + s] for s in rest)])
+            out.append(np.frombuffer(raw, self.dtype))
         return out
 
 
