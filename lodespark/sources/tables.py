@@ -21,6 +21,15 @@ SCHEMAS = {
 }
 
 
+def spread(df: DataFrame, least_bytes: int = 4 << 20) -> DataFrame:
+    """A scan in fewer tasks than there are cores (a file of one row group, say) is dealt out; larger inputs are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution()
+    if int(str(plan.optimizedPlan().stats().sizeInBytes())) < least_bytes or plan.toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def ensure(spark: SparkSession, root: str, name: str) -> DataFrame:
     """The table, created empty if it is missing."""
     try:
