@@ -44,11 +44,10 @@ def bm25(tokens: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def _matches(tokens: DataFrame, asked: DataFrame) -> DataFrame:
-    """qid, term, times, id, tf, len of the documents' terms that are asked for."""
-    words = asked.agg(F.collect_set("term").alias("asked"))
-    own = tokens.crossJoin(F.broadcast(words)).select("id", F.size("t").alias("len"), F.filter("t", lambda x: F.array_contains("asked", x)).alias("t"))
-    tf = own.select("id", "len", F.explode("t").alias("term")).groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
-    return tf.join(F.broadcast(asked), "term")
+    """qid, term, times, id, tf, len of the documents' terms that are asked for: a hash look-up of each token, then a count."""
+    words = asked.select("term").distinct()
+    own = tokens.select("id", F.size("t").alias("len"), F.explode("t").alias("term")).join(F.broadcast(words), "term")
+    return own.groupBy("id", "len", "term").agg(F.count("*").alias("tf")).join(F.broadcast(asked), "term")
 
 
 def bm25_okapi(tokens: DataFrame, queries: DataFrame) -> DataFrame:
