@@ -114,12 +114,22 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, held: int, f
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
 
 
+def prior_shift(labels: DataFrame, label: str, held: int, folds: int, y: np.ndarray) -> float:
+    """What to add to log-odds learnt on a sample with other class shares than the labelled rows have."""
+    known = labels.where(F.col(label).isNotNull() & (fold(F.col("doc_id"), folds) != held)).groupBy("doc_id").agg(F.max(label).alias("y"))
+    n = {int(r.y > 0): r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    n1, n0, m1, m0 = n.get(1, 0), n.get(0, 0), int((y > 0).sum()), int((y <= 0).sum())
+    return float(np.log(n1 / n0 * m0 / m1)) if n1 and n0 and m1 and m0 else 0.0
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", held: int = 2, folds: int = 4, per_class: int = 1000) -> DataFrame:
     """doc_id, held_out, score, predicted for every row, learnt from at most per_class documents of each class."""
     sample = with_statistics(training_sample(docs, labels, label, held, folds, per_class).select("doc_id", "text"))
     known = labels.where(F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
     rows = sample.join(known, "doc_id").toPandas().sort_values(["doc_id", "s_deflated"], kind="stable")
     names = [f"s_{s}" for s in STATS]
-    rules = fit_rules(rows[names].to_numpy(float), rows["y"].to_numpy())
+    y = rows["y"].to_numpy()
+    rules = fit_rules(rows[names].to_numpy(float), y)
+    rules.intercept += prior_shift(labels, label, held, folds, y) if rules.rules else 0.0
     scored = with_statistics(docs).withColumn("score", rules.expression())
     return scored.select("doc_id", (fold(F.col("doc_id"), folds) == held).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
