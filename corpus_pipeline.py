@@ -1,8 +1,8 @@
 """A corpus pipeline over the columns of `documents`: language ID, near duplicates, repeated passages, benchmark hits, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result as Parquet to the shared folder and
-reads it back for the next stage. Rows travel through the operators as one struct column beside doc_id and text, so any
-other columns, whatever their names, repeated rows and nulls come out as they went in; n_chars follows a rewritten text.
+reads it back for the next stage. Other columns travel through the operators as one struct beside doc_id and text, so
+they, whatever their names, repeated rows and nulls come out as they went in; n_chars follows a rewritten text.
 
 Defined results: a null text has no letters (dropped by the first stage), links with nothing, loses nothing, is not
 contaminated and packs as its end id. Empty tables stay empty.
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodespark.llm import decontaminate, langid, ngram_join, packing, suffix_dedup
-from lodespark.llm.common import materialize, table
+from lodespark.llm.common import bounded_batches, materialize, table
 from lodespark.llm.queries import tokenizer
 
 #: DuckDB SQL for run()'s rows: none, as packing and language ID have no SQL form; tests hold each stage against brute force.
@@ -22,11 +22,16 @@ ORACLE_SQL = None
 
 
 def _boxed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"))
+    """doc_id, text, and all other columns as one."""
+    bounded_batches(docs.sparkSession)
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*others, F.lit(None).cast("int").alias("_")).alias("_doc"))
 
 
-def _unboxed(rows: DataFrame) -> DataFrame:
-    return rows.select("_doc.*")
+def _unboxed(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of `docs` again, in their order and types."""
+    own = lambda c: F.col(c) if c in ("doc_id", "text") else F.col(f"_doc.`{c}`")
+    return rows.select(*(own(f.name).cast(f.dataType).alias(f.name) for f in docs.schema))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,13 +41,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     models = langid.fit(docs.select("doc_id", "text", "lang"))
     if not models.names:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    return _unboxed(langid.identify(_boxed(docs), models).where(~F.col("lang_rejected")))
+    return _unboxed(langid.identify(_boxed(docs), models).where(~F.col("lang_rejected")), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates (five-word shingles, similarity 0.8): the one with the smallest doc_id.
 
     Rows that repeat a doc_id are one document: one of them stays if it does. Rows without an id stay."""
+    bounded_batches(spark)
     found = ngram_join.link_components(docs.select("doc_id", "text"), k=5, percent=80).where("doc_id is not null")
     ids = materialize(found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("head")), "kept-ids")
     gone = ids.where("not head").select("doc_id")
@@ -57,33 +63,24 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts strings of 100 bytes that also start earlier. A character cut in half goes whole; a document of which nothing but white space is left goes."""
-    rows = suffix_dedup.remove_repeats(_boxed(docs), length=100)
+    rows = suffix_dedup.remove_repeats(_boxed(docs), length=100, as_text=True)
     cut = F.size("removed") > 0
-    rows = rows.where(~cut | F.decode("kept", "ISO-8859-1").rlike(r"[^\x00-\x20]"))
-    doc = F.col("_doc").withField("text", F.when(cut, _whole(F.col("kept"))).otherwise(F.col("text")))
+    rows = rows.where(~cut | F.col("kept").rlike(r"[^\x00-\x20]"))
+    rows = rows.withColumn("text", F.when(cut, F.col("kept")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        doc = doc.withField("n_chars", F.when(cut, F.char_length(doc["text"]).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_doc.n_chars")))
-    return _unboxed(rows.select(doc.alias("_doc")))
-
-
-def _whole(raw):
-    """The text of UTF-8 bytes, without parts of characters that a cut left behind."""
-
-    @F.pandas_udf("string")
-    def whole(col):
-        return col.map(lambda b: b if b is None else bytes(b).decode("utf-8", "ignore"))
-
-    return whole(raw)
+        rows = rows.withColumn("_doc", F.col("_doc").withField("n_chars", F.when(cut, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_doc.n_chars"))))
+    return _unboxed(rows, docs)
 
 
 def benchmark_hits(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of which a twentieth or more of the words lie in windows of benchmark items."""
     hits = decontaminate.find_contamination(_boxed(docs), table(spark, sf_dir, "benchmark"))
-    return _unboxed(hits.where(~decontaminate.contaminated(F.col("n_words"), F.col("n_hit"))))
+    return _unboxed(hits.where(~decontaminate.contaminated(F.col("n_words"), F.col("n_hit"))), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences of 2048 tokens: one row for each piece."""
+    bounded_batches(spark)
     return packing.pack(docs, tokenizer("byte_bpe_50k.json"), end_id=1, size=2048)
 
 

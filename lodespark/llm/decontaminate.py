@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, U64, chunks, mix64, shingles, words
+from .common import ALNUM, U64, chunks, mix64, release, shingles, words
 
 TOKEN = 3
 
@@ -125,6 +125,7 @@ def _count(docs: DataFrame, vocab: dict[int, np.ndarray]) -> dict[tuple[int, int
                     at = np.searchsorted(x, t)
                     at[at == len(x)] = 0
                     n[k] += np.bincount(at[(x[at] == t) & _inside(before, len(t), k)], minlength=len(x))
+        release()
         for k, x in v.items():
             hit = n[k] > 0
             yield pa.RecordBatch.from_arrays([pa.array(np.full(int(hit.sum()), k), pa.int32()), pa.array(x[hit].view(np.int64)), pa.array(n[k][hit])], names=["k", "h", "n"])
@@ -204,6 +205,7 @@ def _hits(docs: DataFrame, block: Block, row: bool) -> DataFrame:
                     items[d] = sorted({blk.ids[i] for i in np.unique(item[lo:hi])})
                 cols = [*b.slice(a, e - a).columns, pa.array(np.diff(before)), pa.array(spans, span), pa.array(items, pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(cols, names=[*kept, "n_words", "spans", "items"])
+        release()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", " + _OUT
     return docs.mapInArrow(run, schema)

@@ -31,13 +31,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED, U64, chunks, materialize, mix64, partitions_for, shingles, words
+from .common import SPACED, U64, chunks, materialize, mix64, partitions_for, release, shingles, words
 
 #: A set of candidate documents up to this many is broadcast to the scan that fetches their texts; more are joined.
 BROADCAST_ROWS = 500_000
 LEVELS = 3
 #: Keys that a task sorts at a time.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 
 
 def bound(a: int, b: int, percent: int) -> int:
@@ -175,6 +175,7 @@ def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
             for a, e, data, off in chunks(batch.column(1)):
                 n, node, narrow, _, _ = sketch(data, off, k, 0)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, e - a), pa.array(n), pa.array(node.view(np.int64)), *(pa.array(w.view(np.int64)) for w in narrow)], names=[x.split()[0] for x in _SIG.split(", ")])
+        release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SIG)
 
@@ -237,6 +238,8 @@ def block_members(docs: DataFrame, k: int, percent: int) -> DataFrame:
                     held, size, turn = [], 0, turn + 1
         if size:
             yield flush()
+        held = []
+        release()
 
     def meet(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         raw = [unpack(x) for x in table.column("entries").to_pylist()]
@@ -245,6 +248,8 @@ def block_members(docs: DataFrame, k: int, percent: int) -> DataFrame:
             keys, nodes, first = sorted_pairs(keys, nodes)
             own = shared(first)
             keys, nodes = keys[own], nodes[own]
+        del raw
+        release()
         return pa.table([pa.array(keys.view(np.int64)), pa.array(nodes.view(np.int64))], names=["key", "short"])
 
     return docs.select("text").mapInArrow(run, "part int, entries binary").groupBy("part").applyInArrow(meet, "key long, short long")
@@ -256,6 +261,7 @@ def _shingle_sets(docs: DataFrame, k: int) -> DataFrame:
             for a, e, data, off in chunks(batch.column(1)):
                 t, first = sets(data, off, k)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, e - a), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(t.view(np.int64)))], names=["node", "shingles"])
+        release()
 
     return docs.select("node", "text").mapInArrow(run, "node long, shingles array<long>")
 

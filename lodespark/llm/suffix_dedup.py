@@ -396,11 +396,13 @@ def merge_ranges(runs: DataFrame, length: int) -> DataFrame:
 
 # ---- cut ------------------------------------------------------------------------------------------
 
-_CUT = "n_bytes long, removed array<struct<start:long,end:long>>, kept binary"
+_CUT = "n_bytes long, removed array<struct<start:long,end:long>>, kept "
 
 
-def cut_blocks(spans: DataFrame, base: str, docs: DataFrame) -> DataFrame:
-    """The rows of all blocks (each has a row in `spans`, of row -1 at least) with n_bytes, removed and kept."""
+def cut_blocks(spans: DataFrame, base: str, docs: DataFrame, as_text: bool = False) -> DataFrame:
+    """The rows of all blocks (each has a row in `spans`, of row -1 at least) with n_bytes, removed and kept.
+
+    as_text: kept is text; a character of which a cut has left only a part goes whole."""
     names = [c for c in docs.columns if c not in ("n_bytes", "removed", "kept")]
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
@@ -432,14 +434,16 @@ def cut_blocks(spans: DataFrame, base: str, docs: DataFrame) -> DataFrame:
                     keep[a:b] = False
                 kept.append(text[keep].tobytes())
             done += len(col)
-        return pa.table([*(tab.column(c) for c in names), pa.array(n_bytes, pa.int64()), pa.array(removed, span), pa.array(kept, pa.binary())], names=[*names, "n_bytes", "removed", "kept"])
+        release()
+        last = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+        return pa.table([*(tab.column(c) for c in names), pa.array(n_bytes, pa.int64()), pa.array(removed, span), last], names=[*names, "n_bytes", "removed", "kept"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names) + ", " + _CUT
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names) + ", " + _CUT + ("string" if as_text else "binary")
     return spans.groupBy("block").applyInArrow(run, schema)
 
 
-def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
-    """All columns of `docs` with n_bytes, removed (spans in bytes) and kept (the bytes that remain)."""
+def remove_repeats(docs: DataFrame, length: int = 100, as_text: bool = False) -> DataFrame:
+    """All columns of `docs` with n_bytes, removed (spans in bytes) and kept (the bytes that remain, or their text)."""
     spark = docs.sparkSession
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long")).drop("n_bytes", "removed", "kept")
     base = scratch(spark, "text")
@@ -454,7 +458,7 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     runs = materialize(make_runs(hits, base, splitters, length), "runs")
     far = merge_ranges(runs.where("part >= 0"), length)
     none = blocks.select("block", F.lit(-1).cast("long").alias("row"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"))
-    return cut_blocks(_unpack(runs.where("part < 0").select("block", "spans")).unionByName(far).unionByName(none), base, docs)
+    return cut_blocks(_unpack(runs.where("part < 0").select("block", "spans")).unionByName(far).unionByName(none), base, docs, as_text)
 
 
 def _unpack(rows: DataFrame) -> DataFrame:
