@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions import text
 
@@ -71,23 +74,35 @@ def touching(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").unionByName(edges.join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select(*edges.columns)).distinct()
 
 
-def bfs_layers(nodes: DataFrame, edges: DataFrame, most: int = 100) -> DataFrame:
-    """id, layer: hops from the roots (no edge in), level by level until nothing is new; others follow one by one."""
-    own = edges.where("src <> dst").select("src", "dst").distinct()
-    roots = nodes.select("id").join(own.select(F.col("dst").alias("id")), "id", "left_anti")
-    layers = front = roots.withColumn("layer", F.lit(0))
-    for level in range(1, most):
-        front = own.join(front.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct().join(layers.select("id"), "id", "left_anti").withColumn("layer", F.lit(level))
-        front = front.cache()
+def bfs_layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, layer: hops from the roots (no edge in), level by level until nothing is new; others follow one by one.
+
+    Levels are tables in spark.checkpoint.dir, so the plan of a level does not grow with its depth."""
+    spark = nodes.sparkSession
+    found = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/lodespark"
+    base = f"{found.rstrip('/')}/lodespark/layers-{uuid.uuid4().hex}"
+    nodes = _written(nodes.select("id"), f"{base}/nodes")
+    own = _written(edges.where("src <> dst").select("src", "dst").distinct(), f"{base}/edges")
+    front = _written(nodes.join(own.select(F.col("dst").alias("id")), "id", "left_anti"), f"{base}/levels/layer=0")
+    level = 0
+    while True:
+        layers = spark.read.schema(StructType([nodes.schema["id"], StructField("layer", IntegerType())])).parquet(f"{base}/levels")
         if front.isEmpty():
             break
-        layers = layers.unionByName(front)
+        level += 1
+        near = own.join(front.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
+        front = _written(near.join(layers.select("id"), "id", "left_anti"), f"{base}/levels/layer={level}")
     last = layers.agg(F.coalesce(F.max("layer"), F.lit(-1)).alias("last"))
-    rest = nodes.select("id").join(layers.select("id"), "id", "left_anti").crossJoin(F.broadcast(last))
+    rest = nodes.join(layers.select("id"), "id", "left_anti").crossJoin(F.broadcast(last))
     rest = rest.select("id", (F.col("last") + F.row_number().over(Window.partitionBy("last").orderBy("id"))).alias("layer"))
     return layers.unionByName(rest)
 
 
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def layout(layers: DataFrame, dx: int = 220, dy: int = 80) -> DataFrame:
     w = Window.partitionBy("layer").orderBy("id")
     return layers.select("id", (F.col("layer") * dx).alias("x"), ((F.row_number().over(w) - 1) * dy).alias("y"))
