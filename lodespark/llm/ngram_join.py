@@ -180,6 +180,11 @@ def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SIG)
 
 
+def part_of(key: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each 48-bit key, in the keys' order: from their top 32 bits, so the product stays below 2^64 for any number of parts below 2^32."""
+    return ((key >> U64(16)) * U64(parts) >> U64(32)).astype(np.int64)
+
+
 def block_members(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(key, short): the low 48 bits of the nodes of each block key that more than one node has; a few keys may have only one.
 
@@ -223,7 +228,7 @@ def block_members(docs: DataFrame, k: int, percent: int) -> DataFrame:
             own = shared(first)
             out = [(parts + (task + turn) % parts, pack(key[own], node[own]))] if own.any() else []
             key, node = key[first], node[first]
-            part = (key * U64(parts) >> U64(48)).astype(np.int64)
+            part = part_of(key, parts)
             edge = np.searchsorted(part, np.arange(parts + 1))
             out += [(p, pack(key[a:e], node[a:e])) for p, (a, e) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if a < e]
             return pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["part", "entries"])
