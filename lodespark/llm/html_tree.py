@@ -37,11 +37,19 @@ BROADCAST_ENTRIES = 500_000
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg math canvas audio video head textarea select".split())
+#: Text up to the end tag, whatever tags it seems to hold; the rest of the page where there is none.
+RAW = frozenset("script style textarea title".split())
+#: Elements without text of the page. One that is not closed ends with its parent; head also ends where what it cannot hold begins.
+GONE = frozenset("noscript template iframe object svg math canvas audio video head select".split())
+IN_HEAD = frozenset("base link meta noscript script style template title".split())
+#: A block ends these, unless one of FOREIGN is nearer.
+NO_BLOCKS, FOREIGN = frozenset("svg math select".split()), frozenset("foreignobject annotation-xml".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 ENDS_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "html", "body"}
 CLOSES = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 LIMITS = {"li": {"ul", "ol", "menu", "dir"}, "dd": {"dl"}, "dt": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
+#: What stands in these ends nothing outside.
+SCOPES = frozenset("noscript template object".split())
 #: Elements, roles and words of class or id that mark what is not the article.
 ASIDE = frozenset("nav footer aside form menu dialog button label fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form toolbar".split())
@@ -75,16 +83,16 @@ def parse(page: str | None):
     """Blocks (path, text, marked, in article or main), and the child tags of each path."""
     blocks: list[tuple[str, str, bool, bool]] = []
     styles: dict[str, list[str]] = {}
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, path, marked, main
+    stack: list[tuple[str, str, bool, bool, bool]] = []  # tag, path, marked, main, gone
     held: dict[bool, list[str]] = {False: [], True: []}
     page = page or ""
     at, end = 0, len(page)
 
-    def top() -> tuple[str, str, bool, bool]:
-        return stack[-1] if stack else ("", "", False, False)
+    def top() -> tuple[str, str, bool, bool, bool]:
+        return stack[-1] if stack else ("", "", False, False, False)
 
     def flush() -> None:
-        _, path, marked, main = top()
+        _, path, marked, main, _ = top()
         for off in (False, True):
             if held[off]:
                 text = " ".join("".join(held[off]).split())
@@ -98,8 +106,11 @@ def parse(page: str | None):
         if not m:
             continue
         if m["text"] is not None or m["cdata"] is not None:
-            _, _, marked, _ = top()
-            held[marked].append(_html.unescape(m["text"] or m["cdata"] or ""))
+            said = _html.unescape(m["text"] or m["cdata"] or "")
+            if top()[0] == "head" and said.strip():
+                stack.pop()
+            if not top()[4]:
+                held[top()[2]].append(said)
             continue
         tag = (m["tag"] or "").lower()
         if not tag:
@@ -109,15 +120,28 @@ def parse(page: str | None):
                 continue
             if any(s[0] == tag for s in stack):
                 while stack:
-                    if stack[-1][0] in BLOCK:
+                    if stack[-1][0] in BLOCK and not stack[-1][4]:
                         flush()
                     if stack.pop()[0] == tag:
                         break
             continue
-        if tag in RAW and not m["attrs"].rstrip().endswith("/"):
+        whole = m["attrs"].rstrip().endswith("/")
+        if tag in RAW and not whole:
             close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = close.end() if close else end
             continue
+        if tag == "body":
+            _close(stack, {"head"}, (), flush)
+        elif top()[0] == "head" and tag not in IN_HEAD:
+            stack.pop()
+        if tag in BLOCK and tag != "hr":
+            _close(stack, NO_BLOCKS, FOREIGN, flush)
+        if top()[4] and tag in CLOSES:
+            _close(stack, CLOSES[tag], LIMITS[tag] | SCOPES, flush)
+        if tag in GONE or top()[4]:
+            if not whole and tag not in VOID:
+                stack.append((tag, *top()[1:4], True))
+            continue
         if tag == "br":
             held[top()[2]].append(" ")
             continue
@@ -130,14 +154,14 @@ def parse(page: str | None):
         if tag in VOID:
             continue
         attrs = {a[1].lower(): _html.unescape(a[2] or a[3] or a[4] or "") for a in _ATTR.finditer(m["attrs"])} if m["attrs"].strip() else {}
-        _, path, marked, main = top()
+        _, path, marked, main, _ = top()
         main = main or tag in ("article", "main") or attrs.get("role", "").lower() == "main" or attrs.get("itemprop", "").lower() == "articlebody"
         off = marked or _marked(tag, attrs, main)
         if tag in BLOCK:
             name = ".".join([tag, *sorted(set(re.sub(r"\d+", "", attrs.get("class", "")).split()))])
             styles.setdefault(path, []).append(name)
             path = f"{path}/{name}"
-        stack.append((tag, path, off, main))
+        stack.append((tag, path, off, main, False))
     flush()
     return blocks, {p: "|".join(dict.fromkeys(c)) for p, c in styles.items()}
 
@@ -147,7 +171,7 @@ def _close(stack, tags, limits, flush) -> None:
     for k in range(len(stack) - 1, -1, -1):
         if stack[k][0] in tags:
             while len(stack) > k:
-                if stack[-1][0] in BLOCK:
+                if stack[-1][0] in BLOCK and not stack[-1][4]:
                     flush()
                 stack.pop()
             return

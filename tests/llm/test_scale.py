@@ -14,3 +14,32 @@ def test_parts_follow_the_keys(parts):
     part = part_of(key, parts)
     assert [int(p) for p in part] == [(int(k) >> 16) * parts >> 32 for k in key]
     assert (part[1:] >= part[:-1]).all() and part[0] == 0 and part[-1] == parts - 1
+
+
+def kept(page):
+    from lodespark.llm.html_tree import parse
+
+    return [t for _, t, off, _ in parse(page)[0] if not off]
+
+
+@pytest.mark.parametrize("start", ["<html><head><title>t</title><meta charset=utf-8><style>p{}</style>", "<head><script>x</script>", "<head><noscript><img>"])
+def test_head_may_stay_open(start):
+    assert kept(f"{start}<body><article><p>one<p>two</article>") == ["one", "two"]
+
+
+def test_head_ends_at_the_first_block_or_text():
+    assert kept("<head><title>t</title><link rel=x><p>one</p><p>two</p>") == ["one", "two"]
+    assert kept("<head><title>t</title> \n text <b>bold</b>") == ["text bold"]
+
+
+@pytest.mark.parametrize("tag", "iframe object noscript select svg video audio canvas template math".split())
+def test_unclosed_elements_end_with_their_parent(tag):
+    assert kept(f"<p>one</p><div><{tag} x=1><a>gone</a></div><p>two</p>") == ["one", "two"]
+    assert kept(f"<p>one <{tag}><b>gone</b></{tag}> more</p><p>two</p>") == ["one more", "two"]
+    assert kept(f"<ul><li>one<li><{tag}>gone</ul><p>two</p>") == ["one", "two"]
+
+
+def test_blocks_in_what_is_gone_split_nothing():
+    assert kept("<p>one <noscript><div>gone</div></noscript> more</p>") == ["one more"]
+    assert kept("<article>one <svg><path d='x'><p>two</p></article>") == ["one", "two"]
+    assert kept("<p>one</p><script>var a = '<p>gone</p>'") == ["one"]
