@@ -1,7 +1,7 @@
 """Main-text extraction with a site style tree.
 
 Pages are parsed into blocks (runs of text of one block-level element) with their paths of tags and classes. The DOMs of all
-distinct pages of a host are merged by path: an element node of the tree is a (host, path), with the pages that have it,
+distinct pages of a host (near copies count once) are merged by path: an element node of the tree is a (host, path), with the pages that have it,
 the child sequences (presentation styles) it takes and the contents of its blocks. A node's importance is high where styles
 or contents differ between pages and low where they repeat:
 
@@ -10,7 +10,8 @@ or contents differ between pages and low where they repeat:
   branch importance   (1 - GAMMA) x node importance + GAMMA x mean content importance of the blocks below it
 
 Branches whose importance is below LEAST are noise on that host; each page loses the blocks of its host's noisy branches,
-and those that its own markup marks as menu, header, footer, sidebar, notice, advert, form or reader comment.
+and those that its own markup marks as menu, header, footer, sidebar, notice, advert, form or reader comment. An article or
+main of which nothing would be left stays as it is.
 
 Counts run per (host, path, content), pre-aggregated, so a host with a third of all pages is no single group. Only a
 host's noisy paths, which many of its pages share, are brought to its pages.
@@ -20,6 +21,7 @@ Defined results: null or empty html gives an empty text; a null url is a host of
 
 from __future__ import annotations
 
+import hashlib
 import html as _html
 import re
 
@@ -32,6 +34,8 @@ from .common import materialize
 GAMMA, LEAST, MIN_PAGES = 0.9, 0.3, 4
 #: A content on this share of a host's pages (of 10 at least) is part of the template wherever it stands.
 TEMPLATE_SHARE, TEMPLATE_PAGES = 0.9, 10
+#: Pages of a host are near copies if their blocks of this many words are equal and hold this share of their text.
+COPY_WORDS, COPY_SHARE = 10, 0.9
 #: Noise of all hosts up to this many paths and contents is broadcast; more is joined by host.
 BROADCAST_ENTRIES = 500_000
 
@@ -179,12 +183,22 @@ def _close(stack, tags, limits, flush) -> None:
             return
 
 
-_PARSED = "blocks array<struct<path:string,text:string,marked:boolean,main:boolean>>, styles array<struct<path:string,style:string>>"
+def copy_key(blocks) -> int | None:
+    """The same for near copies: a hash of what a page's article or main (or else all it does not mark) says in long blocks, or in all if those do not make up nearly all of it."""
+    own = [b for b in blocks if not b[2]]
+    said = [b[1] for b in own if b[3]] or [b[1] for b in own]
+    long = [t for t in said if t.count(" ") + 1 >= COPY_WORDS]
+    if sum(map(len, long)) >= COPY_SHARE * sum(map(len, said)):
+        said = long
+    return int.from_bytes(hashlib.blake2b("\n".join(said).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True) if said else None
+
+
+_PARSED = "copy long, blocks array<struct<path:string,text:string,marked:boolean,main:boolean>>, styles array<struct<path:string,style:string>>"
 
 
 def parse_pages(pages: DataFrame, html: str = "html") -> DataFrame:
-    """All columns of `pages` but html, with host, page_hash, blocks and styles."""
-    names = [c for c in pages.columns if c not in (html, "host", "page_hash", "blocks", "styles")]
+    """All columns of `pages` but html, with host, page_hash, copy, blocks and styles."""
+    names = [c for c in pages.columns if c not in (html, "host", "page_hash", "copy", "blocks", "styles")]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name in names)
     block = pa.list_(pa.struct([("path", pa.string()), ("text", pa.string()), ("marked", pa.bool_()), ("main", pa.bool_())]))
     style = pa.list_(pa.struct([("path", pa.string()), ("style", pa.string())]))
@@ -196,8 +210,8 @@ def parse_pages(pages: DataFrame, html: str = "html") -> DataFrame:
             for a in range(0, b.num_rows, 128):
                 part = b.slice(a, 128)
                 found = [parse(t) for t in part.column(html).to_pylist()]
-                cols = [*(part.column(c) for c in (*names, "host", "page_hash")), pa.array([[dict(zip(("path", "text", "marked", "main"), x, strict=True)) for x in f[0]] for f in found], block), pa.array([[{"path": p, "style": s} for p, s in f[1].items()] for f in found], style)]
-                yield pa.RecordBatch.from_arrays(cols, names=[*names, "host", "page_hash", "blocks", "styles"])
+                cols = [*(part.column(c) for c in (*names, "host", "page_hash")), pa.array([copy_key(f[0]) for f in found], pa.int64()), pa.array([[dict(zip(("path", "text", "marked", "main"), x, strict=True)) for x in f[0]] for f in found], block), pa.array([[{"path": p, "style": s} for p, s in f[1].items()] for f in found], style)]
+                yield pa.RecordBatch.from_arrays(cols, names=[*names, "host", "page_hash", "copy", "blocks", "styles"])
 
     return rows.mapInArrow(run, f"{kinds}, host string, page_hash long, {_PARSED}")
 
@@ -205,7 +219,8 @@ def parse_pages(pages: DataFrame, html: str = "html") -> DataFrame:
 def style_tree(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(host, path, importance, m) of the merged trees' nodes, and (host, content) that stands on nearly all pages of a host."""
     hashed = F.array_distinct(F.transform("blocks", lambda b: F.struct(b["path"].alias("path"), F.xxhash64(b["text"]).alias("content"))))
-    one = parsed.select("host", "page_hash", F.struct(hashed.alias("blocks"), "styles").alias("p")).groupBy("host", "page_hash").agg(F.first("p").alias("p"))  # equal pages count once
+    one = parsed.select("host", "page_hash", F.coalesce("copy", "page_hash").alias("copy"), F.struct(hashed.alias("blocks"), "styles").alias("p"))
+    one = one.groupBy("host", "copy").agg(F.min_by("p", "page_hash").alias("p"), F.min("page_hash").alias("page_hash"))  # near copies count once
     content = one.select("host", "page_hash", F.explode("p.blocks").alias("b"))
     content = content.select("host", "page_hash", "b.path", "b.content")
     shown = content.groupBy("host", "path", "content").agg(F.count("*").alias("c"))
@@ -239,7 +254,7 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     rows = parsed.join(F.broadcast(known) if size <= BROADCAST_ENTRIES else known, "host", "left")
     keeps = lambda b: ~b["marked"] & ~F.coalesce(F.exists("noisy", lambda p: (b["path"] == p) | F.startswith(b["path"], F.concat(p, F.lit("/")))), F.lit(False)) & ~F.coalesce(F.array_contains("common", F.xxhash64(b["text"])), F.lit(False))
     rows = rows.withColumn("_own", F.filter("blocks", keeps))
-    main = F.filter("_own", lambda b: b["main"])
-    text = F.array_join(F.transform(F.when(F.size(main) > 0, main).otherwise(F.col("_own")), lambda b: b["text"]), "\n")
+    main, whole = F.filter("_own", lambda b: b["main"]), F.filter("blocks", lambda b: b["main"] & ~b["marked"])
+    text = F.array_join(F.transform(F.when(F.size(main) > 0, main).when(F.size(whole) > 0, whole).otherwise(F.col("_own")), lambda b: b["text"]), "\n")
     out = [c for c in pages.columns if c not in (html, "text")]
     return rows.select(*out, F.coalesce(text, F.lit("")).alias("text"))

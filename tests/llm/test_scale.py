@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import edge
 import numpy as np
 import pytest
 
@@ -43,3 +44,31 @@ def test_blocks_in_what_is_gone_split_nothing():
     assert kept("<p>one <noscript><div>gone</div></noscript> more</p>") == ["one more"]
     assert kept("<article>one <svg><path d='x'><p>two</p></article>") == ["one", "two"]
     assert kept("<p>one</p><script>var a = '<p>gone</p>'") == ["one"]
+
+
+def texts(spark, htmls):
+    from lodespark.llm.html_tree import extract
+
+    rows = [(i, f"http://h.example/{i}", h) for i, h in enumerate(htmls)]
+    return [r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+@pytest.mark.parametrize("n", [4, 12])
+@pytest.mark.parametrize("main", ["article", "div"])
+def test_near_copies_keep_their_text(spark, n, main):
+    says = [edge.prose(k, 40) for k in range(3)]
+    body = "".join(f"<p>{t}</p>" for t in says)
+    ads, dates = (texts(spark, [x(i) for i in range(n)]) for x in (
+        lambda i: f"<div class=ad>buy {i}</div><{main}>{body}</{main}><section class=comments>{edge.prose(i + 50, 30)}</section>",
+        lambda i: f"<{main}><time>day {'abcdefghijkl'[i]}</time>{body}</{main}>",
+    ))
+    assert ads == ["\n".join(says)] * n
+    assert dates == ["\n".join([f"day {'abcdefghijkl'[i]}", *says]) for i in range(n)]
+
+
+def test_an_article_is_not_noise_as_a_whole(spark):
+    pages = [f"<div class=top>{edge.prose(i + 20, 30)}</div><article><p>the same few words</p></article>" for i in range(6)]
+    pages += [f"<div class=top>{edge.prose(i + 40, 30)}</div><article><p>the same few words</p><h2>{edge.prose(i, 3)}</h2></article>" for i in range(6)]
+    got = texts(spark, pages)
+    assert got[:6] == ["the same few words"] * 6
+    assert got[6:] == [edge.prose(i, 3) for i in range(6)]
