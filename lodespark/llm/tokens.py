@@ -3,8 +3,8 @@
 A byte-level BPE works on each piece of the pre-tokenizer by itself. A text of common characters is cut by the
 pre-tokenizer's pattern; pieces are looked up, and a new piece goes to the library's BPE model itself. Other texts, whose
 characters another Unicode version might class otherwise, are cut only at single spaces between two non-space
-characters, which no piece crosses, and each new segment goes through the library's whole encode; so does every text for a tokenizer of
-another build.
+characters, which no piece crosses, and each new segment goes through the library's whole encode; so does every text that holds one of
+the tokenizer's added tokens, which the library cuts out first, and every text for a tokenizer of another build.
 """
 
 from __future__ import annotations
@@ -60,12 +60,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # a special token's string in a text is ordinary text
         self.dtype = np.uint16 if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
         self.code = "H" if self.dtype is np.uint16 else "I"
         built = json.loads(self.tok.to_str())
         before = built.get("pre_tokenizer") or {}
         self.splits = built.get("normalizer") is None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and built["model"]["type"] == "BPE" and not built["model"].get("dropout")
+        added = sorted((t["content"] for t in built.get("added_tokens") or []), key=len, reverse=True)
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
         self.model = self.tok.model
         self.pieces, self.segments = Memo(self._piece), Memo(self.plain)
 
@@ -82,7 +83,9 @@ class Encoder:
         self.segments.age()
         out = []
         for t in texts:
-            if _COMMON.fullmatch(t):
+            if self.added.search(t):
+                raw = self.plain(t)
+            elif _COMMON.fullmatch(t):
                 raw = b"".join(map(self.pieces.__getitem__, PATTERN.findall(t)))
             else:
                 first, *rest = _EDGE.split(t)
