@@ -17,20 +17,27 @@ from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 SCHEMA = "file_path string, change_type string, commit_sha string"
 
 
+def in_repository(root: str) -> bool:
+    at = os.path.abspath(root)
+    while not os.path.exists(os.path.join(at, ".git")):
+        if at == os.path.dirname(at):
+            return False
+        at = os.path.dirname(at)
+    return True
+
+
 def listing(root: str) -> dict[str, str]:
-    """path -> content hash of tracked files (git ls-files), or of all files where there is no repository."""
-    try:
-        out = subprocess.run(["git", "-C", root, "ls-files", "-s", "-z"], capture_output=True, text=True, check=True, timeout=60).stdout
+    """path -> content hash of a repository's tracked files (git ls-files; its errors are raised), or of all files where there is no repository."""
+    if in_repository(root):
+        out = subprocess.run(["git", "-C", root, "ls-files", "-s", "-z"], capture_output=True, text=True, check=True).stdout
         return {r.partition("\t")[2]: r.split()[1] for r in out.split("\0") if r.strip()}
-    except (OSError, subprocess.SubprocessError):
-        found = {}
-        for base, dirs, names in os.walk(root):
-            dirs[:] = [x for x in dirs if x != ".git"]
-            for n in names:
-                p = os.path.join(base, n)
-                with open(p, "rb") as f:
-                    found[os.path.relpath(p, root)] = hashlib.sha1(f.read()).hexdigest()
-        return found
+    found = {}
+    for base, _, names in os.walk(root):
+        for n in names:
+            p = os.path.join(base, n)
+            with open(p, "rb") as f:
+                found[os.path.relpath(p, root)] = hashlib.file_digest(f, "sha1").hexdigest()
+    return found
 
 
 def changes(before: dict[str, str], after: dict[str, str]) -> list[tuple[str, str]]:
