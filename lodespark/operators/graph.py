@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions import text
+from ..sources.tables import shared_dir
+from .retrieval import bounded
 
 
 def build(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -50,9 +52,10 @@ def with_both_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def neighbors(edges: DataFrame, start: DataFrame) -> DataFrame:
-    """id, neighbor, type of one undirected hop from start(id): two equi joins, never an OR."""
-    out = edges.join(F.broadcast(start.withColumnRenamed("id", "src")), "src").select(F.col("src").alias("id"), F.col("dst").alias("neighbor"), "type")
-    into = edges.join(F.broadcast(start.withColumnRenamed("id", "dst")), "dst").select(F.col("dst").alias("id"), F.col("src").alias("neighbor"), "type")
+    """id, neighbor, type of one undirected hop from start(id): two equi joins, never an OR. Few start ids are local rows, many are joined by key."""
+    start, _ = bounded(start)
+    out = edges.join(start.withColumnRenamed("id", "src"), "src").select(F.col("src").alias("id"), F.col("dst").alias("neighbor"), "type")
+    into = edges.join(start.withColumnRenamed("id", "dst"), "dst").select(F.col("dst").alias("id"), F.col("src").alias("neighbor"), "type")
     return out.unionByName(into).distinct()
 
 
@@ -79,8 +82,7 @@ def bfs_layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     Levels are tables in spark.checkpoint.dir, so the plan of a level does not grow with its depth."""
     spark = nodes.sparkSession
-    found = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/lodespark"
-    base = f"{found.rstrip('/')}/lodespark/layers-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/lodespark/layers-{uuid.uuid4().hex}"
     nodes = _written(nodes.select("id"), f"{base}/nodes")
     own = _written(edges.where("src <> dst").select("src", "dst").distinct(), f"{base}/edges")
     front = _written(nodes.join(own.select(F.col("dst").alias("id")), "id", "left_anti"), f"{base}/levels/layer=0")
@@ -92,10 +94,21 @@ def bfs_layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         level += 1
         near = own.join(front.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
         front = _written(near.join(layers.select("id"), "id", "left_anti"), f"{base}/levels/layer={level}")
+    rest = _written(nodes.join(layers.select("id"), "id", "left_anti"), f"{base}/rest")
+    if rest.isEmpty():
+        return layers
     last = layers.agg(F.coalesce(F.max("layer"), F.lit(-1)).alias("last"))
-    rest = nodes.join(layers.select("id"), "id", "left_anti").crossJoin(F.broadcast(last))
-    rest = rest.select("id", (F.col("last") + F.row_number().over(Window.partitionBy("last").orderBy("id"))).alias("layer"))
-    return layers.unionByName(rest)
+    return layers.unionByName(numbered(rest, "id").crossJoin(F.broadcast(last)).select("id", (F.col("last") + F.col("nth")).cast("int").alias("layer")))
+
+
+def numbered(rows: DataFrame, key: str) -> DataFrame:
+    """rows with nth, from 1 in the order of key: sorted ranges count their own rows, and only the counts of the ranges before are summed up."""
+    base = f"{shared_dir(rows.sparkSession)}/lodespark/numbered-{uuid.uuid4().hex}"
+    own = rows.repartitionByRange(key).sortWithinPartitions(key).withColumn("_at", F.monotonically_increasing_id())
+    own = _written(own.select(*rows.columns, F.shiftright("_at", 33).alias("_part"), (F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("_nth")), base)
+    counts = own.groupBy("_part").agg(F.count("*").alias("n"))
+    before = counts.select("_part", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row for each range
+    return own.join(before, "_part").select(*rows.columns, (F.col("_before") + F.col("_nth")).alias("nth"))
 
 
 def _written(df: DataFrame, path: str) -> DataFrame:

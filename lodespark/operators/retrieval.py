@@ -1,15 +1,40 @@
 """Sparse and dense retrieval, rank fusion, packing and evaluation over DataFrames.
 
-Tables: docs(id, ...), tokens(id, t array<string>), postings(term, id, tf), lengths(id, len), queries(qid, q).
+Tables: docs(id, ...), tokens(id, t array<string>), postings(term, id, tf, len, bucket), terms(term, df, bucket), stats(n, total, mean, floor), queries(qid, q).
+A sparse corpus is either tokens, which are then counted for each search, or an index: a dict of postings, terms and stats, of
+which a search reads the buckets of its terms only (sources.tables writes and reads one).
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, scoring, text
 
+#: Rows of a query side that are brought to the driver, and from there to every task; a larger side stays a table and is joined by key.
+LOCAL_ROWS = 100_000
+#: Distinct terms or ids that are asked for by name in a scan's filter.
+NAMED = 1000
+#: Query vectors that go to all tasks at a time.
+QUERY_BLOCK = 2048
+
+
+def bounded(df: DataFrame, most: int = LOCAL_ROWS) -> tuple[DataFrame, pa.Table | None]:
+    """df as local rows, if it has at most `most`: Catalyst then knows their size and broadcasts them if they are small. Else df itself."""
+    rows = df.limit(most + 1).toArrow()
+    return (df.sparkSession.createDataFrame(rows), rows) if rows.num_rows <= most else (df, None)
+
+
+def narrowed(df: DataFrame, column: str, rows: pa.Table | None, name: str | None = None) -> DataFrame:
+    """df where `column` is one of the few values that local rows have, so that the scan skips what has none; df itself where there are many."""
+    values = [] if rows is None else rows.column(name or column).unique().drop_null().to_pylist()
+    return df.where(F.col(column).isin(values)) if rows is not None and len(values) <= NAMED else df
+
+
 # ---- sparse ---------------------------------------------------------------------------------------
 
 
@@ -33,36 +58,49 @@ def query_terms(queries: DataFrame, repeated: bool = False) -> DataFrame:
     return terms if repeated else terms.withColumn("times", F.lit(1))
 
 
-def bm25(tokens: DataFrame, queries: DataFrame) -> DataFrame:
-    """qid, id, score with positive scores. Query terms (a bounded side) go to the postings; documents are read once."""
-    asked = query_terms(queries)
-    hits = _matches(tokens, asked)
-    df = hits.select("term", "id").distinct().groupBy("term").agg(F.count("*").alias("df"))
-    scored = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(corpus_stats(tokens)))
-    part = scoring.bm25_idf(F.col("n"), F.col("df")) * scoring.bm25_tf(F.col("tf"), F.col("len"), F.col("mean"))
-    return scored.groupBy("qid", "id").agg(F.sum(part).alias("score")).where("score > 0")
+def index_tables(tokens: DataFrame, buckets: int = 64) -> dict[str, DataFrame]:
+    """The tables of an index: each posting has its document's length, so a search reads nothing else."""
+    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")
+    counted = tokens.select("id", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("term", "id", "len").agg(F.count("*").alias("tf"))
+    terms = counted.groupBy("term").agg(F.count("*").alias("df"))
+    stats = corpus_stats(tokens)
+    floor = terms.crossJoin(F.broadcast(stats)).agg(F.avg(_okapi_raw(F.col("n"), F.col("df"))).alias("floor"))
+    return {"postings": counted.select("term", "id", "tf", "len", bucket), "terms": terms.select("term", "df", bucket), "stats": stats.crossJoin(F.broadcast(floor))}
+
 
+def _okapi_raw(n: Column, df: Column) -> Column:
+    return F.log(n - df + 0.5) - F.log(df + 0.5)
 
-def _matches(tokens: DataFrame, asked: DataFrame) -> DataFrame:
-    """qid, term, times, id, tf, len of the documents' terms that are asked for: a hash look-up of each token, then a count."""
+
+def _hits(corpus: DataFrame | dict[str, DataFrame], queries: DataFrame, repeated: bool = False) -> DataFrame:
+    """qid, term, times, id, tf, len, df and the corpus' n, mean and floor: one row for each document that holds an asked term."""
+    asked, rows = bounded(query_terms(queries, repeated))
+    if isinstance(corpus, dict):
+        buckets = asked.select(F.pmod(F.xxhash64("term"), F.lit(corpus["buckets"])).cast("int").alias("bucket")).distinct().toArrow() if "buckets" in corpus and rows is not None else None
+        own = lambda t: narrowed(narrowed(corpus[t], "bucket", buckets), "term", rows).drop("bucket")
+        return own("postings").join(asked, "term").join(own("terms"), "term").crossJoin(F.broadcast(corpus["stats"]))
     words = asked.select("term").distinct()
-    own = tokens.select("id", F.size("t").alias("len"), F.explode("t").alias("term")).join(F.broadcast(words), "term")
-    return own.groupBy("id", "len", "term").agg(F.count("*").alias("tf")).join(F.broadcast(asked), "term")
+    found = corpus.select("id", F.size("t").alias("len"), F.explode("t").alias("term")).join(words, "term").groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
+    if not repeated:
+        df, stats = found.groupBy("term").agg(F.count("*").alias("df")), corpus_stats(corpus).withColumn("floor", F.lit(0.0))
+    else:
+        df, stats = (index_tables(corpus)[t] for t in ("terms", "stats"))
+        df = df.drop("bucket").join(words, "term")
+    return found.join(asked, "term").join(df, "term").crossJoin(F.broadcast(stats))
 
 
-def bm25_okapi(tokens: DataFrame, queries: DataFrame) -> DataFrame:
-    """The Okapi variant: repeated query terms count again; negative idf becomes a quarter of the mean idf."""
-    df = postings(tokens).groupBy("term").agg(F.count("*").alias("df"))
-    stats = corpus_stats(tokens)
-    raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    idf = df.crossJoin(F.broadcast(stats)).withColumn("raw", raw)
-    mean = idf.agg(F.avg("raw").alias("floor"))
-    asked = query_terms(queries, repeated=True)
-    idf = idf.join(F.broadcast(asked.select("term").distinct()), "term").crossJoin(F.broadcast(mean))
-    idf = idf.select("term", F.when(F.col("raw") < 0, 0.25 * F.col("floor")).otherwise(F.col("raw")).alias("idf"), F.col("mean"))
-    scored = _matches(tokens, asked).join(F.broadcast(idf), "term")
-    part = F.col("times") * F.col("idf") * scoring.bm25_tf(F.col("tf"), F.col("len"), F.col("mean"))
-    return scored.groupBy("qid", "id").agg(F.sum(part).alias("score")).where("score > 0")
+def bm25(corpus: DataFrame | dict[str, DataFrame], queries: DataFrame) -> DataFrame:
+    """qid, id, score with positive scores, from tokens or an index."""
+    part = scoring.bm25_idf(F.col("n"), F.col("df")) * scoring.bm25_tf(F.col("tf"), F.col("len"), F.col("mean"))
+    return _hits(corpus, queries).groupBy("qid", "id").agg(F.sum(part).alias("score")).where("score > 0")
+
+
+def bm25_okapi(corpus: DataFrame | dict[str, DataFrame], queries: DataFrame) -> DataFrame:
+    """The Okapi variant: repeated query terms count again; negative idf becomes a quarter of the mean idf over all terms."""
+    raw = _okapi_raw(F.col("n"), F.col("df"))
+    idf = F.when(raw < 0, 0.25 * F.col("floor")).otherwise(raw)
+    part = F.col("times") * idf * scoring.bm25_tf(F.col("tf"), F.col("len"), F.col("mean"))
+    return _hits(corpus, queries, repeated=True).groupBy("qid", "id").agg(F.sum(part).alias("score")).where("score > 0")
 
 
 def ranked(scores: DataFrame, k: int, by: str = "score", within: tuple[str, ...] = ("qid",), tie: str = "id") -> DataFrame:
@@ -73,31 +111,89 @@ def ranked(scores: DataFrame, k: int, by: str = "score", within: tuple[str, ...]
 
 def path_matches(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """qid, id of chunks whose path holds the query, for queries that look like paths, in the order of ids."""
-    asks = queries.where(F.col("q").rlike("[/.]")).select("qid", F.replace(F.lower("q"), F.lit("\\"), F.lit("/")).alias("p"))
+    asks, rows = bounded(queries.where(F.col("q").rlike("[/.]")).select("qid", F.replace(F.lower("q"), F.lit("\\"), F.lit("/")).alias("p")))
     path = F.replace(F.lower("file_path"), F.lit("\\"), F.lit("/"))
-    hit = chunks.select("id", path.alias("path")).join(F.broadcast(asks), F.contains("path", "p"))
+    if rows is not None and not rows.num_rows:
+        hit = chunks.select("id").limit(0).crossJoin(asks)
+    else:
+        hit = chunks.select("id", path.alias("path")).join(asks, F.contains("path", "p"))
     w = Window.partitionBy("qid").orderBy("id")
     return hit.select("qid", "id", (F.row_number().over(w) - 1).alias("rank")).where(F.col("rank") < k)
 
 
-def sparse_search(chunks: DataFrame, tokens: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def sparse_search(chunks: DataFrame, corpus: DataFrame | dict[str, DataFrame], queries: DataFrame, k: int) -> DataFrame:
     """Path matches first, then BM25, each id once, k of them: qid, id, rank."""
     first = path_matches(chunks, queries, k).select("qid", "id", F.lit(0).alias("part"), F.col("rank").cast("double").alias("o"))
-    then = ranked(bm25(tokens, queries), k).select("qid", "id", F.lit(1).alias("part"), F.col("rank").cast("double").alias("o"))
+    then = ranked(bm25(corpus, queries), k).select("qid", "id", F.lit(1).alias("part"), F.col("rank").cast("double").alias("o"))
     both = first.unionByName(then).groupBy("qid", "id").agg(F.min(F.struct("part", "o")).alias("s"))
     w = Window.partitionBy("qid").orderBy("s.part", "s.o", "id")
     return both.select("qid", "id", (F.row_number().over(w) - 1).alias("rank")).where(F.col("rank") < k)
 
 
+def holding(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """qid, id of the docs(id, body) that hold the whole text of items(qid, text).
+
+    An item's inner words stand between white space in any text that holds it, so documents meet items on the longest of them and are then compared;
+    only items of fewer than three words are looked for in every document."""
+    words = F.split("text", r"\s+")
+    inner = F.filter(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w != "")
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    keyed, _ = bounded(items.select("qid", "text", longest.alias("word")))
+    met = docs.select("id", F.explode(F.array_distinct(F.split("body", r"\s+"))).alias("word")).join(keyed.where("word is not null").select("qid", "word"), "word").select("id", "qid").distinct()
+    found = met.join(docs, "id").join(keyed.select("qid", "text"), "qid").where(F.contains("body", "text")).select("qid", "id")
+    short, rows = bounded(keyed.where("word is null").select("qid", "text"))
+    if rows is None or rows.num_rows:
+        found = found.unionByName(docs.join(short, F.contains("body", "text")).select("qid", "id"))
+    return found.distinct()
+
+
 # ---- dense ----------------------------------------------------------------------------------------
 
 
 def knn(vectors: DataFrame, asked: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
-    """qid, id, score, rank of the k most similar unit vectors. asked: qid, qv; it is the bounded side that goes to every task."""
-    scored = vectors.crossJoin(F.broadcast(asked)).select("qid", "id", scoring.cosine(F.col("v"), F.col("qv")).alias("score"))
-    if exclude_self:
-        scored = scored.where(F.col("qid") != F.col("id"))
-    return ranked(scored.withColumn("score", F.round("score", 6)), k)
+    """qid, id, score, rank of the k most similar unit vectors for each of asked(qid, qv): exact, all vectors against blocks of queries.
+
+    A task multiplies its vectors with a block of QUERY_BLOCK queries and sends on its first k of each. Rows without a vector are not found; ties by id."""
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    parts = [asked] if blocks == 1 else [asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b) for b in range(blocks)]
+    out: DataFrame | None = None
+    for part in parts:
+        one = _knn_block(vectors, part.where("qv is not null").toArrow(), asked.schema["qid"].dataType.simpleString(), k, exclude_self)
+        out = one if out is None else out.unionByName(one)
+    return ranked(out.withColumn("score", F.round("score", 6)), k)
+
+
+def _knn_block(vectors: DataFrame, asked: pa.Table, kind: str, k: int, exclude_self: bool) -> DataFrame:
+    qids = asked.column("qid").combine_chunks()
+    q = np.array(asked.column("qv").to_pylist(), np.float64).reshape(len(qids), -1)
+    own = vectors.sparkSession.sparkContext.broadcast((qids, q))
+
+    def run(batches):
+        qids, q = own.value
+        ids, sims = None, np.zeros((0, len(qids)))
+        best = np.zeros((0, len(qids)), np.int64)  # each query's first k so far, as places in ids
+        for b in batches:
+            b = b.filter(b.column("v").is_valid())
+            if not b.num_rows or not len(qids):
+                continue
+            v = b.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
+            new = v @ q.T
+            if exclude_self:
+                new[np.array(b.column("id").to_pylist(), object)[:, None] == np.array(qids.to_pylist(), object)[None, :]] = -np.inf
+            kept = np.unique(best)
+            ids = b.column("id") if ids is None else pa.concat_arrays([ids.take(pa.array(kept)), b.column("id")])
+            sims = np.vstack([sims[kept], new])
+            order = np.asarray(pa.compute.sort_indices(ids))  # so that a stable sort breaks ties by id
+            best = order[np.argsort(-np.round(sims[order], 6), axis=0, kind="stable")[:k]]
+        if ids is not None:
+            n, m = best.shape
+            score = np.take_along_axis(sims, best, 0).ravel()
+            ok = np.flatnonzero(score > -np.inf)
+            at = np.tile(np.arange(m), n)[ok]
+            yield pa.RecordBatch.from_arrays([qids.take(pa.array(at)), ids.take(pa.array(best.ravel()[ok])), pa.array(score[ok])], names=["qid", "id", "score"])
+
+    id_kind = vectors.schema["id"].dataType.simpleString()
+    return vectors.select("id", "v").mapInArrow(run, f"qid {kind}, id {id_kind}, score double")
 
 
 # ---- fusion ---------------------------------------------------------------------------------------

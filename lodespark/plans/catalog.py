@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
-from ..sources.tables import spread
+from ..sources.tables import load_index, persist_index, shared_dir, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -119,7 +120,7 @@ CH = f"""chunks as (select doc_id id, coalesce(text, '') "content", source repo,
  coalesce(list_extract({s_tok("text")}, 1), '') function_name, '' parent_class, list_extract(string_split(coalesce(text, ''), chr(10)), 1) signature,
  1 start_line, len(string_split(coalesce(text, ''), chr(10))) end_line from documents)"""
 TOKS = f"toks as (select doc_id id, {s_tok('text')} t from documents)"
-BQ = "bq as (select item_id qid, array_to_string(list_slice(string_split(text, ' '), 1, 8), ' ') q, text from benchmark)"
+BQ = "bq as (select item_id qid, text q, text from benchmark)"
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -138,8 +139,31 @@ def tokens(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(F.col("doc_id").alias("id"), text.tokenize(F.col("text")).alias("t"))
 
 
+#: Stored indexes and chunk tables by session, folder and the state of its documents.
+_stored: dict[tuple, tuple[dict, DataFrame]] = {}
+BUCKETS = 64
+
+
+def stored(spark: SparkSession, d: str) -> tuple[dict, DataFrame]:
+    """The sparse index and the chunk table of the whole of `documents` in the shared folder, written by the first search of a session."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/documents.parquet")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    key = (spark.sparkContext.applicationId, d, fs.getContentSummary(at).getLength(), fs.getFileStatus(at).getModificationTime())
+    if key not in _stored:
+        root = f"{shared_dir(spark)}/lodespark/index-{uuid.uuid4().hex}"
+        persist_index(tokens(spark, d), root, BUCKETS)
+        rows = chunks(spark, d)
+        rows.sortWithinPartitions("id").write.parquet(f"{root}/chunks")
+        _stored[key] = ({**load_index(spark, root), "buckets": BUCKETS}, spark.read.schema(rows.schema).parquet(f"{root}/chunks"))
+    return _stored[key]
+
+
+def index(spark: SparkSession, d: str) -> dict:
+    return stored(spark, d)[0]
+
+
 def benchmark_queries(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("q"), "text")
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("q"), "text")
 
 
 def joined(c: Column, sep: str = " ") -> Column:

@@ -1,12 +1,13 @@
 """The facade: one method for each thing users ask of the engine, each giving a DataFrame.
 
 Tables are DataFrames: chunks (id, content, repo, language, file_path, function_name, parent_class, signature, start_line,
-end_line), vectors (id, v), nodes, edges, sessions, messages. Nothing here runs a job until a result is read.
+end_line), vectors (id, v), nodes, edges, sessions, messages. `index` is a stored sparse index (sources.tables); without one, each search tokenises the
+chunks. A search runs small jobs as it is planned, to bring its few query rows and hits to the driver; other results are lazy.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,17 +26,20 @@ class Engine:
     nodes: DataFrame | None = None
     edges: DataFrame | None = None
     messages: DataFrame | None = None
-    options: dict = field(default_factory=dict)
+    index: dict | None = None
 
     @cached_property
     def tokens(self) -> DataFrame:
-        """The sparse index; persist it or write it out where it is asked often."""
         return retrieval.token_table(self.chunks)
 
+    @property
+    def corpus(self) -> DataFrame | dict:
+        return self.tokens if self.index is None else self.index
+
     # ---- search
 
     def sparse_search(self, queries: DataFrame, k: int = fixed.BASE_K) -> DataFrame:
-        return retrieval.sparse_search(self.chunks, self.tokens, queries, k)
+        return retrieval.sparse_search(self.chunks, self.corpus, queries, k)
 
     def dense_search(self, query_vectors: DataFrame, k: int = fixed.BASE_K) -> DataFrame:
         return retrieval.knn(self.vectors, query_vectors, k)
@@ -46,14 +50,15 @@ class Engine:
         The repository filter comes after the sparse top k, as the reference has it; prefilter=True puts it before."""
         q = self.spark.createDataFrame([(0, question)], "qid int, q string")
         chunks = self.chunks.where(F.col("repo") == repo) if repo and prefilter else self.chunks
-        toks = retrieval.token_table(chunks) if repo and prefilter else self.tokens
-        lists = retrieval.sparse_search(chunks, toks, q, k).select("qid", "id", F.lit("sparse").alias("side"), "rank", F.lit(1.0).alias("weight"))
+        corpus = retrieval.token_table(chunks) if repo and prefilter else self.corpus
+        lists = retrieval.sparse_search(chunks, corpus, q, k).select("qid", "id", F.lit("sparse").alias("side"), "rank", F.lit(1.0).alias("weight"))
         if query_vectors is not None and self.vectors is not None:
             near = retrieval.knn(self.vectors, query_vectors.select(F.lit(0).alias("qid"), "qv"), k)
             lists = lists.unionByName(near.select("qid", "id", F.lit("dense").alias("side"), "rank", F.lit(1.0).alias("weight")))
         if repo and not prefilter:
             lists = lists.join(self.chunks.where(F.col("repo") == repo).select("id"), "id", "left_semi").select("qid", "id", "side", "rank", "weight")
-        rows = chunks.join(F.broadcast(retrieval.fuse(lists)), "id")
+        fused, few = retrieval.bounded(retrieval.fuse(lists))
+        rows = retrieval.narrowed(chunks, "id", few).join(fused, "id")
         asked = F.lit(question)
         boost = scoring.exact_boost(asked, *(F.col(c) for c in ("repo", "file_path", "function_name", "parent_class", "signature", "content")))
         if_arch = F.when(qf.is_architectural(asked), scoring.type_penalty(F.col("file_path")) + scoring.usage_boost(F.col("file_path"), F.col("function_name"))).otherwise(0.0)
@@ -115,9 +120,9 @@ class Engine:
 
     def delete_file(self, path: str, repo: str | None = None) -> Engine:
         gone = (F.col("file_path") == path) & ((F.col("repo") == repo) if repo else F.lit(True))
-        return Engine(self.spark, self.chunks.where(~gone), self.vectors, self.nodes, self.edges, self.messages)
+        return replace(self, chunks=self.chunks.where(~gone), index=None)  # a stored index is of the chunks it was made of
 
     def upsert_chunks(self, new: DataFrame) -> Engine:
         """New chunks replace all chunks of their files."""
         kept = self.chunks.join(new.select("repo", "file_path").distinct(), ["repo", "file_path"], "left_anti")
-        return Engine(self.spark, state.upsert(kept, new, ["id"]), self.vectors, self.nodes, self.edges, self.messages)
+        return replace(self, chunks=state.upsert(kept, new, ["id"]), index=None)

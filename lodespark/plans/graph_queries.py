@@ -6,7 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import graph
+from ..operators.retrieval import bounded
 from .catalog import CH, chunks, query, table
+from .retrieval_queries import FUSED, ordered
 
 CALLS = "calls as (select distinct l_partkey src, nxt dst from (select l_partkey, lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) nxt from lineitem) where nxt is not null)"
 _START = "(1, 7, 42)"
@@ -151,13 +153,13 @@ def gr_repo_graph_full(spark, d):
     return nodes.select("id", "label").join(edges.select(F.col("src").alias("id"), "dst"), "id", "left").groupBy("label").agg(F.count("dst").alias("rels"), F.countDistinct("id").alias("nodes"))
 
 
-_LAY = """fe as (select distinct o_custkey src, 1000000 + o_orderkey % 50 dst from orders where o_custkey % 40 = 3 union select distinct 1000000 + o_orderkey % 50, 2000000 + o_orderkey % 7 from orders where o_custkey % 40 = 3),
+_LAY = """fe as (select distinct o_custkey src, 1000000 + o_orderkey % 50 dst from orders union select distinct 1000000 + o_orderkey % 50, 2000000 + o_orderkey % 7 from orders),
 nd as (select src id from fe union select dst from fe), l0 as (select id from nd where id not in (select dst from fe)), l1 as (select distinct dst id from fe where src in (select id from l0)), l2 as (select distinct dst id from fe where src in (select id from l1)),
 lay as (select id, cast(min(l) as integer) layer from (select id, 0 l from l0 union all select id, 1 from l1 union all select id, 2 from l2) group by id)"""
 
 
 def _layers(spark, d):
-    o = table(spark, d, "orders").where("o_custkey % 40 = 3")
+    o = table(spark, d, "orders")
     mid = (F.lit(1000000) + F.col("o_orderkey") % 50).cast("long")
     e = o.select(F.col("o_custkey").alias("src"), mid.alias("dst")).unionByName(o.select(mid.alias("src"), (F.lit(2000000) + F.col("o_orderkey") % 7).cast("long").alias("dst"))).distinct()
     return graph.bfs_layers(e.select(F.col("src").alias("id")).union(e.select("dst")).distinct(), e)
@@ -237,10 +239,9 @@ def jn_optional(spark, d):
     return table(spark, d, "customer").select("c_custkey").join(n, "c_custkey", "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("orders"))
 
 
-@query(f"with {CH}, {CALLS} select distinct c.id, k.dst neighbor from chunks c join calls k on k.src = c.id where c.id < 30 and k.dst not in (select id from chunks where id < 30)")
+@query(f"with {FUSED}, {CALLS}, top as (select id from ordered where rank < 20) select distinct c.id, k.dst neighbor from top c join calls k on k.src = c.id where k.dst not in (select id from top)")
 def jn_graph_anti(spark, d):
-    first = chunks(spark, d).where("id < 30").select("id")
-    near = calls(spark, d).join(F.broadcast(first), F.col("src") == F.col("id")).select("id", F.col("dst").alias("neighbor")).distinct()
+    """Neighbours of the first 20 hits that are not hits themselves."""
+    first, _ = bounded(ordered(spark, d, 20).select("id"))
+    near = calls(spark, d).join(first, F.col("src") == F.col("id")).select("id", F.col("dst").alias("neighbor")).distinct()
     return near.join(first.select(F.col("id").alias("neighbor")), "neighbor", "left_anti").select("id", "neighbor")
-
-

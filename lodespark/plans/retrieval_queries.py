@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, scoring, text
 from ..operators import retrieval as ops
-from .catalog import ASKED, BQ, CH, S_ASKED, TOKS, asked, benchmark_queries, chunks, joined, query, rounded, s_tok, table, tokens
+from .catalog import ASKED, BQ, CH, S_ASKED, TOKS, asked, benchmark_queries, chunks, index, joined, query, rounded, s_tok, stored, table, tokens
 
 # ---- sparse ---------------------------------------------------------------------------------------
 
@@ -21,7 +21,7 @@ sparse as (select qid, id, row_number() over (partition by qid order by round(sc
 
 
 def _sparse(spark, d, k=20):
-    return ops.ranked(ops.bm25(tokens(spark, d), asked(spark)), k)
+    return ops.ranked(ops.bm25(index(spark, d), asked(spark)), k)
 
 
 @query(f"with {POST} select id, term, tf from post")
@@ -43,7 +43,7 @@ def ag_df(spark, d):
 
 @query(f"with {BM25} select qid, id, round(score, 6) score from bm where score > 0")
 def ag_bm25_go(spark, d):
-    return ops.bm25(tokens(spark, d), asked(spark)).select("qid", "id", rounded("score").alias("score"))
+    return ops.bm25(index(spark, d), asked(spark)).select("qid", "id", rounded("score").alias("score"))
 
 
 @query(
@@ -54,7 +54,7 @@ bm as (select qid, id, sum(times * idf * (tf * 2.5::double) / (tf + 1.5::double
 select qid, id, round(score, 6) score from bm where score > 0"""
 )
 def ag_bm25_api(spark, d):
-    return ops.bm25_okapi(tokens(spark, d), asked(spark)).select("qid", "id", rounded("score").alias("score"))
+    return ops.bm25_okapi(index(spark, d), asked(spark)).select("qid", "id", rounded("score").alias("score"))
 
 
 @query(f"with {BM25} select qid, id, rank from sparse where rank < 20")
@@ -68,17 +68,18 @@ a as (select qid, id, 0 p, r::double o from pm where r < 20 union all select qid
 b as (select qid, id, min(p * 1000 + o) s from a group by qid, id), c as (select qid, id, row_number() over (partition by qid order by s, id) - 1 rank from b) select qid, id, rank from c where rank < 20"""
 )
 def tk_sparse(spark, d):
-    return ops.sparse_search(chunks(spark, d), tokens(spark, d), asked(spark), 20).select("qid", "id", F.col("rank").cast("long").alias("rank"))
+    return ops.sparse_search(chunks(spark, d), index(spark, d), asked(spark), 20).select("qid", "id", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"with {POST}, qt as (select distinct qid, unnest({s_tok('q')}) term from {S_ASKED}) select qid, id, term, tf from post join qt using (term)")
 def jn_postings(spark, d):
-    return ops.postings(tokens(spark, d)).join(F.broadcast(ops.query_terms(asked(spark)).select("qid", "term")), "term").select("qid", "id", "term", "tf")
+    asks, rows = ops.bounded(ops.query_terms(asked(spark)).select("qid", "term"))
+    return ops.narrowed(index(spark, d)["postings"], "term", rows).join(asks, "term").select("qid", "id", "term", "tf")
 
 
 @query(f"with {BM25} select qid, count(*) n from bm where score > 0 group by qid")
 def flt_positive(spark, d):
-    return ops.bm25(tokens(spark, d), asked(spark)).groupBy("qid").agg(F.count("*").alias("n"))
+    return ops.bm25(index(spark, d), asked(spark)).groupBy("qid").agg(F.count("*").alias("n"))
 
 
 @query(f"with {BM25}, {CH} select qid, id, rank from sparse join chunks using (id) where rank < 20 and repo in ('src1', 'src3', 'src5')")
@@ -89,7 +90,7 @@ def flt_repo_post(spark, d):
 # ---- dense ----------------------------------------------------------------------------------------
 
 _DOT = "list_sum(list_transform(list_zip(v.embedding, w.embedding), lambda z: z[1]::double * z[2]::double))"
-KNN = f"""sims as (select w.vec_id qid, v.vec_id id, round({_DOT}, 6) score from embeddings v, (select * from embeddings where vec_id in (3, 17, 42)) w),
+KNN = f"""sims as (select w.vec_id qid, v.vec_id id, round({_DOT}, 6) score from embeddings v, (select * from embeddings where vec_id % 50 = 0) w),
 dense as (select qid, id, score, row_number() over (partition by qid order by score desc, id) - 1 rank from sims)"""
 
 
@@ -97,8 +98,9 @@ def vectors(spark, d):
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
 
 
-def _wanted(spark, d, ids=(3, 17, 42)):
-    return table(spark, d, "embeddings").where(F.col("vec_id").isin(*ids)).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"))
+def _wanted(spark, d):
+    """The query set: every vector whose id is divisible by 50."""
+    return table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"))
 
 
 def _dense(spark, d, k=20):
@@ -136,13 +138,13 @@ def wn_topk_per_query(spark, d):
 
 @query(f"with {KNN}, {CH} select qid, id, repo, file_path from dense join chunks using (id) where rank < 20")
 def jn_chunk_payload(spark, d):
-    return chunks(spark, d).join(F.broadcast(_dense(spark, d)), "id").select("qid", "id", "repo", "file_path")
+    return chunks(spark, d).select("id", "repo", "file_path").join(_dense(spark, d), "id").select("qid", "id", "repo", "file_path")
 
 
 # ---- fusion ---------------------------------------------------------------------------------------
 
-LISTS = f"""{BM25}, {KNN}, lists as (select 1 qid, id, 'sparse' side, rank, 1.0::double weight from sparse where qid = 1 and rank < 20 union all select 1, id, 'dense', rank, 1.0 from dense where qid = 3 and rank < 20
- union all select 1, id, 'dense', rank, 0.8 from dense where qid = 17 and rank < 20 union all select 1, id, 'sparse', rank, 0.75 from sparse where qid = 4 and rank < 20),
+LISTS = f"""{BM25}, {KNN}, lists as (select 1 qid, id, 'sparse' side, rank, 1.0::double weight from sparse where qid = 1 and rank < 20 union all select 1, id, 'dense', rank, 1.0 from dense where qid = 50 and rank < 20
+ union all select 1, id, 'dense', rank, 0.8 from dense where qid = 100 and rank < 20 union all select 1, id, 'sparse', rank, 0.75 from sparse where qid = 4 and rank < 20),
 raw as (select qid, id, coalesce(sum(weight / (10 + rank + 1)) filter (side = 'dense'), 0) ds, coalesce(sum(weight / (10 + rank + 1)) filter (side = 'sparse'), 0) ss from lists group by qid, id),
 fused as (select qid, id, ds / max(ds) over () dense, ss / max(ss) over () sparse from raw)"""
 
@@ -150,7 +152,7 @@ fused as (select qid, id, ds / max(ds) over () dense, ss / max(ss) over () spars
 def _lists(spark, d):
     s, v = _sparse(spark, d), _dense(spark, d)
     part = lambda df, q, side, w: df.where(F.col("qid") == q).select(F.lit(1).alias("qid"), "id", F.lit(side).alias("side"), "rank", F.lit(w).alias("weight"))
-    return part(s, 1, "sparse", 1.0).unionByName(part(v, 3, "dense", 1.0)).unionByName(part(v, 17, "dense", 0.8)).unionByName(part(s, 4, "sparse", 0.75))
+    return part(s, 1, "sparse", 1.0).unionByName(part(v, 50, "dense", 1.0)).unionByName(part(v, 100, "dense", 0.8)).unionByName(part(s, 4, "sparse", 0.75))
 
 
 @query(f"with {LISTS} select side, id, rank from lists where weight = 1")
@@ -181,7 +183,8 @@ FUSED = f"{LISTS}, {CH}, scored as (select id, repo, file_path, function_name, s
 
 def _scored(spark, d):
     boost = F.when(F.contains(F.lower("file_path"), F.lit("src1")), 0.2).otherwise(0.0)
-    return ops.fuse(_lists(spark, d)).join(chunks(spark, d), "id").withColumn("boost", boost).withColumn("score", F.col("dense") + F.col("sparse") + F.col("boost"))
+    fused, rows = ops.bounded(ops.fuse(_lists(spark, d)))
+    return ops.narrowed(stored(spark, d)[1], "id", rows).join(fused, "id").withColumn("boost", boost).withColumn("score", F.col("dense") + F.col("sparse") + F.col("boost"))
 
 
 def ordered(spark, d, k=1000):
@@ -392,13 +395,13 @@ ev as (select g.qid, count(*) n, count(*) filter (rank < 1) h1, count(*) filter
 
 
 def _gold(spark, d):
-    """Items whose text a document holds: a theta join with the bounded set of items."""
+    """Items whose text a document holds."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("body"))
-    return docs.join(F.broadcast(benchmark_queries(spark, d).select("qid", "text")), F.contains("body", "text")).select("qid", "id").distinct()
+    return ops.holding(docs, benchmark_queries(spark, d).select("qid", "text"))
 
 
 def _eval(spark, d):
-    got = ops.ranked(ops.bm25(tokens(spark, d), benchmark_queries(spark, d).select("qid", "q")), 10)
+    got = ops.ranked(ops.bm25(index(spark, d), benchmark_queries(spark, d).select("qid", "q")), 10)
     return ops.recall_mrr(got, _gold(spark, d))
 
 

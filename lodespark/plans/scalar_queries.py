@@ -90,11 +90,11 @@ h as (select *, len(list_filter(e, lambda t: contains(hay, t))) hits from p)
 
 @query(
     _S_EXACT
-    + """select id, qid, round(case when len(e) = 0 then 0 when lp <> '' and contains(ql, lp) then 0.35::double * 0.95 when hits = 0 then 0
- when fn <> '' and contains(ql, fn) then greatest(0.35::double * hits / len(e), 0.35::double * 0.7) else 0.35::double * hits / len(e) end, 6) boost from h"""
+    + """select * from (select id, qid, round(case when len(e) = 0 then 0 when lp <> '' and contains(ql, lp) then 0.35::double * 0.95 when hits = 0 then 0
+ when fn <> '' and contains(ql, fn) then greatest(0.35::double * hits / len(e), 0.35::double * 0.7) else 0.35::double * hits / len(e) end, 6) boost from h) where boost <> 0"""
 )
 def fn_exact_boost(spark, d):
-    return _exact(spark, d).select("id", "qid", rounded("boost").alias("boost"))
+    return _exact(spark, d).select("id", "qid", rounded("boost").alias("boost")).where("boost <> 0")
 
 
 def _exact(spark, d):
@@ -109,11 +109,11 @@ o as (select *, {s_base('pn')} bn, len(list_intersect(et, {s_found('pn', fixed.P
 
 @query(
     _S_PATH
-    + """select id, qid, round(case when pn = '' then 0 when qn <> '' and (qn = pn or ends_with(qn, pn) or ends_with(pn, qn)) then least(0.35::double * 1.2, 0.55) when bn <> '' and contains(qn, bn) then least(0.35::double * 0.65, 0.45)
- when len(et) = 0 or ov = 0 then 0 else 0.35::double * (case when regexp_matches(q, '[/.]') then 0.65 else 0.35 end) * ov / len(et) end, 6) boost from o"""
+    + """select * from (select id, qid, round(case when pn = '' then 0 when qn <> '' and (qn = pn or ends_with(qn, pn) or ends_with(pn, qn)) then least(0.35::double * 1.2, 0.55) when bn <> '' and contains(qn, bn) then least(0.35::double * 0.65, 0.45)
+ when len(et) = 0 or ov = 0 then 0 else 0.35::double * (case when regexp_matches(q, '[/.]') then 0.65 else 0.35 end) * ov / len(et) end, 6) boost from o) where boost <> 0"""
 )
 def fn_path_boost(spark, d):
-    return chunks(spark, d).crossJoin(F.broadcast(asked(spark))).select("id", "qid", rounded(scoring.path_boost(F.col("q"), F.col("file_path"))).alias("boost"))
+    return chunks(spark, d).crossJoin(F.broadcast(asked(spark))).select("id", "qid", rounded(scoring.path_boost(F.col("q"), F.col("file_path"))).alias("boost")).where("boost <> 0")
 
 
 _PEN = f"case when {s_any('p', ['_test.', 'test_', '/test/', '.test.', 'spec.'])} then -0.15 when {s_any('p', ['mock', 'stub', 'fake'])} then -0.20 when {s_any('p', ['fixture'])} then -0.15 else 0 end"
@@ -173,19 +173,19 @@ def fn_answer_mode(spark, d):
 _META = "lower(repo || ' ' || \"language\" || ' ' || file_path || ' ' || function_name || ' ' || parent_class || ' ' || signature)"
 
 
-@query(f"with {CH}, p as (select id, qid, {s_exact('q')} et, {_META} hay from chunks, {S_ASKED}) select id, qid, round(least(0.40::double, 0.10::double * len(list_filter(et, lambda t: contains(hay, t)))), 6) boost from p")
+@query(f"with {CH}, p as (select id, qid, {s_exact('q')} et, {_META} hay from chunks, {S_ASKED}) select * from (select id, qid, round(least(0.40::double, 0.10::double * len(list_filter(et, lambda t: contains(hay, t)))), 6) boost from p) where boost <> 0")
 def fn_meta_boost(spark, d):
     m = scoring.metadata_boost(F.col("q"), *(F.col(c) for c in ("repo", "language", "file_path", "function_name", "parent_class", "signature")))
-    return chunks(spark, d).crossJoin(F.broadcast(asked(spark))).select("id", "qid", rounded(m).alias("boost"))
+    return chunks(spark, d).crossJoin(F.broadcast(asked(spark))).select("id", "qid", rounded(m).alias("boost")).where("boost <> 0")
 
 
 @query(
     f"""with {CH}, p as (select id, qid, q, replace(lower(q), chr(92), '/') qn, replace(lower(file_path), chr(92), '/') pn, {s_exact('q')} et from chunks, {S_ASKED}),
 o as (select *, {s_base('pn')} bn, {s_found('pn', fixed.PATH_TOKEN)} pt from p), h as (select *, len(list_filter(et, lambda t: list_contains(pt, t) or contains(bn, t))) hits from o)
-select id, qid, round(case when pn = '' then 0 when (bn <> '' and contains(qn, bn)) or contains(qn, pn) or contains(pn, qn) then 0.45::double when regexp_matches(q, '[/.]') then least(0.45::double, hits * 0.06::double) else least(0.25::double, hits * 0.06::double) end, 6) boost from h"""
+select * from (select id, qid, round(case when pn = '' then 0 when (bn <> '' and contains(qn, bn)) or contains(qn, pn) or contains(pn, qn) then 0.45::double when regexp_matches(q, '[/.]') then least(0.45::double, hits * 0.06::double) else least(0.25::double, hits * 0.06::double) end, 6) boost from h) where boost <> 0"""
 )
 def fn_rerank_path(spark, d):
-    return chunks(spark, d).crossJoin(F.broadcast(asked(spark))).select("id", "qid", rounded(scoring.rerank_path_boost(F.col("q"), F.col("file_path"))).alias("boost"))
+    return chunks(spark, d).crossJoin(F.broadcast(asked(spark))).select("id", "qid", rounded(scoring.rerank_path_boost(F.col("q"), F.col("file_path"))).alias("boost")).where("boost <> 0")
 
 
 @query(f"""with {CH} select id, 'REPO: ' || repo || chr(10) || 'LANG: ' || "language" || chr(10) || 'PATH: ' || file_path || case when function_name <> '' then chr(10) || 'FUNC: ' || function_name else '' end || case when signature <> '' then chr(10) || 'SIGNATURE: ' || signature else '' end context from chunks""")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import metrics, state
+from ..sources.tables import shared_dir
 from ..streaming import jobs
 from .catalog import CH, TOKS, chunks, joined, query, rounded, table, tokens
 
@@ -399,7 +400,7 @@ def sm_key_sched(spark, d):
 @query("select file, event_id, round(value, 6) value from (select user_id file, event_id, value, event_type, row_number() over (partition by user_id order by event_id desc) r from events) where r = 1 and event_type <> 'error'")
 def sm_oneshot(spark, d):
     """The change feed as files, applied by a stream that ends when all is read."""
-    base = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/checkpoints'}/lodespark/feed-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/lodespark/feed-{uuid.uuid4().hex}"
     rows = feed(spark, d).select("event_id", "ts", "file", "change", "value")
     rows.repartition(3, "event_id").write.parquet(f"{base}/in")
     stream = jobs.change_stream(spark, f"{base}/in", rows.schema)
@@ -501,7 +502,7 @@ def _tree(spark):
         def take(batch, number):
             rows.extend(batch.collect())  # a handful of test rows
 
-        q = spark.readStream.format("tree").option("root", root).option("state", f"{base}/state").load().writeStream.foreachBatch(take).option("checkpointLocation", f"{spark.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/checkpoints'}/lodespark/tree-{os.path.basename(base)}").trigger(processingTime="0 seconds").start()
+        q = spark.readStream.format("tree").option("root", root).option("state", f"{base}/state").load().writeStream.foreachBatch(take).option("checkpointLocation", f"{shared_dir(spark)}/lodespark/tree-{os.path.basename(base)}").trigger(processingTime="0 seconds").start()
         q.processAllAvailable()
         q.stop()
         return rows

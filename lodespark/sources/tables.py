@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,38 +47,45 @@ def push_jobs(jobs: DataFrame, root: str) -> None:
     jobs.selectExpr("file_path", "change_type", "commit_sha").write.mode("append").parquet(f"{root}/jobs")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, one of our own if the executors are in this process, else an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file:///tmp/checkpoints/lodespark"
+    return found.rstrip("/")
+
+
+_INDEX = {"postings": "term string, id string, tf long, len int, bucket int", "terms": "term string, df long, bucket int", "stats": "n long, total long, mean double, floor double"}
+
+
 def persist_index(tokens: DataFrame, root: str, clusters: int = 64) -> None:
-    """Postings clustered by term, lengths and one row of totals."""
-    postings = retrieval.postings(tokens)
-    postings.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(clusters))).repartition(clusters, "bucket").sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/postings")
-    tokens.select("id", F.size("t").alias("len")).write.mode("overwrite").parquet(f"{root}/lengths")
-    retrieval.corpus_stats(tokens).write.mode("overwrite").parquet(f"{root}/stats")
+    """Postings and terms in a folder for each bucket of terms, sorted by term, and one row of totals. Tasks get ranges of (bucket, term, id), so a frequent term is many tasks'."""
+    tables = retrieval.index_tables(tokens, clusters)
+    parts = max(clusters // 8, tokens.sparkSession.sparkContext.defaultParallelism)
+    for name, keys in (("postings", ("bucket", "term", "id")), ("terms", ("bucket", "term"))):
+        tables[name].repartitionByRange(parts, *keys).sortWithinPartitions(*keys).write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/{name}")
+    tables["stats"].write.mode("overwrite").parquet(f"{root}/stats")
 
 
 def load_index(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """The three tables; empty ones where nothing was written."""
     out = {}
-    for name, schema in (("postings", "term string, id string, tf long, bucket long"), ("lengths", "id string, len int"), ("stats", "n long, total long, mean double")):
+    for name, schema in _INDEX.items():
         try:
             out[name] = spark.read.parquet(f"{root}/{name}")
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             out[name] = spark.createDataFrame([], schema)
+    out["stats"], _ = retrieval.bounded(out["stats"].select("n", "total", "mean", "floor"))
     return out
 
 
 def index_search(index: dict[str, DataFrame], queries: DataFrame, k: int, clusters: int = 64) -> DataFrame:
     """BM25 over the persisted postings: only the buckets of the query terms are read."""
-    from ..functions import scoring
-
-    asked = retrieval.query_terms(queries)
-    wanted = [r.b for r in asked.select(F.pmod(F.xxhash64("term"), F.lit(clusters)).alias("b")).distinct().collect()]  # at most `clusters` numbers
-    hits = index["postings"].where(F.col("bucket").isin(wanted)).join(F.broadcast(asked), "term")
-    df = hits.select("term", "id").distinct().groupBy("term").agg(F.count("*").alias("df"))
-    rows = hits.join(F.broadcast(df), "term").join(index["lengths"], "id").crossJoin(F.broadcast(index["stats"]))
-    part = scoring.bm25_idf(F.col("n"), F.col("df")) * scoring.bm25_tf(F.col("tf"), F.col("len"), F.col("mean"))
-    return retrieval.ranked(rows.groupBy("qid", "id").agg(F.sum(part).alias("score")), k)
+    return retrieval.ranked(retrieval.bm25({**index, "buckets": clusters}, queries), k)
 
 
 def event_lines(events: DataFrame) -> Iterator[str]:
