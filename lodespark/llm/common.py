@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import math
+import re
 import sys
 import uuid
 from collections.abc import Iterator
@@ -37,22 +38,95 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (local runs)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, one of our own if the executors are in this process, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file:///tmp/checkpoints/lodespark"
     return found.rstrip("/")
 
 
+_recorders: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths that scratch() gives out inside the block."""
+    paths: list[str] = []
+    _recorders.append(paths)
+    try:
+        yield paths
+    finally:
+        _recorders[:] = [r for r in _recorders if r is not paths]
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/lodespark/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/lodespark/{name}-{uuid.uuid4().hex}"
+    for r in _recorders:
+        r.append(path)
+    return path
+
+
+def reads(df: DataFrame, path: str) -> bool:
+    """Whether the plan of df reads files below a path that scratch() gave."""
+    leaves, name = df._jdf.queryExecution().analyzed().collectLeaves(), path.rsplit("/", 1)[1]
+    for leaf in (leaves.apply(i) for i in range(leaves.size())):
+        if leaf.getClass().getSimpleName() == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+            roots = leaf.relation().location().rootPaths()
+            if any(name in roots.apply(i).toString() for i in range(roots.size())):
+                return True
+    return False
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet to the shared folder and read back: cuts lineage and survives lost executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).keep(df, name)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Scratch:
+    """Tables in the shared folder that an operator writes on its way. At the end of a `with` block all go but those that it returns."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.tables: list[tuple[DataFrame, str]] = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for _, path in self.tables:
+            delete(self.spark, path)
+        self.tables = []
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """df as a table that lasts until it is dropped or the block ends."""
+        path = scratch(self.spark, name)
+        df.write.option("compression", "zstd").parquet(path)
+        self.tables.append((self.spark.read.schema(df.schema).parquet(path), path))
+        return self.tables[-1][0]
+
+    def _forget(self, df: DataFrame) -> str | None:
+        """The path of a table that is kept, no longer known here."""
+        path = next((p for d, p in self.tables if d is df), None)
+        self.tables = [(d, p) for d, p in self.tables if d is not df]
+        return path
+
+    def drop(self, df: DataFrame) -> None:
+        """Deletes the table of a DataFrame that keep() gave."""
+        if path := self._forget(df):
+            delete(self.spark, path)
+
+    def result(self, df: DataFrame, name: str) -> DataFrame:
+        """df as a table that outlives the block."""
+        out = self.keep(df, name)
+        self._forget(out)
+        return out
 
 
 def partitions_for(df: DataFrame, target_bytes: int) -> int:
@@ -67,15 +141,31 @@ def fold(doc_id, modulus: int):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus, F.lit(0))
 
 
-def sample_ids(rows: DataFrame, per_class: int, label: str, size: str | None = None, longest: int = 65536) -> DataFrame:
-    """At most `per_class` rows (doc_id, label) of each label, by a hash of doc_id; over-long documents come last."""
+def sample_ids(rows: DataFrame, per_label: int, label: str) -> DataFrame:
+    """(doc_id, label): at most `per_label` ids of each label, those of the least hashes.
+
+    A first pass counts the labels, so that only about four times as many rows as are wanted meet in a label's task."""
+    from pyspark.sql import Window
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    spark, kind = rows.sparkSession, rows.schema[label]
+    counts = [(r[0], r[1]) for r in rows.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*")).collect()]
+    most = [(k, (1 << 63) - 1 if n <= 4 * per_label + 100 else int((4 * per_label + 100) / n * 2**64) - 2**63) for k, n in counts]
+    bounds = spark.createDataFrame(most, StructType([StructField("_label", kind.dataType), StructField("_most", LongType())]))
+    near = rows.select("doc_id", label, F.xxhash64("doc_id").alias("_h")).join(F.broadcast(bounds), (F.col(label) == F.col("_label")) & (F.col("_h") <= F.col("_most"))).select("doc_id", label, "_h").distinct()
+    w = Window.partitionBy(label).orderBy("_h", "doc_id")
+    return near.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= per_label).select("doc_id", label)
+
+
+def sample_texts(docs: DataFrame, ids: DataFrame, label: str, keys: list[str], label_bytes: int = 8 << 20, longest: int = 65536) -> DataFrame:
+    """(doc_id, label, text) of sampled ids: one text of each, and at most `label_bytes` bytes of a label (one text at least); longer texts than `longest` come last."""
     from pyspark.sql import Window
 
-    keys = [F.xxhash64("doc_id"), F.col("doc_id")]
-    if size:
-        keys.insert(0, (F.col(size) > longest).cast("int"))
-    w = Window.partitionBy(label).orderBy(*keys)
-    return rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= per_class).drop("_rn")
+    found = docs.join(F.broadcast(ids), keys).groupBy("doc_id", label).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    w = Window.partitionBy(label).orderBy((size > longest).cast("int"), F.xxhash64("doc_id"), "doc_id")
+    found = found.withColumn("_rn", F.row_number().over(w)).withColumn("_sum", F.sum(size.cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return found.where((F.col("_rn") == 1) | (F.col("_sum") <= label_bytes)).select("doc_id", label, "text")
 
 
 # ---- text buffers -------------------------------------------------------------------------------

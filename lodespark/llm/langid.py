@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, fold, mix64, release, sample_ids
+from .common import U64, fold, mix64, release, sample_ids, sample_texts
 
 LETTERS = re.compile(r"[^\W\d_]+")
 BOS, EOS = 0x110000, 0x110001
@@ -170,10 +170,10 @@ class LanguageModels:
 
 def fit(docs: DataFrame, per_language: int = 1000, order: int = ORDER) -> LanguageModels:
     """Fits on at most `per_language` documents (doc_id, text, lang) of each language, whatever the size of `docs`."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", F.octet_length("text").alias("size"))
-    ids = sample_ids(rows, per_language, "lang", "size").select("doc_id").distinct()
+    rows = docs.where(F.col("lang").isNotNull()).select("doc_id", "lang", "text")
+    chosen = sample_texts(rows.where(F.col("text").isNotNull()), sample_ids(rows, per_language, "lang"), "lang", ["doc_id", "lang"])
     part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(5)) == 0
-    sample = docs.where(F.col("lang").isNotNull()).join(F.broadcast(ids), "doc_id", "left_semi").select("lang", "text", part.alias("held")).toPandas()
+    sample = chosen.select("lang", "text", part.alias("held")).toPandas()
     sample = sample.sort_values(["lang", "text"], kind="stable")
     names = sorted(sample.lang.unique())
     models = []

@@ -21,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, sample_ids
+from .common import fold, sample_ids, sample_texts
 from .trees import boost, lasso_logistic
 
-STATS = ("n_words", "word_len", "long_words", "upper", "digits", "punct", "symbols", "ends_symbol", "repeat_next", "distinct", "top_word", "line_words", "same_lines", "sentence_len", "deflated", "letters", "single_bars")
+STATS = ("n_words", "word_len", "long_words", "upper", "digits", "punct", "symbols", "ends_sign", "repeat_next", "distinct", "top_word", "line_words", "same_lines", "sentence_len", "deflated", "letters", "lone_signs")
+#: Signs that words of prose end with.
+_USUAL = frozenset(".,;:!?'\")]}»”’…-")
 _SENTENCE = re.compile(r"[.!?]+(?:\s|$)")
 
 
@@ -49,12 +51,13 @@ def statistics(text: str | None) -> tuple[float, ...]:
         count[w] = count.get(w, 0) + 1
     same = sum(map(str.__eq__, words[1:], words))
     lines = [x for x in text.split("\n") if x.strip()]
-    ends = sum(w[-1] in "!$%&#*|" for w in words)
+    ends = sum(not (w[-1].isalnum() or w[-1] in _USUAL) for w in words)
+    lone = sum(len(w) == 1 and not w.isalnum() for w in words)
     raw = a.tobytes()
     packed = sum(len(zlib.compress(raw[i : i + 65536], 1)) for i in range(0, size, 65536))
     return (
         float(np.log1p(n)), float(lens.mean()), float((lens > 12).mean()), upper / max(letters, 1), digits / size, marks / size, symbols / size, ends / n, same / n, len(count) / n,
-        max(count.values()) / n, n / max(len(lines), 1), 1 - len(set(lines)) / max(len(lines), 1), n / (1 + len(_SENTENCE.findall(text))), packed / size, letters / size, count.get("|", 0) / n,
+        max(count.values()) / n, n / max(len(lines), 1), 1 - len(set(lines)) / max(len(lines), 1), n / (1 + len(_SENTENCE.findall(text))), packed / size, letters / size, lone / n,
     )
 
 
@@ -110,8 +113,7 @@ def fit_rules(x: np.ndarray, y: np.ndarray, penalty: float = 0.0015, trees: int
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, held: int, folds: int, per_class: int) -> DataFrame:
     """(doc_id, y, text) of at most per_class labelled documents of each class, none of the held-out fold."""
     known = labels.where(F.col(label).isNotNull() & (fold(F.col("doc_id"), folds) != held)).groupBy("doc_id").agg(F.max(label).alias("y"))
-    ids = sample_ids(known, per_class, "y")
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    return sample_texts(docs.select("doc_id", "text"), sample_ids(known, per_class, "y"), "y", ["doc_id"])
 
 
 def prior_shift(labels: DataFrame, label: str, held: int, folds: int, y: np.ndarray) -> float:
@@ -124,12 +126,9 @@ def prior_shift(labels: DataFrame, label: str, held: int, folds: int, y: np.ndar
 
 def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", held: int = 2, folds: int = 4, per_class: int = 1000) -> DataFrame:
     """doc_id, held_out, score, predicted for every row, learnt from at most per_class documents of each class."""
-    sample = with_statistics(training_sample(docs, labels, label, held, folds, per_class).select("doc_id", "text"))
-    known = labels.where(F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
-    rows = sample.join(known, "doc_id").toPandas().sort_values(["doc_id", "s_deflated"], kind="stable")
-    names = [f"s_{s}" for s in STATS]
+    rows = training_sample(docs, labels, label, held, folds, per_class).toPandas().sort_values("doc_id", kind="stable")
     y = rows["y"].to_numpy()
-    rules = fit_rules(rows[names].to_numpy(float), y)
+    rules = fit_rules(np.array([statistics(t) for t in rows.text]).reshape(len(y), len(STATS)), y)
     rules.intercept += prior_shift(labels, label, held, folds, y) if rules.rules else 0.0
     scored = with_statistics(docs).withColumn("score", rules.expression())
     return scored.select("doc_id", (fold(F.col("doc_id"), folds) == held).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
