@@ -5,21 +5,23 @@ bit, so the Hamming distance of two sketches is at most the symmetric difference
 in at most (s + t)(1 - J) / (1 + J) shingles, so sizes go in bands (a link joins the same or neighbouring bands), and for each
 band the sketch is cut into more blocks than that difference can reach: in a linked pair some block has equal
 bits. Blocks are wide and sparse and are kept as the XOR of 64-bit codes of their set bits. Documents meet on
-(band, block, bits); a narrow 256-bit sketch and the sizes then drop pairs that cannot link, and whole shingle sets
-decide.
+(band, block, bits); sizes, a narrow sketch of 256 bits and a second sketch of two bits or more a shingle then drop pairs
+that cannot link, and whole shingle sets decide.
 
 An empty block says nothing. Some spare blocks make up for the usual number of empty ones; documents with more of them
 also meet on the blocks of a second division under the empty block's name, and there of a third; in the last an empty block is a
 key by itself.
 
-Buckets are not expanded into all pairs. Each bucket is first joined to one member, then to another one where its
-members are not connected yet; a last join takes members of different components only, so no link between components
-is lost and links inside a component are not needed again.
+Similar documents meet on many keys; buckets of the same members count once. Buckets are not expanded into all pairs. Each is
+first joined to one member, then to another one where its members are not connected yet; a last join gives only pairs
+of different components that the sketches cannot tell apart, so no link between components is lost and links inside a component
+are not needed again.
 
 Equal sets are one node, named by a 64-bit hash of the set (two different sets of n documents fall together with a
-chance of about n^2 / 2^65). Defined results: null or empty text, or one without words, has an empty set, links with
-nothing and is its own component. Rows with a null doc_id keep a null component unless they link. Rows are kept one for
-one; extra columns are ignored.
+chance of about n^2 / 2^65); one row stands for each node, found again by its doc_id and a hash of its text, so rows without an id
+and rows that share one take part by their own sets. Defined results: null or empty text, or one without words, has an empty
+set, links with nothing and is its own component. Rows with a null doc_id have the smallest id of those they are linked with, null if there is
+none. Rows are kept one for one; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED, U64, chunks, materialize, mix64, partitions_for, release, shingles, words
+from .common import SPACED, U64, Scratch, chunks, mix64, partitions_for, release, shingles, words
 
 #: A set of candidate documents up to this many is broadcast to the scan that fetches their texts; more are joined.
 BROADCAST_ROWS = 500_000
@@ -124,21 +126,43 @@ def _nested(t: np.ndarray, k: int, spare: int, groups: list[int], level: int) ->
     return out
 
 
-def sketch(data: np.ndarray, off: np.ndarray, k: int, percent: int):
-    """Per document: set size, set hash, four 64-bit words of the narrow sketch; and all keys (none for percent 0), where each one's begin."""
-    t, first = sets(data, off, k)
+def named(t: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per document: a hash of its set (0 for the empty one) and four 64-bit words of the narrow sketch."""
     n = np.diff(first)
-    doc = np.repeat(np.arange(len(n)), n)
     full = np.flatnonzero(n)
     node = np.zeros(len(n), U64)
     narrow = np.zeros((4, len(n)), U64)
-    keys, owners = [], []
     if len(full):
         node[full] = mix64(np.add.reduceat(mix64(t ^ U64(0x6A09E667F3BCC908)), first[full]) + n[full].astype(U64))
         at = mix64(t + U64(0xA54FF53A)) >> U64(56)
         bit = U64(1) << (at & U64(63))
         for w in range(4):
             narrow[w, full] = np.bitwise_xor.reduceat(np.where(at >> U64(6) == U64(w), bit, U64(0)), first[full])
+    return node, narrow
+
+
+def wide(t: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit words of the second sketches end to end, and where each document's begin.
+
+    A set of n has the least power of two of 2 n bits or more, 256 at least. A bit is named by the low bits of its hash, so halves
+    laid over each other make the sketch of half the length."""
+    n = np.diff(first)
+    bits = np.where(n > 0, 1 << np.maximum(8, np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64)), 0)
+    begin = np.append(0, np.cumsum(bits))
+    own = np.repeat(np.arange(len(n)), n)
+    at = begin[own] + (mix64(t + U64(0x3C6EF372)) & (bits[own] - 1).astype(U64)).astype(np.int64)
+    flips = np.bincount(at, minlength=int(begin[-1])) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little").view(U64), begin // 64
+
+
+def sketch(data: np.ndarray, off: np.ndarray, k: int, percent: int):
+    """Per document: set size, set hash, four 64-bit words of the narrow sketch; and all keys (none for percent 0), where each one's begin."""
+    t, first = sets(data, off, k)
+    n = np.diff(first)
+    doc = np.repeat(np.arange(len(n)), n)
+    full = np.flatnonzero(n)
+    node, narrow = named(t, first)
+    keys, owners = [], []
     if len(full) and percent:
         low, blocks, spare = bands(percent, int(n.max()))
         band = np.searchsorted(low, n, "right") - 1
@@ -164,20 +188,28 @@ def sketch(data: np.ndarray, off: np.ndarray, k: int, percent: int):
     return n, node, narrow, keys[order], np.searchsorted(owners[order], np.arange(len(n) + 1))
 
 
-_SIG = "doc_id long, n long, node long, s0 long, s1 long, s2 long, s3 long"
+_SIG = "doc_id long, told long, n long, node long, s0 long, s1 long, s2 long, s3 long, wide array<long>"
+
+
+def _told(docs: DataFrame) -> DataFrame:
+    """doc_id, a hash of the text, and the text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("told"), "text")
 
 
-def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Per row: size and hash of its set and the narrow sketch."""
+def signatures(docs: DataFrame, k: int) -> DataFrame:
+    """Per row: its id and text's hash, size and hash of its set, and both sketches."""
 
     def run(batches):
         for batch in batches:
-            for a, e, data, off in chunks(batch.column(1)):
-                n, node, narrow, _, _ = sketch(data, off, k, 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, e - a), pa.array(n), pa.array(node.view(np.int64)), *(pa.array(w.view(np.int64)) for w in narrow)], names=[x.split()[0] for x in _SIG.split(", ")])
+            for a, e, data, off in chunks(batch.column(2)):
+                t, first = sets(data, off, k)
+                node, narrow = named(t, first)
+                words_, begin = wide(t, first)
+                own = [batch.column(i).slice(a, e - a) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(first)), pa.array(node.view(np.int64)), *(pa.array(w.view(np.int64)) for w in narrow), pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(words_.view(np.int64)))], names=[x.split()[0] for x in _SIG.split(", ")])
         release()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SIG)
+    return _told(docs).mapInArrow(run, _SIG)
 
 
 def part_of(key: np.ndarray, parts: int) -> np.ndarray:
@@ -272,36 +304,66 @@ def _shingle_sets(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _possible(a: str, b: str, percent: int) -> Column:
-    """Sizes and narrow sketches allow a link."""
-    apart = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{a}.s{w}").bitwiseXOR(F.col(f"{b}.s{w}"))) for w in range(4)))
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * apart <= (100 - percent) * (n + m))
+    """Sizes and both sketches allow a link."""
+
+    def apart(x: Column, y: Column) -> Column:
+        return F.aggregate(F.zip_with(x, y, lambda v, w: F.bit_count(v.bitwiseXOR(w))), F.lit(0), lambda total, v: total + v)
+
+    def folded(x: Column) -> Column:
+        half = (F.size(x) / 2).cast("int")
+        return F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda v, w: v.bitwiseXOR(w))
 
+    narrow = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{a}.s{w}").bitwiseXOR(F.col(f"{b}.s{w}"))) for w in range(4)))
+    n, m, v, w = (F.col(f"{x}.{c}") for c in ("n", "wide") for x in (a, b))
+    second = F.when(F.size(v) == F.size(w), apart(v, w)).when(F.size(v) > F.size(w), apart(folded(v), w)).otherwise(apart(v, folded(w)))
+    allowed = (100 - percent) * (n + m)
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * narrow <= allowed) & ((100 + percent) * second <= allowed)
 
-def components(links: DataFrame, name: str = "components") -> DataFrame:
+
+def components(links: DataFrame, own: Scratch) -> DataFrame:
     """(node, comp) for all ends of links (a, b): comp is the smallest node that is connected. Labels move along links and then jump."""
-    both = materialize(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), name)
-    label = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), name)
+    both = own.keep(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "ends")
+    label = own.keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "components")
     while True:
         near = both.join(label.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
         moved = label.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
         to = label.select(F.col("node").alias("comp"), F.col("comp").alias("jump"))
-        label = materialize(moved.join(to, "comp", "left").select("node", "old", F.least("comp", F.coalesce("jump", "comp")).alias("comp")), name)
+        before, label = label, own.keep(moved.join(to, "comp", "left").select("node", "old", F.least("comp", F.coalesce("jump", "comp")).alias("comp")), "components")
+        own.drop(before)
         if label.where("comp <> old").isEmpty():
+            own.drop(both)
             return label.select("node", "comp")
 
 
+def distinct_buckets(met: DataFrame) -> DataFrame:
+    """(key, node) of `met` without buckets whose members are those of another bucket. Members are compared by two 64-bit hashes of the set."""
+    made = met.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    first = made.where("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
+    return met.join(first, "key", "left_semi")
+
+
 def link_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row; links have a Jaccard similarity of percent / 100 or more."""
-    sig = materialize(signatures(docs, k, percent), "signatures")
+    """doc_id, n_shingles, component_id of every row; links have a Jaccard similarity of percent / 100 or more.
+
+    Also text_hash (xxhash64 of the text, which with doc_id finds the row again) and component, which names the row's group by
+    itself (component_id may be shared by groups if rows share a doc_id); it is null for an empty set. The result is a table in the shared folder; all others that were written on the way are deleted."""
+    with Scratch(docs.sparkSession) as own:
+        return own.result(_link(docs, k, percent, own), "components-of-rows")
+
+
+def _link(docs: DataFrame, k: int, percent: int, own: Scratch) -> DataFrame:
+    sig = own.keep(signatures(docs, k), "signatures")
     rows = sig.where("n > 0")
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first(F.struct("node", "n", "s0", "s1", "s2", "s3")).alias("m"))
+    copies = rows.groupBy("node", "doc_id", "told").agg(F.count("*").alias("copies"), F.first(F.struct("n", "s0", "s1", "s2", "s3", "wide")).alias("m"))
+    nodes = copies.groupBy("node").agg(F.min("doc_id").alias("least"), F.min_by(F.struct("doc_id", "told", "copies", "m"), F.struct("doc_id", "told")).alias("r"))
+    nodes = own.keep(nodes.select("node", "least", "r.doc_id", "r.told", "r.copies", F.col("r.m").withField("node", F.col("node")).alias("m")), "nodes")
     short = F.col("node").bitwiseAND(F.lit(0xFFFFFFFFFFFF))
-    met = block_members(docs, k, percent).distinct()
-    buckets = materialize(met.join(nodes.select("node", short.alias("short")), "short").select("key", "node"), "buckets")
+    met = own.keep(block_members(docs, k, percent).distinct().join(nodes.select("node", short.alias("short")), "short").select("key", "node"), "met")
+    buckets = table = own.keep(distinct_buckets(met), "buckets")
+    own.drop(met)
 
     def possible(edges: DataFrame) -> DataFrame:
-        """Edges (a, b) that sizes and narrow sketches allow."""
+        """Edges (a, b) that sizes and sketches allow."""
         x, y = (nodes.select(F.col("node").alias(c), F.col("m").alias(f"m{c}")) for c in "ab")
         return edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(x, "a").join(y, "b").where(_possible("ma", "mb", percent)).select("a", "b")
 
@@ -315,7 +377,9 @@ def link_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame
         else:
             members = buckets.withColumn("comp", F.col("node")) if comp is None else buckets.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
             open_ = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-            members = members.join(open_, "key", "left_semi")
+            members = own.keep(members.join(open_, "key", "left_semi").select("key", "node", "comp"), "open")
+            own.drop(table)
+            table, buckets = members, members.select("key", "node")
             if step == "again":  # another member of each bucket that is not one component yet
                 hub = members.groupBy("key").agg(F.min_by(F.struct("node", "comp"), F.xxhash64("node", "key")).alias("h"))
                 edges = possible(members.join(hub, "key").where("h.comp <> comp").select(F.col("h.node").alias("a"), F.col("node").alias("b")))
@@ -324,31 +388,38 @@ def link_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame
                 x, y = (members.select("key", F.col("m").alias(c), F.col("comp").alias(f"{c}_comp")) for c in "xy")
                 pairs = x.join(y, (x["key"] == y["key"]) & (F.col("x.node") < F.col("y.node")) & (F.col("x_comp") != F.col("y_comp")) & _possible("x", "y", percent))
                 edges = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-        edges = materialize(edges, "edges")
+        edges = own.keep(edges, "edges")
         if edges.isEmpty():
             continue
         wanted = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
         if sets_of is not None:
             wanted = wanted.join(sets_of.select("node"), "node", "left_anti")
-        ids = materialize(nodes.select("node", "doc_id").join(wanted, "node"), "wanted")
-        few = ids.count() <= BROADCAST_ROWS
-        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids) if few else ids, "doc_id")
-        own = materialize(_shingle_sets(texts, k), "sets")
-        sets_of = own if sets_of is None else sets_of.unionByName(own)
-        found = _verify(edges, sets_of, percent)
-        links = found if links is None else links.unionByName(found)
+        found = own.keep(_sets_of(nodes.join(wanted, "node"), docs, k, own), "sets")
+        sets_of = found if sets_of is None else sets_of.unionByName(found)
+        verified = own.keep(_verify(edges, sets_of, percent), "links")
+        links = verified if links is None else links.unionByName(verified)
         if not links.isEmpty():
-            comp = components(links)
-    if comp is None:
-        return sig.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    rows = sig.select("doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = rows.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
-    return rows.join(least, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+            comp = components(links, own)
+    of = nodes.select("node", "least", F.col("node").alias("comp"))
+    if comp is not None:
+        of = nodes.select("node", "least").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        of = of.join(of.groupBy("comp").agg(F.min("least").alias("smallest")), "comp").select("node", F.col("smallest").alias("least"), "comp")
+    rows = sig.select("doc_id", "told", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(of, "node", "left")
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), F.col("told").alias("text_hash"), F.col("comp").alias("component"))
+
+
+def _sets_of(nodes: DataFrame, docs: DataFrame, k: int, own: Scratch) -> DataFrame:
+    """(node, shingles): the sets of these nodes, each from the one row that stands for it."""
+    ids = own.keep(nodes.select(F.col("doc_id").alias("_id"), F.col("told").alias("_told"), "node", "copies"), "wanted")
+    few = ids.count() <= BROADCAST_ROWS
+    hit = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("told") == F.col("_told"))
+    texts = _told(docs).join(F.broadcast(ids) if few else ids, hit).select("node", "copies", "text")
+    once, many = texts.where("copies = 1"), texts.where("copies > 1").dropDuplicates(["node"])
+    return _shingle_sets(once if ids.where("copies > 1").isEmpty() else once.unionByName(many), k)
 
 
 def _verify(edges: DataFrame, sets_of: DataFrame, percent: int) -> DataFrame:
     a, b = (sets_of.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab")
     both = F.size(F.array_intersect("set_a", "set_b"))
     total = F.size("set_a") + F.size("set_b")
-    out = edges.join(a, "a").join(b, "b").where((100 + percent) * both >= percent * total)
-    return materialize(out.select("a", "b").distinct(), "links")
+    return edges.join(a, "a").join(b, "b").where((100 + percent) * both >= percent * total).select("a", "b")

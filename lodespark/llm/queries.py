@@ -31,7 +31,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import link_components
 
-    return link_components(table(spark, sf_dir, "documents"), k=4, percent=85)
+    return link_components(table(spark, sf_dir, "documents"), k=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
