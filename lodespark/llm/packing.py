@@ -123,5 +123,6 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = 2048) ->
             cols = [*b.columns[:5], pa.array(sequence + k // m), pa.array(offset + k % m * length)]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    ranked = pieces.join(bases.select("length", "part", "base"), ["length", "part"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("base") + F.col("nth")).alias("rank"))
+    # the bases grow with tasks x lengths, so they are joined by key whatever their size
+    ranked = pieces.join(bases.select("length", "part", "base").hint("merge"), ["length", "part"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("base") + F.col("nth")).alias("rank"))
     return ranked.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
