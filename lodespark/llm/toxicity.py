@@ -1,19 +1,21 @@
-"""Toxicity by a subsequence string kernel, a support vector machine over Nyström landmarks, and a document calibrator.
+"""Toxicity by a subsequence string kernel and a support vector machine over Nyström landmarks, trained on labelled sentences.
 
 Kernel: two words are alike as far as they share subsequences of three characters; a subsequence that spans s
-characters (at most SPAN) counts DECAY ** s, so gaps and inserted characters cost little. Words are cleaned first: lower
-case, inner digits and signs that stand for letters, other signs dropped, runs of single letters joined.
+characters (at most SPAN) counts DECAY ** s, so gaps and inserted characters cost little; the normed value is raised to the power POWER, so
+that a chance likeness counts nearly nothing. Words are cleaned first: lower case, inner digits and signs that stand for letters, other signs
+dropped, runs of single letters joined; long words are cut into overlapping pieces, which are words of their own. The kernel
+of two sentences is the sum over their pairs of distinct words.
 
-Training: documents of a bounded labelled sample are cut into sentences that carry their document's label. Landmarks are words
-much more frequent in toxic documents, and some others. A sentence's features are the sum of its words' kernel
-values with the landmarks, whitened by the landmarks' own kernel matrix; a squared-hinge support vector machine is fitted on them.
+Training: documents of a bounded labelled sample are cut into sentences. Landmarks are words much more frequent in toxic documents, and
+some others, and words of clean sentences that a first machine finds worst. A sentence's features are the sum of its words' kernel values with the landmarks, whitened by the landmarks' own
+kernel matrix. A squared-hinge machine is fitted on all sentences with their document's label; as one insult makes a document
+toxic, it is then fitted again on the sentence of each toxic document that it finds worst, against all sentences of the others.
 
-Scoring: the machine's decision is linear in the words, and the landmarks' weights collapse into one weight for each
-character triple, so a word costs its triples alone and is remembered. A document's word weights (counts and shares above
-levels that the training sentences give) go through a small boosted calibrator, which gives the probability for classes as
-frequent as in the sample, that is about equally frequent ones: toxic documents are rare, and missing one costs more.
+Scoring: a sentence's decision is the sum of its words', and a word's is a weighted sum of its kernel values with the landmarks, which is
+remembered. A document's decisions (an empty sentence's where it has none) are pooled by their maximum and by a soft mean; the score is a
+logistic function that rises with both, fitted on documents the machine did not see, for classes as frequent as in the sample, that is about equally frequent ones: toxic documents are rare, and missing one costs more.
 
-Defined results: null and empty texts have no words and get the calibrator's value for that. Without labelled rows, or with
+Defined results: null and empty texts have one empty sentence. Without labelled rows, or with
 one class, every document gets the smoothed share. Rows are kept one for one; other columns are ignored.
 """
 
@@ -29,12 +31,13 @@ from pyspark.sql import functions as F
 
 from .common import fold
 from .quality import training_sample
-from .trees import Node, boost, log_odds
 
-SPAN, DECAY = 7, 0.7
-#: Longer words are cut into pieces of this length that overlap by half; a word's weight is its heaviest piece's.
-LONGEST = 24
+SPAN, DECAY, POWER = 7, 0.8, 2
+#: Longer words are cut into pieces of this length that overlap by half, and longer sentences into runs of so many words.
+LONGEST, MOST_WORDS = 24, 32
 MEMO = 300_000
+#: Least chi-square of a landmark.
+TELLING = 9.0
 #: Characters that often stand for letters inside words (fixed values).
 LOOKALIKE = str.maketrans("013457@$!", "oieastasi")
 _SENTENCE = re.compile(r"(?<=[.!?\n])\s+")
@@ -51,12 +54,27 @@ def clean(token: str) -> str:
     return word
 
 
+def _joined(text: str) -> str:
+    """Lower case, with letters that are spaced out (three or more) joined."""
+    text = text.lower()
+    return _SPACED.sub(lambda m: _JUNK.sub("", m.group()), text) if " " in text else text
+
+
 def tokens(text: str) -> list[str]:
     """Lower-case tokens between white space; letters spaced out (three or more) are joined first."""
-    text = text.lower()
-    if " " in text:
-        text = _SPACED.sub(lambda m: _JUNK.sub("", m.group()), text)
-    return text.split()
+    return _joined(text).split()
+
+
+def sentences(text: str | None) -> list[list[str]]:
+    """The tokens of each sentence, of half-overlapping runs of a long one; one empty sentence where there are no tokens."""
+    out = []
+    for s in _SENTENCE.split(_joined(text or "")):
+        ws = s.split()
+        if len(ws) <= MOST_WORDS:
+            out.append(ws)
+        else:
+            out += [ws[i : i + MOST_WORDS] for i in range(0, len(ws) - MOST_WORDS // 2, MOST_WORDS // 2)]
+    return [ws for ws in out if ws] or [[]]
 
 
 def pieces(word: str) -> list[str]:
@@ -99,172 +117,247 @@ def triples(codes: np.ndarray, n: np.ndarray, size: int):
             yield word[a], (x[ok] * size + y[ok]) * size + z[ok], DECAY ** (j + 1)
 
 
-def norms(n: np.ndarray) -> np.ndarray:
-    """A word's kernel values are divided by this function of its length."""
-    return np.sqrt(sum(np.maximum(n - j, 0) * DECAY ** (2 * (j + 1)) for _, j in _PAIRS) + 1e-9)
+def counted(codes: np.ndarray, n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, triple, value) in order: the normed weight of each triple in each word. A triple with a character that the alphabet lacks counts in the norm, as if it were alone."""
+    parts = [(word * size**3 + triple, np.full(len(word), weight)) for word, triple, weight in triples(codes, n, size)]
+    key, weight = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0))
+    order = np.argsort(key)
+    key, weight = key[order], weight[order]
+    at = np.flatnonzero(np.diff(key, prepend=-1))
+    total = np.add.reduceat(weight, at) if len(at) else weight
+    word, triple = np.divmod(key[at], size**3)
+    norm = sum(np.maximum(n - j, 0) * DECAY ** (2 * (j + 1)) for _, j in _PAIRS) - np.bincount(key // size**3, weight**2, len(n)) + np.bincount(word, total**2, len(n))
+    return word, triple, total / np.sqrt(norm + 1e-9)[word]
 
 
 @dataclass
-class Machine:
+class Kernel:
+    """The landmarks' side of the kernel: their triples and, for each triple, its normed count in each landmark."""
+
     alphabet: Alphabet
-    weights: np.ndarray  # one for each triple
+    used: np.ndarray  # sorted triples
+    first: np.ndarray  # of each, its first entry below
+    landmark: np.ndarray
+    count: np.ndarray
+    size: int  # landmarks
+
+    def places(self):
+        """Where triples stand in `used`, -1 for others: by a table where the alphabet is small."""
+        size = self.alphabet.size**3
+        if size > 1 << 22:
+            return lambda triple: find(self.used, triple)
+        table = np.full(size, -1, np.int32)
+        table[self.used] = np.arange(len(self.used))
+        return table.__getitem__
+
+    def values(self, words: list[str]) -> np.ndarray:
+        """words x landmarks, for words of at most LONGEST characters."""
+        out = np.zeros((len(words), self.size))
+        many = np.diff(self.first)
+        place = self.places()
+        for a in range(0, len(words), 2000):
+            part = words[a : a + 2000]
+            codes, n, _ = self.alphabet.flatten(part)
+            word, triple, value = counted(codes, n, self.alphabet.size)
+            k = place(triple)
+            there = np.flatnonzero(k >= 0)
+            word, k, value = word[there], k[there], value[there]
+            m = many[k]
+            entry = np.repeat(self.first[k] - np.cumsum(m) + m, m) + np.arange(m.sum())
+            out[a : a + len(part)] = np.bincount(np.repeat(word, m) * self.size + self.landmark[entry], weights=self.count[entry] * np.repeat(value, m), minlength=len(part) * self.size).reshape(len(part), self.size)
+        return out**POWER
+
+
+@dataclass
+class Machine:
+    kernel: Kernel
+    landmarks: list[str]
+    alpha: np.ndarray  # the landmarks' weights
     bias: float
-    levels: np.ndarray
-    calibrator: tuple[float, list[Node]]
+    scale: np.ndarray  # score: a logistic function that rises with both pooled decisions
 
     def word_weights(self, words: list[str]) -> np.ndarray:
+        """The sum over each word's pieces of their kernel values with the landmarks, weighted."""
         cut = [pieces(w) for w in words]
         own = np.repeat(np.arange(len(words)), [len(c) for c in cut])
-        flat = [p for c in cut for p in c]
-        codes, n, _ = self.alphabet.flatten(flat)
-        total = np.zeros(len(flat))
-        for word, triple, weight in triples(codes, n, self.alphabet.size):
-            total += np.bincount(word, weights=self.weights[triple] * weight, minlength=len(flat))
-        total /= norms(n)
-        out = np.full(len(words), -np.inf)
-        np.maximum.at(out, own, total)
-        return out
+        return np.bincount(own, weights=self.kernel.values([p for c in cut for p in c]) @ self.alpha, minlength=len(words))
 
     def scorer(self):
+        """decisions(texts): of each, its sentences' decisions, pooled."""
         memo: dict[str, float] = {}
 
-        def features(texts: list[str | None]) -> np.ndarray:
+        def decisions(texts: list[str | None]) -> np.ndarray:
             if len(memo) > MEMO:
                 memo.clear()
-            split = [tokens(t) if t else [] for t in texts]
-            new = list(dict.fromkeys(w for ws in split for w in ws if w not in memo))
+            split = [sentences(t) for t in texts]
+            new = list(dict.fromkeys(w for d in split for s in d for w in s if w not in memo))
             for a in range(0, len(new), 20_000):
                 part = new[a : a + 20_000]
                 memo.update(zip(part, self.word_weights([clean(w) for w in part]).tolist(), strict=True))
-            return np.array([self.features(np.fromiter(map(memo.__getitem__, ws), float, len(ws))) for ws in split])
+            lines = np.array([sum(map(memo.__getitem__, set(s))) for d in split for s in d]) + self.bias
+            return pooled(lines, np.cumsum([0, *map(len, split)])[:-1]) if len(split) else np.zeros((0, 2))
+
+        return decisions
+
+    def scores(self, decisions: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(decisions @ self.scale[:-1] + self.scale[-1], -30, 30)))
+
 
-        return features
+def pooled(lines: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Of each document's sentence decisions (at most 8 counts): the greatest, and the logarithm of the mean of their exponentials, which tells one bad sentence among few from one among many."""
+    lines = np.minimum(lines, 8.0)
+    n = np.diff(np.append(first, len(lines)))
+    return np.stack([np.maximum.reduceat(lines, first), np.log(np.add.reduceat(np.exp(lines), first) / n)], 1)
 
-    def features(self, w: np.ndarray) -> np.ndarray:
-        """Of one document's word weights: counts and shares above the levels, the heaviest three, all words."""
-        n = len(w)
-        if not n:
-            return np.zeros(2 * len(self.levels) + 5)
-        above = [(w > x).sum() for x in self.levels]
-        top = np.sort(w)[-3:][::-1]
-        return np.array([*above, *(k / n for k in above), *np.pad(top, (0, 3 - len(top))), w.mean(), np.log1p(n)])
 
+def find(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Where each of x stands in sorted keys, -1 for those that are not there."""
+    if not len(keys):
+        return np.full(len(x), -1)
+    at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+    return np.where(keys[at] == x, at, -1)
 
-def _landmarks(words: list[list[str]], y: np.ndarray, many: int, others: int) -> list[str]:
-    """Words by a signed chi-square of the documents that hold them, then some of the most frequent rest."""
+
+def _landmarks(split: list[list[list[str]]], y: np.ndarray, many: int, others: int) -> list[str]:
+    """Words by a signed chi-square of the distinct sentences that hold them (copies count once), then some of the most frequent rest."""
     count: dict[str, list[int]] = {}
-    for ws, k in zip(words, y, strict=True):
-        for w in set(ws):
+    n = [0, 0]
+    for s, k in dict.fromkeys((tuple(s), int(k)) for own, k in zip(split, y, strict=True) for s in own):
+        n[k] += 1
+        for w in set(s):
             if 3 <= len(w) <= LONGEST:
                 count.setdefault(w, [0, 0])[k] += 1
-    n = np.array([(y == 0).sum(), (y == 1).sum()])
     keys = sorted(count)
     c = np.array([count[w] for w in keys], float).reshape(-1, 2)
-    expect = c.sum(1) * n[1] / n.sum()
+    expect = c.sum(1) * n[1] / max(sum(n), 1)
     score = np.where(c[:, 1] > expect, (c[:, 1] - expect) ** 2 / np.maximum(expect, 1e-9), 0)
-    first = [keys[i] for i in np.lexsort((np.arange(len(keys)), -score))[:many] if score[i] > 0]
-    rest = [keys[i] for i in np.lexsort((np.arange(len(keys)), -c[:, 0]))[: 20 * others : 20]]
+    first = [keys[i] for i in np.lexsort((np.arange(len(keys)), -score))[:many] if score[i] >= TELLING]
+    rest = [keys[i] for i in np.lexsort((np.arange(len(keys)), -c.sum(1)))[: 20 * others : 20]]
     return list(dict.fromkeys(first + rest))
 
 
-def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 1.0, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Squared hinge loss with a ridge, by accelerated gradient; y is -1 or 1."""
+def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, start: np.ndarray | None, c: float = 1.0, steps: int = 200) -> np.ndarray:
+    """Weights and, last, bias: squared hinge loss with a ridge, by accelerated gradient from `start`; y is -1 or 1."""
     x1 = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    total = weight.sum()
-    top = np.ones(x1.shape[1])
+    y, weight = y.astype(x.dtype), (weight / weight.sum()).astype(x.dtype)
+    top = np.ones(x1.shape[1], x.dtype)
     for _ in range(15):
-        v = x1.T @ (weight * (x1 @ top)) / total
+        v = x1.T @ (weight * (x1 @ top))
         size = np.linalg.norm(v)
         top = v / (size + 1e-12)
     ridge = 1e-4 / c
-    step = 1 / (2 * size + ridge)
-    w, z, t = np.zeros(x1.shape[1]), np.zeros(x1.shape[1]), 1.0
+    step = x.dtype.type(1 / (2 * size + ridge))
+    w = np.zeros(x1.shape[1], x.dtype) if start is None else start.astype(x.dtype)
+    z, t = w, 1.0
     for _ in range(steps):
         slack = np.maximum(0, 1 - y * (x1 @ z))
-        new = z - step * (-2 * x1.T @ (weight * y * slack) / total + ridge * z)
+        new = z - step * (-2 * (x1.T @ (weight * y * slack)) + x.dtype.type(ridge) * z)
         nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        z, w, t = new + (t - 1) / nt * (new - w), new, nt
-    return w[:-1], float(w[-1])
-
-
-def fit(texts: list[str], y: np.ndarray, landmarks: int = 160, others: int = 48) -> Machine | float:
+        z, w, t = new + x.dtype.type((t - 1) / nt) * (new - w), new, nt
+    return w
+
+
+def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Slopes, none of them negative, and offset of a logistic function, classes weighted alike, by projected Newton steps with a little ridge."""
+    y = y.astype(float)
+    mid, wide = x.mean(0), np.maximum(x.std(0), 1e-3)
+    u = np.hstack([(x - mid) / wide, np.ones((len(x), 1))])
+    weight = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
+    best = None
+    for free in ((0, 1, 2), (0, 2), (1, 2)):  # the best of those without a negative slope
+        v, w, ridge = u[:, free], np.zeros(len(free)), np.diag([1e-3] * (len(free) - 1) + [1e-6])
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(v @ w, -30, 30)))
+            w -= np.clip(np.linalg.solve((v * (weight * p * (1 - p))[:, None]).T @ v + ridge, v.T @ (weight * (p - y)) + ridge @ w), -2, 2)
+        w[:-1] = np.maximum(w[:-1], 1e-6) if len(free) == 2 else w[:-1]
+        p = np.clip(1 / (1 + np.exp(-np.clip(v @ w, -30, 30))), 1e-9, 1 - 1e-9)
+        loss = -(weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum()
+        if (w[:-1] > 0).all() and (best is None or loss < best[0]):
+            full = np.zeros(3)
+            full[list(free)] = w
+            best = (loss, full)
+    slopes = best[1][:2] / wide
+    return np.append(slopes, best[1][2] - slopes @ mid)
+
+
+def fit(texts: list[str], y: np.ndarray, landmarks: int = 128, others: int = 16, hard: int = 160, rounds: int = 4) -> Machine | float:
     """A machine, or the smoothed share where there is only one class."""
     if len(set(y.tolist())) < 2:
         return (float(y.sum()) + 1) / (len(y) + 2)
-    sentences = [[s for s in _SENTENCE.split(t) if s.strip()] or [t] for t in texts]
-    split = [[[clean(w) for w in tokens(s)] for s in own] for own in sentences]
-    marks = _landmarks([[w for s in own for w in s] for own in split], y, landmarks, others)
-    chars: dict[str, int] = {}
-    for w in marks:
-        for ch in w:
-            chars[ch] = chars.get(ch, 0) + 1
-    alphabet = Alphabet({ord(ch): k + 1 for k, ch in enumerate(sorted(chars, key=lambda ch: (-chars[ch], ch))[:47])})
-    size = alphabet.size
-    codes, n, _ = alphabet.flatten(marks)
-    own = np.zeros((len(marks), size**3), np.float32)
-    for word, triple, weight in triples(codes, n, size):
-        np.add.at(own, (word, triple), weight)
-    own /= norms(n)[:, None]
-    used = np.flatnonzero(own.any(0))
-    own = own[:, used].astype(np.float64)
-    lam, vec = np.linalg.eigh(own @ own.T)
-    keep = lam > 1e-6 * lam.max()
-    white = vec[:, keep] / np.sqrt(lam[keep])  # kernel values times this are the Nyström features
-    basis = np.zeros((size**3,), np.int64) - 1
-    basis[used] = np.arange(len(used))
+    split = [[[p for w in dict.fromkeys(s) for p in pieces(clean(w))] for s in sentences(t)] for t in texts]
+    marks = _landmarks(split, y, landmarks, others)
     vocab = sorted({w for d in split for s in d for w in s})
-    place = {w: i for i, w in enumerate(vocab)}
-    lines = [(d, s) for d, own_s in enumerate(split) for s in own_s if s]
-    word_of = np.array([place[w] for _, s in lines for w in s])
-    line_of = np.repeat(np.arange(len(lines)), [len(s) for _, s in lines])
-    by = np.argsort(word_of, kind="stable")
-    word_of, line_of = word_of[by], line_of[by]
-    z = np.zeros((len(lines), white.shape[1]), np.float32)
-    project = (own.T @ white).astype(np.float32)  # triples x features
-    for a in range(0, len(vocab), 1000):
-        part = [w[:LONGEST] for w in vocab[a : a + 1000]]
-        codes, n, _ = alphabet.flatten(part)
-        m = np.zeros((len(part), len(used)), np.float32)
-        for word, triple, weight in triples(codes, n, size):
-            k = basis[triple]
-            np.add.at(m, (word[k >= 0], k[k >= 0]), weight)
-        lo, hi = np.searchsorted(word_of, [a, a + len(part)])
-        np.add.at(z, line_of[lo:hi], ((m / norms(n)[:, None].astype(np.float32)) @ project)[word_of[lo:hi] - a])
-    label = np.array([1.0 if y[d] else -1.0 for d, _ in lines])
-    length = np.array([len(s) for _, s in lines])
-    z /= np.sqrt(length)[:, None]
-    weight = np.where(label > 0, 0.5 / max((label > 0).sum(), 1), 0.5 / max((label < 0).sum(), 1))
-    w, bias = _svm(z, label, weight)
-    weights = np.zeros(size**3)
-    weights[used] = project @ w
-    machine = Machine(alphabet, weights, bias, np.zeros(0), (0.0, []))
-    values = machine.word_weights(vocab)
-    machine.levels = np.unique(np.quantile(values, [0.9, 0.97, 0.99, 0.995, 0.998, 0.9995]))
-    x = machine.scorer()(texts)
-    machine.calibrator = boost(x, y.astype(float), trees=60, depth=3, rate=0.2, least=5)
+    at = {w: i for i, w in enumerate(vocab)}
+    lines = [(d, [at[w] for w in s]) for d, own_s in enumerate(split) for s in own_s]
+    doc = np.array([d for d, _ in lines])
+    toxic = y[doc] > 0
+    # a fifth of the documents is kept for the calibration, if both classes are in both parts
+    held = np.arange(len(y)) % 5 == 4
+    if any(len(set(y[part].tolist())) < 2 for part in (held, ~held)):
+        held = np.zeros(len(y), bool)
+    use = ~held[doc]
+    clean_words = np.zeros(len(vocab))
+    for (_, s), t, u in zip(lines, toxic, use, strict=True):
+        if u and not t:
+            clean_words[s] += 1
+    for again in range(2):
+        kernel, white = _nystroem(marks)
+        values = kernel.values(vocab)
+        rows = values @ white
+        z = np.array([rows[s].sum(0) for _, s in lines], np.float32)
+        w, bias = _multiple(z, doc, toxic, use, rounds)
+        if not again:  # words of clean sentences that look worst become landmarks too
+            g = np.where(clean_words > 0, rows @ w, 0)
+            marks = list(dict.fromkeys(marks + [vocab[i] for i in np.argsort(-g, kind="stable")[:hard] if g[i] > 0 and len(vocab[i]) >= 3]))
+    machine = Machine(kernel, marks, white @ w, bias, np.zeros(3))
+    part = held if held.any() else ~held
+    machine.scale = _logistic(machine.scorer()([t for t, h in zip(texts, part, strict=True) if h]), y[part])
     return machine
 
 
-def probabilities(machine: Machine | float, features, texts: list[str | None]) -> np.ndarray:
-    if isinstance(machine, float):
-        return np.full(len(texts), machine)
-    return 1 / (1 + np.exp(-np.clip(log_odds(machine.calibrator, features(texts), rate=0.2), -30, 30)))
+def _nystroem(marks: list[str]) -> tuple[Kernel, np.ndarray]:
+    """The landmarks' side of the kernel, and the matrix that kernel values are multiplied with to give features."""
+    alphabet = Alphabet({ord(ch): k + 1 for k, ch in enumerate(sorted({ch for w in marks for ch in w}))})
+    codes, n, _ = alphabet.flatten(marks)
+    word, triple, value = counted(codes, n, alphabet.size)
+    used, place = np.unique(triple, return_inverse=True)
+    counts = np.bincount(place * len(marks) + word, weights=value, minlength=len(used) * len(marks)).reshape(len(used), len(marks))
+    lam, vec = np.linalg.eigh((counts.T @ counts) ** POWER)
+    keep = lam > 1e-6 * max(lam.max(initial=0), 1e-12)
+    k, mark = np.nonzero(counts)
+    return Kernel(alphabet, used, np.searchsorted(k, np.arange(len(used) + 1)), mark, counts[k, mark], len(marks)), vec[:, keep] / np.sqrt(lam[keep])
+
+
+def _multiple(z: np.ndarray, doc: np.ndarray, toxic: np.ndarray, use: np.ndarray, rounds: int) -> tuple[np.ndarray, float]:
+    """Weights and bias: fitted on all sentences, then `rounds` times on the worst one of each toxic document against all of the others."""
+    w = None
+    for _ in range(1 + rounds):
+        mine = use.copy()
+        if w is not None:
+            f = z @ w[:-1]
+            order = np.lexsort((-f, doc))
+            worst = np.zeros(len(doc), bool)
+            worst[order[np.diff(doc[order], prepend=-1) > 0]] = True
+            mine &= ~toxic | worst
+        label = np.where(toxic[mine], 1.0, -1.0)
+        weight = np.where(label > 0, 0.5 / max((label > 0).sum(), 1), 0.5 / max((label < 0).sum(), 1))
+        w = _svm(z[mine], label, weight, w)
+    return w[:-1].astype(float), float(w[-1])
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", held: int = 1, folds: int = 3, per_class: int = 700) -> DataFrame:
     """doc_id, held_out, score, predicted for every row, learnt from at most per_class documents of each class."""
-    known = labels.where(F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
-    rows = training_sample(docs, labels, label, held, folds, per_class).select("doc_id", "text").join(known, "doc_id").toPandas().sort_values(["doc_id", "text"], kind="stable")
+    rows = training_sample(docs, labels, label, held, folds, per_class).toPandas().sort_values(["doc_id", "text"], kind="stable")
     own = docs.sparkSession.sparkContext.broadcast(fit([t or "" for t in rows.text], rows["y"].to_numpy(int)))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         machine = own.value
-        features = None if isinstance(machine, float) else machine.scorer()
+        decisions = None if isinstance(machine, float) else machine.scorer()
         for b in batches:
             for a in range(0, b.num_rows, 256):
                 part = b.slice(a, 256)
-                p = probabilities(machine, features, part.column(1).to_pylist())
+                p = np.full(part.num_rows, machine) if isinstance(machine, float) else machine.scores(decisions(part.column(1).to_pylist()))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p)], names=["doc_id", "score"])
 
     scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
