@@ -9,14 +9,18 @@ or contents differ between pages and low where they repeat:
   content importance  mean over its distinct contents of 1 - log(c) / log(m), c the pages that show the content there
   branch importance   (1 - GAMMA) x node importance + GAMMA x mean content importance of the blocks below it
 
-Branches whose importance is below LEAST are noise on that host; each page loses the blocks of its host's noisy branches,
-and those that its own markup marks as menu, header, footer, sidebar, notice, advert, form or reader comment. An article or
-main of which nothing would be left stays as it is.
-
-Counts run per (host, path, content), pre-aggregated, so a host with a third of all pages is no single group. Only a
-host's noisy paths, which many of its pages share, are brought to its pages.
-
-Defined results: null or empty html gives an empty text; a null url is a host of its own name (""). Rows are kept one for one.
+A block weighs as much as its branch is important (the least importance of the nodes on its path), times a prior: 1 inside an article or main
+element and on pages without one, OUTSIDE elsewhere, 0 where the page's own markup says menu, header, footer, sidebar, notice, advert,
+form or reader comment. Blocks of weight LEAST or more are the main text, but for contents that stand on nearly all pages of their host.
+So on a host that its tree knows, a template inside an article goes, and text beside the article stays if it differs from page to page. Branches
+on fewer than MIN_PAGES pages have the importance UNKNOWN, so that there the article element decides. An article or main of which nothing would be left stays as
+it is.
+
+Counts run per (host, path, content), pre-aggregated, so a host with a third of all pages is no single group. What the trees say of a path or
+content, where it differs from UNKNOWN's outcome, goes to all tasks up to BROADCAST_ENTRIES entries; more is joined by (host, path) and (host, content).
+
+Defined results: null or empty html gives an empty text; a null url is a host of its own name (""). Other columns, whatever their names, travel
+as one struct. Rows are kept one for one.
 """
 
 from __future__ import annotations
@@ -32,12 +36,14 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 GAMMA, LEAST, MIN_PAGES = 0.9, 0.3, 4
+#: The prior of text beside a page's article or main, and the importance of a branch that too few pages show.
+OUTSIDE, UNKNOWN = 0.4, 0.5
 #: A content on this share of a host's pages (of 10 at least) is part of the template wherever it stands.
 TEMPLATE_SHARE, TEMPLATE_PAGES = 0.9, 10
 #: Pages of a host are near copies if their blocks of this many words are equal and hold this share of their text.
 COPY_WORDS, COPY_SHARE = 10, 0.9
-#: Noise of all hosts up to this many paths and contents is broadcast; more is joined by host.
-BROADCAST_ENTRIES = 500_000
+#: What the trees of all hosts say of up to this many paths and contents is broadcast; more is joined.
+BROADCAST_ENTRIES = 200_000
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -190,35 +196,44 @@ def copy_key(blocks) -> int | None:
     long = [t for t in said if t.count(" ") + 1 >= COPY_WORDS]
     if sum(map(len, long)) >= COPY_SHARE * sum(map(len, said)):
         said = long
-    return int.from_bytes(hashlib.blake2b("\n".join(said).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True) if said else None
+    return _hash("\n".join(said)) if said else None
+
 
+_BLOCK = [("path", pa.string()), ("text", pa.string()), ("marked", pa.bool_()), ("main", pa.bool_()), ("content", pa.int64())]
+_PARSED = "row long, host string, page_hash long, copy long, blocks array<struct<path:string,text:string,marked:boolean,main:boolean,content:long>>, styles array<struct<path:string,style:string>>"
 
-_PARSED = "copy long, blocks array<struct<path:string,text:string,marked:boolean,main:boolean>>, styles array<struct<path:string,style:string>>"
+
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
 def parse_pages(pages: DataFrame, html: str = "html") -> DataFrame:
-    """All columns of `pages` but html, with host, page_hash, copy, blocks and styles."""
-    names = [c for c in pages.columns if c not in (html, "host", "page_hash", "copy", "blocks", "styles")]
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name in names)
-    block = pa.list_(pa.struct([("path", pa.string()), ("text", pa.string()), ("marked", pa.bool_()), ("main", pa.bool_())]))
-    style = pa.list_(pa.struct([("path", pa.string()), ("style", pa.string())]))
+    """All columns of `pages` but html as the struct `page`, with row (a number of the page), host, page_hash, copy, blocks and styles."""
+    others = [F.col(f"`{c}`") for c in pages.columns if c != html]
     host = F.lower(F.coalesce(F.expr("regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)', 1)"), F.lit("")))
-    rows = pages.select(*names, html, host.alias("host"), F.xxhash64(html).alias("page_hash"))
+    rows = pages.select(F.struct(*others).alias("page"), F.col(f"`{html}`").alias("html"), host.alias("host"), F.xxhash64(html).alias("page_hash"))
+    style = pa.list_(pa.struct([("path", pa.string()), ("style", pa.string())]))
 
     def run(batches):
+        from pyspark import TaskContext
+
+        nth = TaskContext.get().partitionId() << 40
         for b in batches:
             for a in range(0, b.num_rows, 128):
                 part = b.slice(a, 128)
-                found = [parse(t) for t in part.column(html).to_pylist()]
-                cols = [*(part.column(c) for c in (*names, "host", "page_hash")), pa.array([copy_key(f[0]) for f in found], pa.int64()), pa.array([[dict(zip(("path", "text", "marked", "main"), x, strict=True)) for x in f[0]] for f in found], block), pa.array([[{"path": p, "style": s} for p, s in f[1].items()] for f in found], style)]
-                yield pa.RecordBatch.from_arrays(cols, names=[*names, "host", "page_hash", "copy", "blocks", "styles"])
+                found = [parse(t) for t in part.column("html").to_pylist()]
+                blocks = [[dict(zip(("path", "text", "marked", "main", "content"), (*x, _hash(x[1])), strict=True)) for x in f[0]] for f in found]
+                cols = [part.column("page"), pa.array(range(nth, nth + part.num_rows), pa.int64()), part.column("host"), part.column("page_hash"), pa.array([copy_key(f[0]) for f in found], pa.int64())]
+                cols += [pa.array(blocks, pa.list_(pa.struct(_BLOCK))), pa.array([[{"path": p, "style": s} for p, s in f[1].items()] for f in found], style)]
+                nth += part.num_rows
+                yield pa.RecordBatch.from_arrays(cols, names=["page", "row", "host", "page_hash", "copy", "blocks", "styles"])
 
-    return rows.mapInArrow(run, f"{kinds}, host string, page_hash long, {_PARSED}")
+    return rows.mapInArrow(run, f"page {rows.schema['page'].dataType.simpleString()}, {_PARSED}")
 
 
 def style_tree(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(host, path, importance, m) of the merged trees' nodes, and (host, content) that stands on nearly all pages of a host."""
-    hashed = F.array_distinct(F.transform("blocks", lambda b: F.struct(b["path"].alias("path"), F.xxhash64(b["text"]).alias("content"))))
+    hashed = F.array_distinct(F.transform("blocks", lambda b: F.struct(b["path"].alias("path"), b["content"].alias("content"))))
     one = parsed.select("host", "page_hash", F.coalesce("copy", "page_hash").alias("copy"), F.struct(hashed.alias("blocks"), "styles").alias("p"))
     one = one.groupBy("host", "copy").agg(F.min_by("p", "page_hash").alias("p"), F.min("page_hash").alias("page_hash"))  # near copies count once
     content = one.select("host", "page_hash", F.explode("p.blocks").alias("b"))
@@ -242,19 +257,60 @@ def style_tree(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return tree, everywhere
 
 
+def branches(tree: DataFrame) -> DataFrame:
+    """(host, path, floor): the least importance of the nodes on the way to each path, of those that MIN_PAGES pages or more show."""
+    known = tree.where(F.col("m") >= MIN_PAGES).select("host", F.col("path").alias("node"), "importance")
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+    ways = tree.where("path <> ''").select("host", "path", F.explode(above).alias("node"))
+    return ways.join(known, ["host", "node"]).groupBy("host", "path").agg(F.min("importance").alias("floor"))
+
+
+def main_text(blocks: list[dict], floors: dict[str, float], common) -> str:
+    """The text of a page: floors has its paths' importance where that is known, `common` the contents that are the host's template."""
+    own = [b for b in blocks if not b["marked"]]
+    declared = any(b["main"] for b in own)
+    kept = [b for b in own if floors.get(b["path"], UNKNOWN) * (1.0 if b["main"] or not declared else OUTSIDE) >= LEAST and b["content"] not in common]
+    if declared and not any(b["main"] for b in kept):
+        kept = [b for b in own if b["main"]]
+    return "\n\n".join(b["text"] for b in kept)
+
+
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:
-    """The columns of `pages` but html, with text: the main text, blocks joined by a line feed."""
+    """The columns of `pages` but html, with text: the main text, blocks joined by two line feeds."""
+    spark = pages.sparkSession
     parsed = materialize(parse_pages(pages, html), "parsed")
     tree, everywhere = style_tree(parsed)
-    noisy = tree.where((F.col("importance") < LEAST) & (F.col("m") >= MIN_PAGES)).groupBy("host").agg(F.collect_set("path").alias("noisy"))
-    common = everywhere.groupBy("host").agg(F.collect_set("content").alias("common"))
-    known = materialize(noisy.join(common, "host", "full_outer"), "noise")
-    count = lambda c: F.coalesce(F.size(c), F.lit(0))
-    size = known.agg(F.coalesce(F.sum(F.greatest(count("noisy"), F.lit(0)) + F.greatest(count("common"), F.lit(0))), F.lit(0))).first()[0]
-    rows = parsed.join(F.broadcast(known) if size <= BROADCAST_ENTRIES else known, "host", "left")
-    keeps = lambda b: ~b["marked"] & ~F.coalesce(F.exists("noisy", lambda p: (b["path"] == p) | F.startswith(b["path"], F.concat(p, F.lit("/")))), F.lit(False)) & ~F.coalesce(F.array_contains("common", F.xxhash64(b["text"])), F.lit(False))
-    rows = rows.withColumn("_own", F.filter("blocks", keeps))
-    main, whole = F.filter("_own", lambda b: b["main"]), F.filter("blocks", lambda b: b["main"] & ~b["marked"])
-    text = F.array_join(F.transform(F.when(F.size(main) > 0, main).when(F.size(whole) > 0, whole).otherwise(F.col("_own")), lambda b: b["text"]), "\n")
+    floors = materialize(branches(tree).where((F.col("floor") < LEAST) | (F.col("floor") >= LEAST / OUTSIDE)), "branches")
+    everywhere = materialize(everywhere, "everywhere")
     out = [c for c in pages.columns if c not in (html, "text")]
-    return rows.select(*out, F.coalesce(text, F.lit("")).alias("text"))
+    schema = f"page {parsed.schema['page'].dataType.simpleString()}, text string"
+    if floors.count() + everywhere.count() <= BROADCAST_ENTRIES:
+        held: dict[str, tuple[dict[str, float], set[int]]] = {}
+        for r in floors.toLocalIterator():
+            held.setdefault(r.host, ({}, set()))[0][r.path] = r.floor
+        for r in everywhere.toLocalIterator():
+            held.setdefault(r.host, ({}, set()))[1].add(r.content)
+        own = spark.sparkContext.broadcast(held)
+
+        def known(b: pa.RecordBatch):
+            return [own.value.get(h, ({}, ())) for h in b.column("host").to_pylist()]
+
+        rows = parsed.select("page", "blocks", "host")
+    else:
+        paths = parsed.select("row", "host", F.explode(F.array_distinct(F.col("blocks.path"))).alias("path")).join(floors, ["host", "path"]).groupBy("row").agg(F.collect_list(F.struct("path", "floor")).alias("floors"))
+        contents = parsed.select("row", "host", F.explode(F.array_distinct(F.col("blocks.content"))).alias("content")).join(everywhere, ["host", "content"], "left_semi").groupBy("row").agg(F.collect_list("content").alias("common"))
+
+        def known(b: pa.RecordBatch):
+            return [({x["path"]: x["floor"] for x in f or ()}, set(c or ())) for f, c in zip(b.column("floors").to_pylist(), b.column("common").to_pylist(), strict=True)]
+
+        rows = parsed.join(paths, "row", "left").join(contents, "row", "left").select("page", "blocks", "floors", "common")
+
+    def run(batches):
+        for b in batches:
+            for a in range(0, b.num_rows, 128):
+                part = b.slice(a, 128)
+                texts = [main_text(x, *k) for x, k in zip(part.column("blocks").to_pylist(), known(part), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("page"), pa.array(texts, pa.string())], names=["page", "text"])
+
+    return rows.mapInArrow(run, schema).select(*(F.col(f"page.`{c}`").alias(c) for c in out), "text")
