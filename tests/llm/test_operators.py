@@ -61,7 +61,7 @@ def test_join_matches_brute_force(spark, k, percent):
     from lodespark.llm.ngram_join import link_components
 
     rows = [r[:2] for r in edge.rows()]
-    got = sorted((tuple(r) for r in link_components(edge.documents(spark), k, percent).collect()), key=lambda r: (key(r[0]), r[1], key(r[2])))
+    got = sorted((tuple(r) for r in link_components(edge.documents(spark), k, percent).select("doc_id", "n_shingles", "component_id").collect()), key=lambda r: (key(r[0]), r[1], key(r[2])))
     assert got == brute_components(rows, k, percent)
 
 
@@ -78,10 +78,39 @@ def test_join_of_a_chain_of_near_copies(spark):
         w[(i * 7) % 150] = f"own{i}"
         rows.append((i + 1, " ".join(w)))
     rows += [(100 + i, rows[5][1]) for i in range(40)] + [(200 + i, edge.prose(50 + i, 90)) for i in range(20)]
-    got = sorted(tuple(r) for r in link_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect())
+    got = sorted(tuple(r) for r in link_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).select("doc_id", "n_shingles", "component_id").collect())
     assert got == brute_components(rows, 4, 85)
 
 
+@pytest.mark.parametrize("middle", [None, 3, 1])
+def test_rows_without_an_id_or_with_a_shared_one_link_by_their_own_sets(spark, middle):
+    """A chain whose middle row alone has its set."""
+    from lodespark.llm.ngram_join import link_components
+
+    w = edge.prose(21, 100).split()
+    texts = [" ".join([f"x{j}" if j in changed else t for j, t in enumerate(w)]) for changed in ((), range(6), (*range(6), 50))]
+    rows = [(1, texts[0]), (middle, texts[1]), (2, texts[2]), (2, "a text of its own"), (middle, edge.prose(30, 40))]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in link_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()), key=lambda r: (key(r[0]), r[1], key(r[2])))
+    assert got == brute_components(rows, 4, 85)
+    assert [r[2] for r in got if r[1] == 97] == [1, 1, 1]
+
+
+def test_wide_sketches_bound_the_difference_and_fold():
+    from lodespark.llm.ngram_join import wide
+
+    rng = np.random.default_rng(8)
+    for n in (1, 3, 100, 128, 129, 1000, 5000):
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        b = np.unique(np.append(a[: int(n * 0.9)], rng.integers(0, 2**63, int(n * 0.3) + 1).astype(np.uint64)))
+        out, begin = wide(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+        x, y = out[: begin[1]], out[begin[1] :]
+        assert 64 * len(x) >= 2 * len(a) and 64 * len(y) >= 2 * len(b)
+        while len(x) != len(y):
+            x, y = (z if len(z) == min(len(x), len(y)) else z[: len(z) // 2] ^ z[len(z) // 2 :] for z in (x, y))
+        apart, true = int(np.bitwise_count(x ^ y).sum()), len(np.setxor1d(a, b))
+        assert apart <= true and (true - apart) % 2 == 0
+
+
 def test_parity_sketch_bounds_the_difference():
     from lodespark.llm.ngram_join import sketch
 
@@ -228,7 +257,6 @@ def all_ids(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(TOKENIZER)
-    t.encode_special_tokens = True
     return [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -450,6 +478,56 @@ def test_gapped_words_keep_most_of_their_weight():
     assert toxicity.tokens("you m o r o n there") == ["you", "moron", "there"]
 
 
+def test_sentence_decisions_follow_from_the_kernel():
+    """Scores from the definition: subsequences counted one by one, landmarks weighted, documents pooled."""
+    from itertools import combinations
+
+    from lodespark.llm import toxicity as T
+
+    def subsequences(w, known):
+        w = [c if c in known else (i, c) for i, c in enumerate(w)]  # a character of no landmark is like no other
+        out = defaultdict(float)
+        for i, j, k in combinations(range(len(w)), 3):
+            if k - i < T.SPAN:
+                out[w[i], w[j], w[k]] += T.DECAY ** (k - i + 1)
+        size = sum(v * v for v in out.values())
+        return {t: v / np.sqrt(size + 1e-9) for t, v in out.items()}
+
+    def kernel(u, v, known):
+        a, b = subsequences(u, known), subsequences(v, known)
+        return sum(a[t] * b.get(t, 0) for t in a) ** T.POWER
+
+    bad = ["moron", "trash", "idiot"]
+    texts = [f"{edge.prose(i, 25)}. {edge.prose(i + 900, 5)} {bad[i % 3] if i % 2 else 'table'} {edge.prose(i + 500, 30)}" for i in range(160)]
+    machine = T.fit(texts, np.array([i % 2 for i in range(160)]))
+    assert set(bad) <= set(machine.landmarks)
+    known = set("".join(machine.landmarks))
+    for t in ["you mor-on.", "what an id1ot you are. fine day", "alpha beta gamma", "", None, "x" * 60 + " trash", "t r a s h talk " * 30]:
+        lines = []
+        for s in T.sentences(t):
+            pieces = [p for w in set(s) for p in T.pieces(T.clean(w))]
+            lines.append(sum(a * kernel(p, m, known) for p in pieces for m, a in zip(machine.landmarks, machine.alpha, strict=True)) + machine.bias)
+        capped = np.minimum(lines, 8)
+        got = machine.scorer()([t])
+        assert got[0] == pytest.approx([capped.max(), np.log(np.exp(capped).mean())], rel=1e-6, abs=1e-6)
+    assert (machine.scale[:2] >= 0).all()
+    p = machine.scores(machine.scorer()(["you moron", "you mo.ron", "a fine alpha"]))
+    assert p[0] > 0.7 and p[1] > 0.7 and p[2] < 0.5
+
+
+def test_no_letter_is_left_out():
+    """Insults of a second script, and what stands late in a long word, count like others."""
+    from lodespark.llm import toxicity as T
+
+    letters = "абвгдежзийклмнопрстуфхцчшщъыьэюяαβγδεζηθικλμνξοπρστυφχψω"
+    bad = ["дурак", "".join(letters[i] for i in range(30, 36)), "moron"]
+    clean = lambda i: " ".join("".join(letters[(i * 7 + j * 5 + k * k) % len(letters)] for k in range(6)) for j in range(20))
+    texts = [f"{clean(i)} {'a' * 40 + bad[i % 3] if i % 4 == 1 else bad[i % 3] if i % 2 else 'table'}" for i in range(240)]
+    machine = T.fit(texts, np.array([i % 2 for i in range(240)]))
+    p = machine.scores(machine.scorer()([f"{clean(999)} {b}" for b in bad] + [clean(1001), f"{clean(999)} {'a' * 40}{bad[0]}"]))
+    assert (p[:3] > 0.5).all() and p[3] < p[:3].min() and p[4] > p[3]
+
+
 def test_rules_compile_to_the_same_scores(spark):
     from lodespark.llm.quality import STATS, Rules, fit_rules, statistics, with_statistics
 
@@ -484,10 +562,79 @@ def test_style_tree_drops_what_a_site_repeats(spark):
     page = lambda i: f"<div class=top><p>Welcome to our site</p></div><div class=body><p>{edge.prose(i, 20)}</p><p>{edge.prose(i + 90, 20)}</p></div><div class=bottom><p>All rights</p></div>"
     rows = [(i, f"http://h.example/{i}", page(i)) for i in range(20)] + [(100, None, None), (101, "http://x/", ""), (102, "http://x/", "plain <b>text"), (103, None, "<p>unclosed"), (0, "http://h.example/0", page(0))]
     got = sorted((r.page_id, r.text) for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
-    want = [(i, f"{edge.prose(i, 20)}\n{edge.prose(i + 90, 20)}") for i in range(20)] + [(0, f"{edge.prose(0, 20)}\n{edge.prose(90, 20)}"), (100, ""), (101, ""), (102, "plain text"), (103, "unclosed")]
+    want = [(i, f"{edge.prose(i, 20)}\n\n{edge.prose(i + 90, 20)}") for i in range(20)] + [(0, f"{edge.prose(0, 20)}\n\n{edge.prose(90, 20)}"), (100, ""), (101, ""), (102, "plain text"), (103, "unclosed")]
     assert got == sorted(want)
 
 
+def _site(n, article=False):
+    """Pages of one host: a repeated head and foot, an article of its own with a repeated line in it, and text beside it that differs from page to page."""
+    tag = "article" if article else "div"
+    return [f"<div class=top><p>Welcome to our site</p></div><{tag} class=body><p>{edge.prose(i, 20)}</p><p class=line>This text was first seen elsewhere</p></{tag}><div class=extra><p>{edge.prose(i + 300, 25)}</p></div><div class=bottom><p>All rights</p></div>" for i in range(n)]
+
+
+def _brute_floors(htmls):
+    """Least importance on the way to each path, from the definition: distinct pages only."""
+    from math import log
+
+    from lodespark.llm.html_tree import GAMMA, MIN_PAGES, parse
+
+    pages = [parse(h) for h in sorted(set(htmls))]
+    shown, held, styles = defaultdict(int), defaultdict(int), defaultdict(list)
+    for blocks, taken in pages:
+        for x in {b[:2] for b in blocks}:
+            shown[x] += 1
+        for p in {b[0] for b in blocks}:
+            held[p] += 1
+        for p, s in taken.items():
+            styles[p].append(s)
+    value = {x: 1 - log(c) / log(held[x[0]]) if held[x[0]] > 1 else 1.0 for x, c in shown.items()}
+    importance, many = {}, {}
+    for path in {p[:k] for p, _ in value for k in [*(i for i, ch in enumerate(p) if ch == "/" and i), len(p)]}:
+        below = [v for (p, _), v in value.items() if p == path or p.startswith(path + "/")]
+        below = sum(below) / len(below)
+        own, m = styles.get(path, []), len(styles.get(path, []))
+        node = -sum(own.count(s) / m * log(own.count(s) / m) for s in set(own)) / log(m) if m > 1 else 1.0 if m else below
+        importance[path], many[path] = (1 - GAMMA) * node + GAMMA * below, max(m, held[path])
+    out = {}
+    for path in importance:
+        way = [q for q in importance if (path == q or path.startswith(q + "/")) and many[q] >= MIN_PAGES]
+        if way:
+            out[path] = min(importance[q] for q in way)
+    return out
+
+
+@pytest.mark.parametrize("article", [False, True])
+def test_tree_equals_brute_force_and_decides(spark, monkeypatch, article):
+    from lodespark.llm import html_tree
+
+    htmls = [*_site(7, article), _site(3, article)[2]]
+    pages = spark.createDataFrame([(i, f"http://h.example/{i}", h) for i, h in enumerate(htmls)], "page_id long, url string, html string")
+    tree, _ = html_tree.style_tree(html_tree.parse_pages(pages))
+    got = {r.path: r.floor for r in html_tree.branches(tree).collect()}
+    assert got == pytest.approx(_brute_floors(htmls))
+    want = [f"{edge.prose(i, 20)}\n\n{edge.prose(i + 300, 25)}" for i in (*range(7), 2)]
+    texts = lambda: [r.text for r in html_tree.extract(pages).orderBy("page_id").collect()]
+    assert texts() == want
+    monkeypatch.setattr(html_tree, "BROADCAST_ENTRIES", 0)
+    assert texts() == want
+    monkeypatch.setattr(html_tree, "MIN_PAGES", 100)  # without the tree
+    plain = f"{edge.prose(0, 20)}\n\nThis text was first seen elsewhere"
+    assert texts()[0] == (plain if article else f"Welcome to our site\n\n{plain}\n\n{edge.prose(300, 25)}\n\nAll rights")
+
+
+def test_pages_with_clashing_columns_and_very_long_html(spark):
+    from lodespark.llm.html_tree import extract
+
+    names = ["page_id", "url", "html", "text", "noisy", "common", "host", "row", "page", "blocks", "styles", "copy", "floors", "page_hash", "_"]
+    long = "<article>" + "".join(f"<p>{edge.prose(i, 200)}</p>" for i in range(1500)) + "</article>"
+    rows = [(1, "http://h/", "<p>a &lt; b</p>", *"tncorpbsyfh_"), (2, None, long, *[None] * 12), (2, None, long, *[None] * 12)]
+    out = extract(spark.createDataFrame(rows, "page_id long, url string, html string, " + ", ".join(f"`{n}` string" for n in names[3:])))
+    assert sorted(out.columns) == sorted(n for n in names if n != "html")
+    got = {r.page_id: r.asDict() for r in out.collect()}
+    assert out.count() == 3 and got[1] == dict(zip(names[4:], "ncorpbsyfh_", strict=True)) | {"page_id": 1, "url": "http://h/", "text": "a < b"}
+    assert got[2]["text"] == "\n\n".join(edge.prose(i, 200) for i in range(1500))
+
+
 # ---- empty tables and the pipeline -----------------------------------------------------------------------------
 
 
@@ -530,7 +677,8 @@ def test_pipeline_stages(spark, tmp_path):
     kept = brute_removed(rows, 100)
     want = sorted((key(d), kept[i].decode("utf-8", "ignore")) for i, (d, t) in enumerate(rows) if kept[i].strip() or kept[i] == t.encode())
     assert sorted((key(r.doc_id), r.text) for r in out["suffix-array dedup"]) == want
-    assert all(r.n_chars == len(r.text) for r in out["suffix-array dedup"])
+    given = {(r[0], r[1]): r[4] for r in edge.rows()}  # a row of another text under a known id has that text's n_chars
+    assert all(r.n_chars == given.get((r.doc_id, r.text), len(r.text)) for r in out["suffix-array dedup"])
     # benchmark: the contract's rule
     clean = [r for r in out["suffix-array dedup"] if not (lambda n, h, _: h > 0 and 20 * h >= n)(*brute_hits(r.text, ITEMS, 13))]
     assert sorted((key(r.doc_id), r.text) for r in out["benchmark decontamination"]) == sorted((key(r.doc_id), r.text) for r in clean)

@@ -62,13 +62,14 @@ def test_near_copies_keep_their_text(spark, n, main):
         lambda i: f"<div class=ad>buy {i}</div><{main}>{body}</{main}><section class=comments>{edge.prose(i + 50, 30)}</section>",
         lambda i: f"<{main}><time>day {'abcdefghijkl'[i]}</time>{body}</{main}>",
     ))
-    assert ads == ["\n".join(says)] * n
-    assert dates == ["\n".join([f"day {'abcdefghijkl'[i]}", *says]) for i in range(n)]
+    assert ads == ["\n\n".join(says)] * n
+    assert dates == ["\n\n".join([f"day {'abcdefghijkl'[i]}", *says]) for i in range(n)]
 
 
 def test_an_article_is_not_noise_as_a_whole(spark):
     pages = [f"<div class=top>{edge.prose(i + 20, 30)}</div><article><p>the same few words</p></article>" for i in range(6)]
     pages += [f"<div class=top>{edge.prose(i + 40, 30)}</div><article><p>the same few words</p><h2>{edge.prose(i, 3)}</h2></article>" for i in range(6)]
     got = texts(spark, pages)
-    assert got[:6] == ["the same few words"] * 6
-    assert got[6:] == [edge.prose(i, 3) for i in range(6)]
+    top = [edge.prose(i + k, 30) for k in (20, 40) for i in range(6)]  # beside the article, but another on each page
+    assert got[:6] == [f"{t}\n\nthe same few words" for t in top[:6]]
+    assert got[6:] == [f"{t}\n\n{edge.prose(i, 3)}" for i, t in enumerate(top[6:])]
