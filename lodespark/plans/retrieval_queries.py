@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, scoring, text
 from ..operators import retrieval as ops
-from .catalog import ASKED, BQ, CH, S_ASKED, TOKS, asked, benchmark_queries, chunks, index, joined, query, rounded, s_tok, stored, table, tokens
+from .catalog import ASKED, BQ, CH, S_ASKED, TOKS, asked, benchmark_queries, chunks, index, joined, query, rounded, s_any, s_tok, stored, table, tokens
 
 # ---- sparse ---------------------------------------------------------------------------------------
 
@@ -378,7 +378,10 @@ def jn_answer_cite(spark, d):
     return a.select("n", F.posexplode(F.regexp_extract_all("answer", F.lit(_CITE), F.lit(1))).alias("pos", "ref")).select("n", F.col("pos").cast("long").alias("pos"), F.trim("ref").alias("ref"))
 
 
-@query()
+_KIND = "case when regexp_matches(line, '^```') then 'fence' when regexp_matches(line, '^#+ ') then 'heading' when regexp_matches(line, '^\\s*[-*] ') then 'bullet' when regexp_matches(line, '^Source [0-9]+') then 'source' else 'text' end"
+
+
+@query(f"with l as (select conv_id, turn, string_split(text, chr(10)) l from conversations where role = 'assistant'), x as (select conv_id, turn, cast(unnest(range(0, len(l))) as integer) pos, unnest(l) line from l) select *, {_KIND} kind from x")
 def fn_ans_lines(spark, d):
     a = table(spark, d, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     kind = F.when(F.col("line").rlike("^```"), "fence").when(F.col("line").rlike("^#+ "), "heading").when(F.col("line").rlike(r"^\s*[-*] "), "bullet").when(F.col("line").rlike("^Source [0-9]+"), "source").otherwise("text")
@@ -446,7 +449,7 @@ def st_except(spark, d):
 # ---- models: deterministic stand-ins behind ports -----------------------------------------------------
 
 
-@query()
+@query("select item_id id, 1.0::double norm from benchmark")
 def emb_model(spark, d):
     from .models import embed
 
@@ -460,14 +463,14 @@ def chk_batch_embed(spark, d):
     return embed_pairs(chunks(spark, d).select("id", "content", "signature")).select("id", F.size("code_vec").alias("n"), rounded(scoring.cosine(F.col("code_vec"), F.col("doc_vec")), 4).alias("sim"))
 
 
-@query()
+@query(f"select qid, cast(pos as integer) pos, v from {S_ASKED}, lateral (select unnest([0, 1, 2]) pos, unnest([q, q || ' implementation file path function', q || ' call flow error handling signature']) v)")
 def ml_expand(spark, d):
     from ..functions import queries as qf
 
     return asked(spark).select("qid", F.posexplode(qf.clean_variants(F.col("q"), qf.fallback(F.col("q"), F.lit("")))).alias("pos", "v"))
 
 
-@query()
+@query(f"select qid, 'A function that answers: ' || q || '|A function that answers: ' || q || ' and its callers' docs from {S_ASKED} where not {s_any('lower(q)', fixed.HYDE_SKIP)}")
 def ml_hyde(spark, d):
     from ..functions import queries as qf
 
@@ -475,7 +478,7 @@ def ml_hyde(spark, d):
     return asked(spark).where(~qf.skips_hyde(F.col("q"))).select("qid", F.array(doc, F.concat(doc, F.lit(" and its callers"))).alias("docs")).select("qid", joined("docs", "|").alias("docs"))
 
 
-@query()
+@query("select * from (values (5, 'explain the handler service flow client_api'), (6, 'where is anon implemented')) t(qid, parts)")
 def ml_decompose(spark, d):
     from ..functions import queries as qf
 

@@ -47,7 +47,11 @@ def wn_ordered_distinct(spark, d):
     return benchmark_queries(spark, d).select("qid", joined(F.array_distinct(text.found(F.lower("text"), fixed.IDENTIFIER))).alias("toks"))
 
 
-@query()
+_GOT = "list_filter(" + " || ".join(s_found("q", p, 1) for p in fixed.SYMBOLS) + ", lambda t: length(t) >= 2)"
+_SYMS = "list_slice(list_filter(g, lambda t, i: list_position(list_transform(g, lambda u: lower(u)), lower(t)) = i), 1, 10)"
+
+
+@query(f"with x as (select n, {_GOT} g from {s_numbered(QUESTIONS, 'q')}) select n, array_to_string({_SYMS}, ' ') syms from x")
 def fn_symbols(spark, d):
     return numbered(spark, QUESTIONS, "q").select("n", joined(qf.symbols(F.col("q"))).alias("syms"))
 
@@ -229,7 +233,10 @@ def fn_fallback_queries(spark, d):
     return numbered(spark, QUESTIONS, "q").select("n", F.posexplode(qf.fallback(F.col("q"), F.lit("src1"))).alias("pos", "v"))
 
 
-@query()
+_EXPANDED = f"list_slice([{', '.join(map(lit, fixed.ARCH_EXPANSIONS))}] || flatten(list_transform(list_slice({_SYMS}, 1, 2), lambda s: [s || ' callers callees dependencies', s || ' integration usage pattern'])), 1, 5)"
+
+
+@query(f"with x as (select n, {_GOT} g from {s_numbered(QUESTIONS, 'q')}), y as (select n, {_EXPANDED} l from x) select n, cast(unnest(range(0, len(l))) as integer) pos, unnest(l) v from y")
 def fn_arch_expand(spark, d):
     return numbered(spark, QUESTIONS, "q").select("n", F.posexplode(qf.arch_expansions(qf.symbols(F.col("q")))).alias("pos", "v"))
 
@@ -251,7 +258,7 @@ def fn_repo_desc(spark, d):
 _JSON = ['["a", "b c"]', 'Sure: ["x"] done', "1. alpha\n\"beta\"\n```\n'gamma'\ndelta", "", "[broken"]
 
 
-@query()
+@query("select * from (values (0, 'a|b c'), (1, 'x'), (2, '1. alpha|beta|gamma'), (3, ''), (4, '[broken')) t(n, items)")
 def fn_json_array(spark, d):
     return numbered(spark, _JSON, "s").select("n", joined(text.json_array(F.col("s")), "|").alias("items"))
 
@@ -345,7 +352,14 @@ def flt_vague(spark, d):
 _VARS = ["How does the token bucket work", "redis_queue internals", "short", "REDIS_QUEUE INTERNALS", "bucket of tokens in redis_queue", "unrelated words here"]
 
 
-@query()
+_OWN_TECH = f"list_slice({s_first('e')}, 1, 6)"
+_KEPT = f"list_filter([{', '.join(map(lit, _VARS))}], lambda v: length(v) >= 8 and lower(v) <> lower(b) and (len(tech) = 0 or len(list_filter(tech, lambda t: contains(lower(v), t))) > 0))"
+
+
+@query(
+    f"""with x as (select n, trim(regexp_replace(q, '\\s+', ' ', 'g')) b, {_TECH} e from {s_numbered(QUESTIONS, 'q')}), y as (select n, b, {_OWN_TECH} tech from x), z as (select n, b, {_KEPT} g from y)
+select n, array_to_string(list_slice([b] || list_filter(g, lambda t, i: list_position(list_transform(g, lambda u: lower(u)), lower(t)) = i), 1, 3), '|') variants from z"""
+)
 def flt_variant_clean(spark, d):
     v = F.array(*map(F.lit, _VARS))
     return numbered(spark, QUESTIONS, "q").select("n", joined(qf.clean_variants(F.col("q"), v), "|").alias("variants"))

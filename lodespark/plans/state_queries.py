@@ -11,7 +11,7 @@ from ..functions import text
 from ..operators import metrics, state
 from ..sources.tables import shared_dir
 from ..streaming import jobs
-from .catalog import CH, TOKS, chunks, joined, query, rounded, table, tokens
+from .catalog import CH, TOKS, chunks, joined, query, rounded, table, tokens, values
 
 # ---- snapshots and change feeds ------------------------------------------------------------------------
 
@@ -81,7 +81,7 @@ def src_bm25_rebuild(spark, d):
     return t.groupBy("repo").agg(F.count("*").alias("chunks"), F.sum("n").alias("toks")).orderBy(F.desc("chunks"), "repo")
 
 
-@query()
+@query(f"with {TOKS} select id, cast(len(t) as integer) n from toks")
 def src_bm25_load_api(spark, d):
     """A sparse corpus as JSON lines; a malformed line gives no tokens."""
     rows = tokens(spark, d).select(F.to_json(F.struct("id", F.col("t").alias("corpus"))).alias("value"))
@@ -175,14 +175,14 @@ def src_sse_parse(spark, d):
     return lines.where("line like 'data: %'").select("n", own.alias("j")).where("j.type is not null").select("n", "j.type", "j.data")
 
 
-@query()
+@query("select * from (values ('a', 1, 'easy'), ('b', 2, null)) t(query, n, difficulty)")
 def src_fixture_json(spark, d):
     rows = ['[{"query": "a", "expected_files": ["x.py"], "difficulty": "easy"}, {"query": "b", "expected_files": ["y", "z"]}]']
     j = spark.createDataFrame([(r,) for r in rows], "s string").select(F.explode(F.from_json("s", "array<struct<query:string,expected_files:array<string>,difficulty:string>>")).alias("q"))
     return j.select("q.query", F.size("q.expected_files").alias("n"), "q.difficulty")
 
 
-@query()
+@query(f"with {FEED} select change change_type, count(*) n from feed group by change")
 def src_queue_consume(spark, d):
     lines = feed(spark, d).select(F.to_json(F.struct(F.col("file").cast("string").alias("file_path"), F.col("change").alias("change_type"), F.lit("0").alias("commit_sha"))).alias("value"))
     return jobs.json_jobs(lines.union(spark.createDataFrame([("{oops",)], "value string"))).groupBy("change_type").agg(F.count("*").alias("n"))
@@ -437,31 +437,42 @@ def _family(prefix):
     return run
 
 
-for _id, _dir in (("prs_py", "a/"), ("prs_go", "b/"), ("prs_ts", "c/"), ("prs_generic", "d/")):
-    query(name=_id)(_family(_dir))
+# What the sources above say, read by hand: name, kind, parent_class, start_line, end_line, signature, is_exported.
+_SAID = {
+    "a/run.py": [("Job", "class", "", 4, 10, "class Job(Base):", True), ("start", "method", "Job", 8, 10, "def start(x):", True), ("helper", "function", "", 12, 13, "def helper(n):", True)],
+    "b/store.go": [("Store", "struct", "", 9, 12, "type Store struct", True), ("Get", "method", "Store", 15, 18, "func (s *Store) Get(k string) string", True), ("load", "function", "", 20, 20, "func load(k string) string", False)],
+    "c/app.ts": [
+        ("App", "class", "", 3, 8, "export class App extends Core implements Runs, Stops", True), ("start", "method", "App", 4, 7, "start(a: number)", False),
+        ("f", "function", "", 10, 12, "export const f = async (a)", True), ("g", "function", "", 14, 14, "function g(a)", False),
+    ],
+    "d/Main.java": [("Main", "class", "", 3, 7, "public class Main extends Thing", True), ("main", "method", "Main", 4, 6, "public static void main(String[] args)", True)],
+}
+for _id, _file in zip(("prs_py", "prs_go", "prs_ts", "prs_generic"), _SAID, strict=True):
+    _rows = values([(_file, *r) for r in _SAID[_file]], "t(file_path, name, kind, parent_class, start_line, end_line, signature, is_exported)")
+    query(f"select * from {_rows}", name=_id)(_family(_file[:2]))
 
 
-@query()
+@query("select * from (values ('Store', 'Base'), ('P', '')) t(name, extends)")
 def prs_go_embed(spark, d):
     return _parsed(spark).where("kind = 'struct'").select("name", "extends")
 
 
-@query()
+@query("select * from (values ('Store', '// Store keeps things.'), ('Get', '// Get reads.'), ('load', '')) t(name, docstring)")
 def prs_comment(spark, d):
     return _parsed(spark).where("language = 'go'").select("name", "docstring")
 
 
-@query()
+@query("select * from (values ('Job', 'A job.'), ('start', 'Starts.'), ('helper', ''), ('bad.py', '')) t(name, docstring)")
 def prs_docstring(spark, d):
     return _parsed(spark).where("language = 'python'").select("name", "docstring")
 
 
-@query()
+@query("select * from (values ('Job', 'Base', ''), ('App', 'Core', 'Runs,Stops'), ('Main', 'Thing', '')) t(name, extends, implements)")
 def prs_bases(spark, d):
     return _parsed(spark).where("kind = 'class'").select("name", "extends", joined("implements", ",").alias("implements"))
 
 
-@query()
+@query("select * from (values ('Job', ''), ('start', 'staticmethod'), ('helper', ''), ('bad.py', '')) t(name, decorators)")
 def prs_decorators(spark, d):
     return _parsed(spark).where("language = 'python'").select("name", joined(F.col("decorators"), ",").alias("decorators"))
 
@@ -527,7 +538,7 @@ def src_head_poll(spark, d):
     return _tree(spark).groupBy("poll").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("select conv_id, turn, cast(64 as integer) n from conversations")
 def ml_embed(spark, d):
     from .models import embed
 
