@@ -243,6 +243,21 @@ def test_hits_match_brute_force(spark, block):
     assert got == sorted((key(r[0]), r[1] or "", *brute_hits(r[1], ITEMS, 13)) for r in edge.rows())
 
 
+def test_long_items_in_runs_and_clashing_columns(spark, monkeypatch):
+    from lodespark.llm import decontaminate
+
+    items = [*ITEMS, (20, edge.prose(40, 400)), (21, edge.prose(41, 100) + " " + edge.prose(40, 60))]
+    texts = [edge.prose(40, 400), edge.prose(50, 30) + " " + " ".join(edge.prose(40, 400).split()[90:140]), edge.prose(41, 120), "", None]
+    docs = spark.createDataFrame([(i, t, "a", "b", "c", "d", "e", 7) for i, t in enumerate(texts)], "doc_id long, text string, n_words string, spans string, items string, _items string, row string, n_hit long")
+    for run_words, block in ((decontaminate.RUN_WORDS, 8 << 20), (30, 8 << 20), (30, 700)):
+        # a long item is one of more characters than RUN_WORDS
+        monkeypatch.setattr(decontaminate, "RUN_WORDS", run_words)
+        out = decontaminate.find_contamination(docs, spark.createDataFrame(items, "item_id long, text string"), block_bytes=block)
+        assert out.columns == ["doc_id", "text", "_items", "row", "n_words", "spans", "items", "n_hit"]
+        got = {r.doc_id: (r.n_words, r.n_hit, list(r["items"])) for r in out.collect()}
+        assert got == {i: brute_hits(t, items, 13) for i, t in enumerate(texts)}
+
+
 def test_no_items(spark):
     from lodespark.llm.decontaminate import find_contamination
 
