@@ -110,10 +110,10 @@ def fit_rules(x: np.ndarray, y: np.ndarray, penalty: float = 0.0015, trees: int
     return Rules(b, kept)
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label: str, held: int, folds: int, per_class: int) -> DataFrame:
+def training_sample(docs: DataFrame, labels: DataFrame, label: str, held: int, folds: int, per_class: int, class_bytes: int = 8 << 20) -> DataFrame:
     """(doc_id, y, text) of at most per_class labelled documents of each class, none of the held-out fold."""
     known = labels.where(F.col(label).isNotNull() & (fold(F.col("doc_id"), folds) != held)).groupBy("doc_id").agg(F.max(label).alias("y"))
-    return sample_texts(docs.select("doc_id", "text"), sample_ids(known, per_class, "y"), "y", ["doc_id"])
+    return sample_texts(docs.select("doc_id", "text"), sample_ids(known, per_class, "y"), "y", ["doc_id"], class_bytes)
 
 
 def prior_shift(labels: DataFrame, label: str, held: int, folds: int, y: np.ndarray) -> float:

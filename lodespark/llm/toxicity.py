@@ -218,40 +218,40 @@ def find(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == x, at, -1)
 
 
-def _landmarks(split: list[list[list[str]]], y: np.ndarray, many: int, others: int) -> list[str]:
+def _landmarks(vocab: list[str], lines: list[np.ndarray], toxic: np.ndarray, many: int, others: int) -> list[str]:
     """Words by a signed chi-square of the distinct sentences that hold them (copies count once), then some of the most frequent rest."""
-    count: dict[str, list[int]] = {}
-    n = [0, 0]
-    for s, k in dict.fromkeys((tuple(s), int(k)) for own, k in zip(split, y, strict=True) for s in own):
-        n[k] += 1
-        for w in set(s):
-            if 3 <= len(w) <= LONGEST:
-                count.setdefault(w, [0, 0])[k] += 1
-    keys = sorted(count)
-    c = np.array([count[w] for w in keys], float).reshape(-1, 2)
-    expect = c.sum(1) * n[1] / max(sum(n), 1)
-    score = np.where(c[:, 1] > expect, (c[:, 1] - expect) ** 2 / np.maximum(expect, 1e-9), 0)
-    first = [keys[i] for i in np.lexsort((np.arange(len(keys)), -score))[:many] if score[i] >= TELLING]
-    rest = [keys[i] for i in np.lexsort((np.arange(len(keys)), -c.sum(1)))[: 20 * others : 20]]
-    return list(dict.fromkeys(first + rest))
+    own = dict.fromkeys((x.tobytes(), bool(t)) for x, t in zip(lines, toxic, strict=True))
+    c = np.zeros((len(vocab), 2))
+    n = np.zeros(2)
+    for raw, k in own:
+        c[np.unique(np.frombuffer(raw, np.int32)), int(k)] += 1
+        n[int(k)] += 1
+    right = np.array([3 <= len(w) <= LONGEST for w in vocab], bool)
+    expect = c.sum(1) * n[1] / max(n.sum(), 1)
+    score = np.where(right & (c[:, 1] > expect), (c[:, 1] - expect) ** 2 / np.maximum(expect, 1e-9), 0)
+    word = np.array(vocab, object)
+    first = [i for i in np.lexsort((word, -score))[:many] if score[i] >= TELLING]
+    rest = np.lexsort((word, -np.where(right, c.sum(1), -1)))[: 20 * others : 20]
+    return [vocab[i] for i in dict.fromkeys([*first, *rest]) if right[i]]
 
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, start: np.ndarray | None, c: float = 1.0, steps: int = 200) -> np.ndarray:
-    """Weights and, last, bias: squared hinge loss with a ridge, by accelerated gradient from `start`; y is -1 or 1."""
-    x1 = np.hstack([x, np.ones((len(x), 1), x.dtype)])
+    """Weights and, last, bias: squared hinge loss with a ridge, by accelerated gradient from `start`; y is -1 or 1, rows of weight 0 have no say."""
     y, weight = y.astype(x.dtype), (weight / weight.sum()).astype(x.dtype)
-    top = np.ones(x1.shape[1], x.dtype)
+    apply = lambda w: x @ w[:-1] + w[-1]
+    back = lambda v: np.append(x.T @ v, v.sum())
+    top = np.ones(x.shape[1] + 1, x.dtype)
     for _ in range(15):
-        v = x1.T @ (weight * (x1 @ top))
+        v = back(weight * apply(top))
         size = np.linalg.norm(v)
         top = v / (size + 1e-12)
     ridge = 1e-4 / c
     step = x.dtype.type(1 / (2 * size + ridge))
-    w = np.zeros(x1.shape[1], x.dtype) if start is None else start.astype(x.dtype)
+    w = np.zeros(x.shape[1] + 1, x.dtype) if start is None else start.astype(x.dtype)
     z, t = w, 1.0
     for _ in range(steps):
-        slack = np.maximum(0, 1 - y * (x1 @ z))
-        new = z - step * (-2 * (x1.T @ (weight * y * slack)) + x.dtype.type(ridge) * z)
+        slack = np.maximum(0, 1 - y * apply(z))
+        new = z - step * (-2 * back(weight * y * slack) + x.dtype.type(ridge) * z)
         nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
         z, w, t = new + x.dtype.type((t - 1) / nt) * (new - w), new, nt
     return w
@@ -284,31 +284,40 @@ def fit(texts: list[str], y: np.ndarray, landmarks: int = 128, others: int = 16,
     """A machine, or the smoothed share where there is only one class."""
     if len(set(y.tolist())) < 2:
         return (float(y.sum()) + 1) / (len(y) + 2)
-    split = [[[p for w in dict.fromkeys(s) for p in pieces(clean(w))] for s in sentences(t)] for t in texts]
-    marks = _landmarks(split, y, landmarks, others)
-    vocab = sorted({w for d in split for s in d for w in s})
-    at = {w: i for i, w in enumerate(vocab)}
-    lines = [(d, [at[w] for w in s]) for d, own_s in enumerate(split) for s in own_s]
-    doc = np.array([d for d, _ in lines])
+    number: dict[str, int] = {}
+    lines: list[np.ndarray] = []
+    size = []
+    for t in texts:
+        own = [np.array([number.setdefault(p, len(number)) for w in dict.fromkeys(s) for p in pieces(clean(w))], np.int32) for s in sentences(t)]
+        lines += own
+        size.append(len(own))
+    vocab = list(number)
+    doc = np.repeat(np.arange(len(texts)), size)
     toxic = y[doc] > 0
+    marks = _landmarks(vocab, lines, toxic, landmarks, others)
     # a fifth of the documents is kept for the calibration, if both classes are in both parts
     held = np.arange(len(y)) % 5 == 4
     if any(len(set(y[part].tolist())) < 2 for part in (held, ~held)):
         held = np.zeros(len(y), bool)
     use = ~held[doc]
-    clean_words = np.zeros(len(vocab))
-    for (_, s), t, u in zip(lines, toxic, use, strict=True):
+    spoken = np.zeros(len(vocab), bool)  # in sentences of documents that are not toxic
+    for x, t, u in zip(lines, toxic, use, strict=True):
         if u and not t:
-            clean_words[s] += 1
+            spoken[x] = True
     for again in range(2):
         kernel, white = _nystroem(marks)
-        values = kernel.values(vocab)
-        rows = values @ white
-        z = np.array([rows[s].sum(0) for _, s in lines], np.float32)
+        rows = np.zeros((len(vocab), white.shape[1]), np.float32)
+        for a in range(0, len(vocab), 10_000):
+            rows[a : a + 10_000] = kernel.values(vocab[a : a + 10_000]) @ white
+        z = np.zeros((len(lines), white.shape[1]), np.float32)
+        for i, x in enumerate(lines):
+            z[i] = rows[x].sum(0)
         w, bias = _multiple(z, doc, toxic, use, rounds)
         if not again:  # words of clean sentences that look worst become landmarks too
-            g = np.where(clean_words > 0, rows @ w, 0)
-            marks = list(dict.fromkeys(marks + [vocab[i] for i in np.argsort(-g, kind="stable")[:hard] if g[i] > 0 and len(vocab[i]) >= 3]))
+            g = np.where(spoken, rows @ w, 0)
+            worst = [vocab[i] for i in np.lexsort((np.array(vocab, object), -g))[:hard] if g[i] > 0 and 3 <= len(vocab[i]) <= LONGEST]
+            marks = list(dict.fromkeys(marks + worst))
+        del z
     machine = Machine(kernel, marks, white @ w, bias, np.zeros(3))
     part = held if held.any() else ~held
     machine.scale = _logistic(machine.scorer()([t for t, h in zip(texts, part, strict=True) if h]), y[part])
@@ -339,15 +348,14 @@ def _multiple(z: np.ndarray, doc: np.ndarray, toxic: np.ndarray, use: np.ndarray
             worst = np.zeros(len(doc), bool)
             worst[order[np.diff(doc[order], prepend=-1) > 0]] = True
             mine &= ~toxic | worst
-        label = np.where(toxic[mine], 1.0, -1.0)
-        weight = np.where(label > 0, 0.5 / max((label > 0).sum(), 1), 0.5 / max((label < 0).sum(), 1))
-        w = _svm(z[mine], label, weight, w)
+        weight = np.where(mine, np.where(toxic, 0.5 / max((mine & toxic).sum(), 1), 0.5 / max((mine & ~toxic).sum(), 1)), 0)
+        w = _svm(z, np.where(toxic, 1.0, -1.0), weight, w)
     return w[:-1].astype(float), float(w[-1])
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", held: int = 1, folds: int = 3, per_class: int = 700) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row, learnt from at most per_class documents of each class."""
-    rows = training_sample(docs, labels, label, held, folds, per_class).toPandas().sort_values(["doc_id", "text"], kind="stable")
+def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", held: int = 1, folds: int = 3, per_class: int = 700, class_bytes: int = 3 << 20) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row, learnt from at most per_class documents and class_bytes bytes of each class (one document at least)."""
+    rows = training_sample(docs, labels, label, held, folds, per_class, class_bytes).toPandas().sort_values(["doc_id", "text"], kind="stable")
     own = docs.sparkSession.sparkContext.broadcast(fit([t or "" for t in rows.text], rows["y"].to_numpy(int)))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
