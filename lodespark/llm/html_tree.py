@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import Scratch
 
 GAMMA, LEAST, MIN_PAGES = 0.9, 0.3, 4
 #: The prior of text beside a page's article or main, and the importance of a branch that too few pages show.
@@ -199,8 +199,8 @@ def copy_key(blocks) -> int | None:
     return _hash("\n".join(said)) if said else None
 
 
-_BLOCK = [("path", pa.string()), ("text", pa.string()), ("marked", pa.bool_()), ("main", pa.bool_()), ("content", pa.int64())]
-_PARSED = "row long, host string, page_hash long, copy long, blocks array<struct<path:string,text:string,marked:boolean,main:boolean,content:long>>, styles array<struct<path:string,style:string>>"
+_BLOCK = [("path", pa.string()), ("text", pa.string()), ("marked", pa.bool_()), ("main", pa.bool_())]
+_PARSED = "row long, host string, page_hash long, copy long, blocks array<struct<path:string,text:string,marked:boolean,main:boolean>>, styles array<struct<path:string,style:string>>"
 
 
 def _hash(text: str) -> int:
@@ -222,7 +222,7 @@ def parse_pages(pages: DataFrame, html: str = "html") -> DataFrame:
             for a in range(0, b.num_rows, 128):
                 part = b.slice(a, 128)
                 found = [parse(t) for t in part.column("html").to_pylist()]
-                blocks = [[dict(zip(("path", "text", "marked", "main", "content"), (*x, _hash(x[1])), strict=True)) for x in f[0]] for f in found]
+                blocks = [[dict(zip(("path", "text", "marked", "main"), x, strict=True)) for x in f[0]] for f in found]
                 cols = [part.column("page"), pa.array(range(nth, nth + part.num_rows), pa.int64()), part.column("host"), part.column("page_hash"), pa.array([copy_key(f[0]) for f in found], pa.int64())]
                 cols += [pa.array(blocks, pa.list_(pa.struct(_BLOCK))), pa.array([[{"path": p, "style": s} for p, s in f[1].items()] for f in found], style)]
                 nth += part.num_rows
@@ -231,15 +231,21 @@ def parse_pages(pages: DataFrame, html: str = "html") -> DataFrame:
     return rows.mapInArrow(run, f"page {rows.schema['page'].dataType.simpleString()}, {_PARSED}")
 
 
-def style_tree(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(host, path, importance, m) of the merged trees' nodes, and (host, content) that stands on nearly all pages of a host."""
-    hashed = F.array_distinct(F.transform("blocks", lambda b: F.struct(b["path"].alias("path"), b["content"].alias("content"))))
+def distinct_pages(parsed: DataFrame) -> DataFrame:
+    """host, copy, p: the distinct (path, content) and the styles of one page of each group of near copies."""
+    if "p" in parsed.columns:
+        return parsed
+    hashed = F.array_distinct(F.transform("blocks", lambda b: F.struct(b["path"].alias("path"), F.xxhash64(b["text"]).alias("content"))))
     one = parsed.select("host", "page_hash", F.coalesce("copy", "page_hash").alias("copy"), F.struct(hashed.alias("blocks"), "styles").alias("p"))
-    one = one.groupBy("host", "copy").agg(F.min_by("p", "page_hash").alias("p"), F.min("page_hash").alias("page_hash"))  # near copies count once
-    content = one.select("host", "page_hash", F.explode("p.blocks").alias("b"))
-    content = content.select("host", "page_hash", "b.path", "b.content")
+    return one.groupBy("host", "copy").agg(F.min_by("p", "page_hash").alias("p"))
+
+
+def style_tree(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(host, path, importance, m) of the merged trees' nodes, and (host, content) that stands on nearly all pages of a host; of parsed or distinct pages."""
+    one = distinct_pages(parsed)
+    content = one.select("host", F.explode("p.blocks").alias("b")).select("host", "b.path", "b.content")
     shown = content.groupBy("host", "path", "content").agg(F.count("*").alias("c"))
-    held = content.select("host", "page_hash", "path").distinct().groupBy("host", "path").agg(F.count("*").alias("m"))
+    held = one.select("host", F.explode(F.array_distinct("p.blocks.path")).alias("path")).groupBy("host", "path").agg(F.count("*").alias("m"))
     spread = lambda c, m: F.when(m > 1, 1 - F.log(c) / F.log(m)).otherwise(1.0)
     leaf = shown.join(held, ["host", "path"]).groupBy("host", "path").agg(F.avg(spread(F.col("c"), F.col("m"))).alias("content"), F.count("*").alias("n"))
     parts = F.split("path", "/")
@@ -266,9 +272,9 @@ def branches(tree: DataFrame) -> DataFrame:
     return ways.join(known, ["host", "node"]).groupBy("host", "path").agg(F.min("importance").alias("floor"))
 
 
-def main_text(blocks: list[dict], floors: dict[str, float], common) -> str:
+def main_text(blocks: list[dict], contents: list[int], floors: dict[str, float], common) -> str:
     """The text of a page: floors has its paths' importance where that is known, `common` the contents that are the host's template."""
-    own = [b for b in blocks if not b["marked"]]
+    own = [{**b, "content": c} for b, c in zip(blocks, contents, strict=True) if not b["marked"]]
     declared = any(b["main"] for b in own)
     kept = [b for b in own if floors.get(b["path"], UNKNOWN) * (1.0 if b["main"] or not declared else OUTSIDE) >= LEAST and b["content"] not in common]
     if declared and not any(b["main"] for b in kept):
@@ -279,10 +285,12 @@ def main_text(blocks: list[dict], floors: dict[str, float], common) -> str:
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     """The columns of `pages` but html, with text: the main text, blocks joined by two line feeds."""
     spark = pages.sparkSession
-    parsed = materialize(parse_pages(pages, html), "parsed")
-    tree, everywhere = style_tree(parsed)
-    floors = materialize(branches(tree).where((F.col("floor") < LEAST) | (F.col("floor") >= LEAST / OUTSIDE)), "branches")
-    everywhere = materialize(everywhere, "everywhere")
+    with Scratch(spark) as own:
+        parsed = own.result(parse_pages(pages, html), "parsed")
+        tree, everywhere = style_tree(own.keep(distinct_pages(parsed), "distinct"))
+        floors = own.result(branches(tree).where((F.col("floor") < LEAST) | (F.col("floor") >= LEAST / OUTSIDE)), "branches")
+        everywhere = own.result(everywhere, "everywhere")
+    contents = F.transform("blocks", lambda b: F.xxhash64(b["text"])).alias("contents")
     out = [c for c in pages.columns if c not in (html, "text")]
     schema = f"page {parsed.schema['page'].dataType.simpleString()}, text string"
     if floors.count() + everywhere.count() <= BROADCAST_ENTRIES:
@@ -296,21 +304,21 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
         def known(b: pa.RecordBatch):
             return [own.value.get(h, ({}, ())) for h in b.column("host").to_pylist()]
 
-        rows = parsed.select("page", "blocks", "host")
+        rows = parsed.select("page", "blocks", contents, "host")
     else:
         paths = parsed.select("row", "host", F.explode(F.array_distinct(F.col("blocks.path"))).alias("path")).join(floors, ["host", "path"]).groupBy("row").agg(F.collect_list(F.struct("path", "floor")).alias("floors"))
-        contents = parsed.select("row", "host", F.explode(F.array_distinct(F.col("blocks.content"))).alias("content")).join(everywhere, ["host", "content"], "left_semi").groupBy("row").agg(F.collect_list("content").alias("common"))
+        templates = parsed.select("row", "host", F.explode(F.array_distinct(contents)).alias("content")).join(everywhere, ["host", "content"], "left_semi").groupBy("row").agg(F.collect_list("content").alias("common"))
 
         def known(b: pa.RecordBatch):
             return [({x["path"]: x["floor"] for x in f or ()}, set(c or ())) for f, c in zip(b.column("floors").to_pylist(), b.column("common").to_pylist(), strict=True)]
 
-        rows = parsed.join(paths, "row", "left").join(contents, "row", "left").select("page", "blocks", "floors", "common")
+        rows = parsed.join(paths, "row", "left").join(templates, "row", "left").select("page", "blocks", contents, "floors", "common")
 
     def run(batches):
         for b in batches:
             for a in range(0, b.num_rows, 128):
                 part = b.slice(a, 128)
-                texts = [main_text(x, *k) for x, k in zip(part.column("blocks").to_pylist(), known(part), strict=True)]
+                texts = [main_text(x, c, *k) for x, c, k in zip(part.column("blocks").to_pylist(), part.column("contents").to_pylist(), known(part), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("page"), pa.array(texts, pa.string())], names=["page", "text"])
 
     return rows.mapInArrow(run, schema).select(*(F.col(f"page.`{c}`").alias(c) for c in out), "text")
