@@ -276,10 +276,9 @@ def main_text(blocks: list[dict], contents: list[int], floors: dict[str, float],
     """The text of a page: floors has its paths' importance where that is known, `common` the contents that are the host's template."""
     own = [{**b, "content": c} for b, c in zip(blocks, contents, strict=True) if not b["marked"]]
     declared = any(b["main"] for b in own)
-    kept = [b for b in own if floors.get(b["path"], UNKNOWN) * (1.0 if b["main"] or not declared else OUTSIDE) >= LEAST and b["content"] not in common]
-    if declared and not any(b["main"] for b in kept):
-        kept = [b for b in own if b["main"]]
-    return "\n\n".join(b["text"] for b in kept)
+    kept = [floors.get(b["path"], UNKNOWN) * (1.0 if b["main"] or not declared else OUTSIDE) >= LEAST and b["content"] not in common for b in own]
+    whole = declared and not any(k for b, k in zip(own, kept, strict=True) if b["main"])  # nothing of the article would be left
+    return "\n\n".join(b["text"] for b, k in zip(own, kept, strict=True) if k or (whole and b["main"]))
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:
