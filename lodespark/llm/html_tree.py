@@ -246,8 +246,10 @@ def style_tree(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     content = one.select("host", F.explode("p.blocks").alias("b")).select("host", "b.path", "b.content")
     shown = content.groupBy("host", "path", "content").agg(F.count("*").alias("c"))
     held = one.select("host", F.explode(F.array_distinct("p.blocks.path")).alias("path")).groupBy("host", "path").agg(F.count("*").alias("m"))
-    spread = lambda c, m: F.when(m > 1, 1 - F.log(c) / F.log(m)).otherwise(1.0)
-    leaf = shown.join(held, ["host", "path"]).groupBy("host", "path").agg(F.avg(spread(F.col("c"), F.col("m"))).alias("content"), F.count("*").alias("n"))
+    # the mean of 1 - log(c) / log(m) over a path's contents, from sums, so that a frequent path is one row before the join
+    sums = shown.groupBy("host", "path").agg(F.sum(F.log("c")).alias("logs"), F.count("*").alias("n"))
+    spread = F.when(F.col("m") > 1, 1 - F.col("logs") / (F.col("n") * F.log("m"))).otherwise(1.0)
+    leaf = sums.join(held, ["host", "path"]).select("host", "path", spread.alias("content"), "n")
     parts = F.split("path", "/")
     above = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
     below = leaf.where("path <> ''").select("host", F.explode(above).alias("path"), (F.col("content") * F.col("n")).alias("s"), "n")
