@@ -93,4 +93,22 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_ngram_join, op3_html_text, op4_token_records, op5_tiff, op6_decontaminate, op7_toxicity, op8_pack, op9_language_id, op10_suffix_dedup)}
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"), least=6, occurs=5, ratio=5, every=199)
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .resample import resample
+
+    return resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), percent=10, longest=1, least_words=20, seed=2024)
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), weights=(1, 2, 3), percent=100, most=3).drop("source")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_ngram_join, op3_html_text, op4_token_records, op5_tiff, op6_decontaminate, op7_toxicity, op8_pack, op9_language_id, op10_suffix_dedup, op11_spelling, op12_resample, op13_mixing)}

@@ -2,6 +2,18 @@
 
 LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: Of the table crc_of(b), bytes 0 to 255, and of a string's crc32: eight steps of the polynomial for each byte, as a list that is looked up byte by byte.
+_STEP = "list_reduce(list_prepend(b, range(8)), lambda c, _: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)"
+CRC_TABLE = f"select list({_STEP} order by b) crc_of from range(256) t(b)"
+
+
+def crc32(column: str) -> str:
+    """crc32 of a string column, with crc_of in scope."""
+    byte = f"cast('0x' || substr(hex(encode({column})), 2 * i + 1, 2) as bigint)"
+    taken = f"list_prepend(4294967295, list_transform(range(octet_length(encode({column}))), lambda i: {byte}))"
+    return f"xor(list_reduce({taken}, lambda c, x: xor(c >> 8, list_extract(crc_of, (xor(c, x) & 255) + 1))), 4294967295)"
+
+
 ORACLES: dict[str, str] = {
     "op10_suffix_dedup": r"""
 with d as (select doc_id, lower(hex(encode(coalesce(text, '')))) x, octet_length(encode(coalesce(text, ''))) n from documents),
@@ -46,4 +58,38 @@ its as (select doc_id, count(distinct item_id) n_items, string_agg(distinct cast
 select d.doc_id, cast(len(w) as bigint) n_words, cast(coalesce(n_hit, 0) as bigint) n_hit, cast(coalesce(n_items, 0) as bigint) n_items,
        sha256(coalesce(s, '')) items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) contaminated
 from d left join cov using (doc_id) left join its using (doc_id)""",
+    "op11_spelling": rf"""
+with recursive crc as ({CRC_TABLE}),
+r as (select cast(doc_id as varchar) id, unnest(regexp_extract_all(coalesce({LOWER}, ''), '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) w from documents),
+k as (select distinct id, w, coalesce(id, '') || ':' || w s from r where length(w) >= 6),
+h as materialized (select id, w, {crc32("s")} h from k, crc),
+t as (select case when h % 199 = 0 then substr(r.w, 1, cast(h % length(r.w) as int)) || substr(r.w, cast(h % length(r.w) as int) + 2) else r.w end word
+      from r join h on r.id is not distinct from h.id and r.w = h.w),
+v as materialized (select word, count(*) n from t where length(word) >= 6 group by word having count(*) >= 5),
+d as (select distinct word, n, substr(word, 1, i - 1) || substr(word, i + 1) s from v, unnest(range(1, length(word) + 1)) x(i)),
+g as (select word, n, substr(word, 1, i - 1) || chr(0) || substr(word, i + 1) s from v, unnest(range(1, length(word) + 1)) x(i)),
+near as (select a.word a, a.n a_n, b.word b, b.n b_n from d a join v b on a.s = b.word
+         union select b.word, b.n, a.word, a.n from d a join v b on a.s = b.word
+         union select x.word, x.n, y.word, y.n from g x join g y on x.s = y.s and x.word <> y.word),
+best as (select a, count(*) n_near, arg_min(b, (-b_n, b)) b, max(b_n) b_n from near group by a),
+f as materialized (select word, n, coalesce(n_near, 0) n_near, case when b_n >= 5 * n then b end form, case when b_n >= 5 * n then b_n end form_n from v left join best on a = word),
+walk(word, reached) as (select word, word from f union all select walk.word, f.form from walk join f on f.word = walk.reached where f.form is not null),
+root as (select walk.word, reached root from walk join f on f.word = walk.reached where f.form is null)
+select f.word, form, root, n, n_near, form_n from f join root using (word)""",
+    "op12_resample": rf"""
+with crc as ({CRC_TABLE}),
+d as (select doc_id, regexp_extract_all(coalesce({LOWER}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
+m as (select unnest(regexp_extract_all(coalesce({LOWER}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) f from benchmark),
+o as (select doc_id, unnest(w) f from d),
+b as materialized (select f, {crc32("f")} % 10000 b from (select f from o union select f from m), crc),
+s as (select b, count(*) s from o join b using (f) group by b),
+t as (select b, count(*) t from m join b using (f) group by b),
+tot as (select cast((select coalesce(sum(s), 0) from s) as double) sa, cast((select coalesce(sum(t), 0) from t) as double) ta),
+g as (select b, cast(floor(1000 * ln((cast(coalesce(t, 0) as double) + 1) * (sa + 10000) / ((cast(coalesce(s, 0) as double) + 1) * (ta + 10000)))) as bigint) g from s full join t using (b), tot),
+w as (select doc_id, sum(g) weight from o join b using (f) join g using (b) group by doc_id),
+x as (select doc_id, cast(len(d.w) as bigint) n_features, cast(coalesce(weight, 0) as bigint) weight,
+      cast('0x' || substr(sha256('2024:' || doc_id), 1, 8) as bigint) h from d left join w using (doc_id)),
+y as (select doc_id, n_features, weight, weight + cast(floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296))) as bigint) score from x),
+z as (select doc_id, row_number() over (order by score desc, doc_id) r, count(*) over () n from y where n_features >= 20)
+select doc_id, n_features, weight, score, case when r <= 10 * n // 100 then r end "rank" from y left join z using (doc_id)""",
 }
