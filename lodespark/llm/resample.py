@@ -39,13 +39,18 @@ def lowered(word: Column) -> Column:
     return F.when(word.rlike("[A-Z]"), F.translate(word, UPPER, LOWER)).otherwise(word)
 
 
-def features(text: Column, longest: int = 1) -> Column:
-    """An array of all runs of 1 to `longest` words. Letters A-Z are lowered in each run, which is where the words stand."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), 0)
-    if longest == 1:
-        return found
-    runs = lambda k: F.transform(F.sequence(F.lit(1), F.size(found) - k + 1), lambda i: F.array_join(F.slice(found, i, k), " "))
-    return F.flatten(F.array(found, *(F.when(F.size(found) >= k, runs(k)).otherwise(F.array().cast("array<string>")) for k in range(2, longest + 1))))
+def words(texts: DataFrame, *others: Column) -> DataFrame:
+    """others and _w, the words as they stand (letters A-Z are lowered with the features)."""
+    return texts.select(*others, F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), 0).alias("_w"))
+
+
+def features(longest: int) -> Column:
+    """An array of all runs of 1 to `longest` words of _w: each length's runs are the shorter ones with a word more."""
+    word, runs = F.col("_w"), [F.col("_w")]
+    for k in range(2, longest + 1):
+        n = F.greatest(F.size(word) - k + 1, F.lit(0))
+        runs.append(F.zip_with(F.slice(runs[-1], F.lit(1), n), F.slice(word, F.lit(k), n), lambda run, w: F.concat(run, F.lit(" "), w)))
+    return F.flatten(F.array(*runs)) if longest > 1 else word
 
 
 def bucket(feature: Column, buckets: int) -> Column:
@@ -54,7 +59,7 @@ def bucket(feature: Column, buckets: int) -> Column:
 
 def bucket_counts(texts: DataFrame, longest: int, buckets: int) -> np.ndarray:
     out = np.zeros(buckets, np.int64)
-    for r in texts.select(F.explode(features(F.col("text"), longest)).alias("f")).groupBy(bucket(F.col("f"), buckets).alias("b")).agg(F.count("*").alias("n")).collect():
+    for r in words(texts).select(F.explode(features(longest)).alias("f")).groupBy(bucket(F.col("f"), buckets).alias("b")).agg(F.count("*").alias("n")).collect():
         out[r.b] = r.n
     return out
 
@@ -73,18 +78,17 @@ def noise(doc_id: Column, seed: int) -> Column:
 def scored(docs: DataFrame, gain: list[int], longest: int, seed: int) -> DataFrame:
     """The columns of docs but the text, with n_features, weight, score and the number of words."""
     held = F.split(F.lit(",".join(map(str, gain))), ",").cast("array<bigint>")  # folded to one literal
-    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", *RESULTS, "_words", "_f")]
-    rows = docs.select(*others, features(F.col("text"), longest).alias("_f"))
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", *RESULTS, "_w", "_f", "_words")]
+    rows = words(docs, *others).select(*others, features(longest).alias("_f"), F.size("_w").alias("_words"))
     weight = F.aggregate("_f", F.lit(0).cast("long"), lambda sum_, f: sum_ + F.element_at(held, (bucket(f, len(gain)) + 1).cast("int")))
-    words = F.size("_f") if longest == 1 else F.size(F.filter("_f", lambda f: ~f.contains(" ")))
-    rows = rows.select(*others, F.size("_f").cast("long").alias("n_features"), weight.alias("weight"), words.alias("_words"))
+    rows = rows.select(*others, F.size("_f").cast("long").alias("n_features"), weight.alias("weight"), "_words")
     return rows.select(*others, "n_features", "weight", (F.col("weight") + noise(F.col("doc_id"), seed)).alias("score"), "_words")
 
 
 def ranks_before(counts: DataFrame, own: Scratch, top: int = TOP, bits: int = BITS) -> DataFrame:
     """(score, n) with `before`: the sum of n over all greater scores."""
     levels = [counts]
-    while levels[-1].count() > top:
+    while levels[-1].count() > max(top, 2):  # shifts end at -1 and 0
         levels.append(own.keep(levels[-1].groupBy(F.shiftright("score", bits).alias("score")).agg(F.sum("n").alias("n")), "levels"))
     head = levels[-1].select("score", "n").toArrow()
     score, n = (head.column(k).to_numpy() for k in ("score", "n"))

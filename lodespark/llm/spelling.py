@@ -29,7 +29,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, Scratch, bounded_batches, mix64
@@ -144,7 +144,7 @@ def light_nodes(words: DataFrame, own: Scratch) -> DataFrame:
 
 
 def _errata(b: pa.RecordBatch):
-    """(row of the word, hash with the error) of the batch's terminals to be found in the vocabulary, and of those with any character in place of one."""
+    """(row of the word, hash with the error, its depth) of the batch's terminals to be found in the vocabulary, and of those with any character in place of one."""
     w = Words(b.column("word"))
     lights = b.column("lights")
     row = pc.list_parent_indices(lights).to_numpy()
@@ -160,30 +160,38 @@ def _errata(b: pa.RecordBatch):
     extended = heavy != 0
     swapped = ~ended & extended
     put = head + symbol(heavy.astype(np.uint32)) * here
-    found = [(row[m], sealed(p[m], n[m])) for m, p, n in ((skipped, head + rest * here, size - 1), (extended, put + tail * further, size + 1), (swapped, put + rest * further, size))]
+    found = [(row[m], sealed(p[m], n[m]), depth[m]) for m, p, n in ((skipped, head + rest * here, size - 1), (extended, put + tail * further, size + 1), (swapped, put + rest * further, size))]
     any_of = sealed((head + symbol(ANY) * here + rest * further)[~ended], size[~ended])
-    return (np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])), (row[~ended], any_of)
+    return tuple(map(np.concatenate, zip(*found, strict=True))), (row[~ended], any_of, depth[~ended])
 
 
 def errata(lights: DataFrame, of_any: bool) -> DataFrame:
-    """(probe, word, n): the words' terminals with one error; with of_any those that have any character in place of one."""
+    """(probe, depth, word, n): the words' terminals with one error at a depth; with of_any those that have any character in place of one."""
 
     def run(batches):
         for b in batches:
-            row, probe = _errata(b)[of_any]
-            yield pa.RecordBatch.from_arrays([pa.array(probe), b.column("word").take(pa.array(row)), b.column("n").take(pa.array(row))], names=["probe", "word", "n"])
+            row, probe, depth = _errata(b)[of_any]
+            yield pa.RecordBatch.from_arrays([pa.array(probe), pa.array(depth), b.column("word").take(pa.array(row)), b.column("n").take(pa.array(row))], names=["probe", "depth", "word", "n"])
 
-    return lights.select("word", "n", "lights").mapInArrow(run, "probe long, word string, n long")
+    return lights.select("word", "n", "lights").mapInArrow(run, "probe long, depth long, word string, n long")
+
+
+def _apart(a: Column, b: Column, depth: Column) -> Column:
+    """Whether the words differ by just the character at that depth, of the longer one, or of both."""
+    d, long = depth.cast("int"), F.lit(1 << 30)
+    more = F.char_length(a) - F.char_length(b)
+    rest = lambda x, cut: F.substring(x, d + 1 + cut.cast("int"), long)
+    return (a != b) & more.between(-1, 1) & (F.substring(a, F.lit(1), d) == F.substring(b, F.lit(1), d)) & (rest(a, more >= 0) == rest(b, more <= 0))
 
 
 def near_pairs(words: DataFrame, own: Scratch) -> DataFrame:
     """(a, a_n, b, b_n): each pair of words one inserted, deleted or replaced code point apart, once. `words` are (key, word, n)."""
     lights = light_nodes(words, own)
-    side = lambda t, x, key: t.select(F.col(key).alias("_k"), F.col("word").alias(x), F.col("n").alias(f"{x}_n"))
-    found = side(errata(lights, False), "a", "probe").join(side(words, "b", "key"), "_k")
+    side = lambda t, x, key, *more: t.select(F.col(key).alias("_k"), *more, F.col("word").alias(x), F.col("n").alias(f"{x}_n"))
+    found = side(errata(lights, False), "a", "probe", "depth").join(side(words, "b", "key"), "_k")
     some = errata(lights, True)
-    swaps = side(some, "a", "probe").join(side(some, "b", "probe"), "_k").where("a < b")
-    return found.unionByName(swaps).where(F.levenshtein("a", "b", 1) == 1).drop("_k")
+    swaps = side(some, "a", "probe", "depth").join(side(some, "b", "probe", "depth"), ["_k", "depth"]).where("a < b")
+    return found.unionByName(swaps).where(_apart(F.col("a"), F.col("b"), F.col("depth"))).drop("_k", "depth")
 
 
 def spelling_variants(docs: DataFrame, least: int = 6, occurs: int = 5, ratio: int = 5, every: int = 0) -> DataFrame:

@@ -87,7 +87,7 @@ def test_nodes_with_most_words_are_broadcast_or_joined(spark, monkeypatch, wide)
 
     monkeypatch.setattr(spelling, "WIDE", 10**6 if wide else -1)
     rng = random.Random(3)
-    docs = [(i, " ".join("".join(rng.choice("abcde") for _ in range(5)) for _ in range(300))) for i in range(15)]
+    docs = [(i, " ".join("".join(rng.choice("abcde") for _ in range(5)) for _ in range(150))) for i in range(8)]
     assert variants(spark, docs, 3, 1, 3, 11) == brute_variants(docs, 3, 1, 3, 11)
 
 
