@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..sources.tables import spread
 
@@ -129,6 +130,12 @@ class Scratch:
         return out
 
 
+def extended(df: DataFrame, more: str, names: list[str] | None = None) -> StructType:
+    """The schema of df's columns (those named, if any are), whatever their names hold, and of the columns that `more` declares."""
+    own = [StructField(f.name, f.dataType) for f in df.schema if names is None or f.name in names]
+    return StructType(own + StructType.fromDDL(more).fields)
+
+
 def partitions_for(df: DataFrame, target_bytes: int) -> int:
     """At least the session's shuffle partitions, more if Catalyst's size estimate asks for it."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -146,7 +153,6 @@ def sample_ids(rows: DataFrame, per_label: int, label: str) -> DataFrame:
 
     A first pass counts the labels, so that only about four times as many rows as are wanted meet in a label's task."""
     from pyspark.sql import Window
-    from pyspark.sql.types import LongType, StructField, StructType
 
     spark, kind = rows.sparkSession, rows.schema[label]
     counts = [(r[0], r[1]) for r in rows.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*")).collect()]

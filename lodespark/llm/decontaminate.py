@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, U64, chunks, release, shingles, words
+from .common import ALNUM, U64, chunks, extended, release, shingles, words
 
 TOKEN = 3
 #: Words of a run that a long item is cut into.
@@ -237,8 +237,7 @@ def _hits(docs: DataFrame, block: Block) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names, "n_words", "spans", "items"])
         release()
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", " + _OUT
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, extended(docs, _OUT))
 
 
 def hit_words(spans):

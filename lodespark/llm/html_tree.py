@@ -16,6 +16,11 @@ So on a host that its tree knows, a template inside an article goes, and text be
 on fewer than MIN_PAGES pages have the importance UNKNOWN, so that there the article element decides. An article or main of which nothing would be left stays as
 it is.
 
+What the markup says of a part can be said of a wrapper: `content-with-sidebar`, or a form around the whole page. So inline elements have no marks by class,
+a mark after `with` or `has` is none, and where all articles of a page (or main elements, or blocks, if it has none) lie in marked
+elements and say more than what is unmarked, the marks on the way to the largest of those that are marked least do not count. Hidden elements and aside, nav or
+footer elements stay marked. Elements nested deeper than DEPTH share their ancestor's path at that depth, so that a page costs its length.
+
 Counts run per (host, path, content), pre-aggregated, so a host with a third of all pages is no single group. What the trees say of a path or
 content, where it differs from UNKNOWN's outcome, goes to all tasks up to BROADCAST_ENTRIES entries; more is joined by (host, path) and (host, content).
 
@@ -33,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, extended
 
 GAMMA, LEAST, MIN_PAGES = 0.9, 0.3, 4
 #: The prior of text beside a page's article or main, and the importance of a branch that too few pages show.
@@ -42,6 +47,8 @@ OUTSIDE, UNKNOWN = 0.4, 0.5
 TEMPLATE_SHARE, TEMPLATE_PAGES = 0.9, 10
 #: Pages of a host are near copies if their blocks of this many words are equal and hold this share of their text.
 COPY_WORDS, COPY_SHARE = 10, 0.9
+#: Elements nested deeper than this count as their ancestor at this depth.
+DEPTH = 64
 #: What the trees of all hosts say of up to this many paths and contents is broadcast; more is joined.
 BROADCAST_ENTRIES = 200_000
 
@@ -75,40 +82,123 @@ _PART = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-def _marked(tag: str, attrs: dict[str, str], inside_main: bool) -> bool:
-    if tag in ASIDE or (tag == "header" and not inside_main):
-        return True
-    if not attrs:
-        return False
-    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in ROLES or _HIDDEN.search(attrs.get("style", "")):
-        return True
-    if tag in ("body", "html", "main"):
-        return False
-    named = f"{attrs.get('class', '')} {attrs.get('id', '')}"
-    named = re.sub(r"(?<=[a-z0-9])(?=[A-Z])", " ", named).lower()
-    return any(w in MARKS for w in _PART.findall(named))
+#: Words before a mark that say the element has such a part, not that it is one.
+HAVING = frozenset("with has have no without".split())
+#: Marks of this order cannot be taken back: what is hidden, and parts that HTML itself names.
+FIRM = 1 << 20
+
+
+def _named(names: str) -> bool:
+    """Whether a word of a class or id is a mark."""
+    for name in names.split():
+        found = _PART.findall(re.sub(r"(?<=[a-z0-9])(?=[A-Z])", " ", name).lower())
+        if any(w in MARKS and not (i and found[i - 1] in HAVING) for i, w in enumerate(found)):
+            return True
+    return False
+
+
+def _marked(tag: str, attrs: dict[str, str], inside_main: bool) -> int:
+    """0, 1 for a mark that may turn out to be a wrapper's, FIRM. Inline elements have no marks by class: they are words of a sentence."""
+    if attrs and ("hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in ROLES or _HIDDEN.search(attrs.get("style", ""))):
+        return FIRM
+    if tag in ASIDE:
+        return 1 if tag in ("form", "fieldset") else FIRM
+    if tag == "header" and not inside_main:
+        return 1
+    if not attrs or tag in ("body", "html", "main") or tag not in BLOCK:
+        return 0
+    return int(_named(f"{attrs.get('class', '')} {attrs.get('id', '')}"))
+
+
+class _Marks:
+    """Marked elements on the way to a block, as numbers: ways that go through the same marked paths have one number. 0 has none."""
+
+    def __init__(self):
+        self.up, self.order, self.known = [0], [0], {}
+
+    def below(self, way: int, path: str, order: int) -> int:
+        if (way, path, order) not in self.known:
+            self.known[way, path, order] = len(self.up)
+            self.up.append(way)
+            self.order.append(self.order[way] + order)
+        return self.known[way, path, order]
+
+    def wrappers(self, blocks: list[tuple[str, str, int, bool, bool]]) -> set[int]:
+        """The ways whose marks are a wrapper's: those to a page's articles, if none is free of marks and they say more than all that is.
+
+        Without an article, the main element, and without that all blocks count. Of several ways those with fewest marks count, then that to most text."""
+        said: dict[int, int] = {}
+        own = [b for b in blocks if b[4]] or [b for b in blocks if b[3]] or blocks
+        for b in own:
+            said[b[2]] = said.get(b[2], 0) + len(b[1])
+        if not said or 0 in said:
+            return set()
+        way = min(said, key=lambda k: (self.order[k], -said[k]))
+        if self.order[way] >= FIRM or said[way] <= sum(len(b[1]) for b in blocks if not b[2]):
+            return set()
+        out = set()
+        while way:
+            out.add(way)
+            way = self.up[way]
+        return out
+
+
+class _Open:
+    """The open elements: (tag, path, way of marks, in main, in article, gone, depth), and how many there are of each tag."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, str, int, bool, bool, bool, int]] = []
+        self.many: dict[str, int] = {}
+
+    def top(self) -> tuple[str, str, int, bool, bool, bool, int]:
+        return self.stack[-1] if self.stack else ("", "", 0, False, False, False, 0)
+
+    def push(self, *element) -> None:
+        self.stack.append(element)
+        self.many[element[0]] = self.many.get(element[0], 0) + 1
+
+    def pop(self) -> str:
+        tag = self.stack.pop()[0]
+        self.many[tag] -= 1
+        return tag
+
+    def has(self, tags) -> bool:
+        return any(self.many.get(t) for t in tags)
 
 
 def parse(page: str | None):
-    """Blocks (path, text, marked, in article or main), and the child tags of each path."""
-    blocks: list[tuple[str, str, bool, bool]] = []
-    styles: dict[str, list[str]] = {}
-    stack: list[tuple[str, str, bool, bool, bool]] = []  # tag, path, marked, main, gone
-    held: dict[bool, list[str]] = {False: [], True: []}
+    """Blocks (path, text, marked, in article or main), and the child tags of each path. Elements deeper than DEPTH have the path of the one at that depth."""
+    blocks: list[tuple[str, str, int, bool, bool]] = []
+    styles: dict[str, dict[str, None]] = {}
+    marks, tree = _Marks(), _Open()
+    held: dict[int, list[str]] = {}
     page = page or ""
     at, end = 0, len(page)
 
-    def top() -> tuple[str, str, bool, bool, bool]:
-        return stack[-1] if stack else ("", "", False, False, False)
-
     def flush() -> None:
-        _, path, marked, main, _ = top()
-        for off in (False, True):
-            if held[off]:
-                text = " ".join("".join(held[off]).split())
-                if text:
-                    blocks.append((path, text, off or marked, main))
-                held[off] = []
+        _, path, _, main, article, _, _ = tree.top()
+        for way in sorted(held, key=lambda k: marks.order[k]):
+            text = " ".join("".join(held[way]).split())
+            if text:
+                blocks.append((path, text, way, main, article))
+        held.clear()
+
+    def close(tags, limits) -> None:
+        """Ends the innermost of `tags` unless one of `limits` is nearer."""
+        if not tree.has(tags):
+            return
+        for k in range(len(tree.stack) - 1, -1, -1):
+            if tree.stack[k][0] in tags:
+                leave(k)
+                return
+            if tree.stack[k][0] in limits:
+                return
+
+    def leave(k: int) -> None:
+        while len(tree.stack) > k:
+            if tree.stack[-1][0] in BLOCK and not tree.stack[-1][5]:
+                flush()
+            tree.pop()
 
     while at < end:
         m = _TOKEN.match(page, at)
@@ -117,76 +207,63 @@ def parse(page: str | None):
             continue
         if m["text"] is not None or m["cdata"] is not None:
             said = _html.unescape(m["text"] or m["cdata"] or "")
-            if top()[0] == "head" and said.strip():
-                stack.pop()
-            if not top()[4]:
-                held[top()[2]].append(said)
+            if tree.top()[0] == "head" and said.strip():
+                tree.pop()
+            if not tree.top()[5]:
+                held.setdefault(tree.top()[2], []).append(said)
             continue
         tag = (m["tag"] or "").lower()
         if not tag:
             continue
         if m["end"]:
-            if tag == "p" and all(s[0] != "p" for s in stack):
-                continue
-            if any(s[0] == tag for s in stack):
-                while stack:
-                    if stack[-1][0] in BLOCK and not stack[-1][4]:
-                        flush()
-                    if stack.pop()[0] == tag:
-                        break
+            if tree.many.get(tag):
+                leave(next(k for k in range(len(tree.stack) - 1, -1, -1) if tree.stack[k][0] == tag))
             continue
         whole = m["attrs"].rstrip().endswith("/")
         if tag in RAW and not whole:
-            close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = close.end() if close else end
+            stop = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            at = stop.end() if stop else end
             continue
         if tag == "body":
-            _close(stack, {"head"}, (), flush)
-        elif top()[0] == "head" and tag not in IN_HEAD:
-            stack.pop()
+            close({"head"}, ())
+        elif tree.top()[0] == "head" and tag not in IN_HEAD:
+            tree.pop()
         if tag in BLOCK and tag != "hr":
-            _close(stack, NO_BLOCKS, FOREIGN, flush)
-        if top()[4] and tag in CLOSES:
-            _close(stack, CLOSES[tag], LIMITS[tag] | SCOPES, flush)
-        if tag in GONE or top()[4]:
+            close(NO_BLOCKS, FOREIGN)
+        if tree.top()[5] and tag in CLOSES:
+            close(CLOSES[tag], LIMITS[tag] | SCOPES)
+        if tag in GONE or tree.top()[5]:
             if not whole and tag not in VOID:
-                stack.append((tag, *top()[1:4], True))
+                tree.push(tag, *tree.top()[1:5], True, tree.top()[6])
             continue
         if tag == "br":
-            held[top()[2]].append(" ")
+            held.setdefault(tree.top()[2], []).append(" ")
             continue
         if tag in ENDS_P:
-            _close(stack, {"p"}, {"td", "th", "li", "div", "section", "article", "body"}, flush)
+            close({"p"}, {"td", "th", "li", "div", "section", "article", "body"})
         if tag in CLOSES:
-            _close(stack, CLOSES[tag], LIMITS[tag], flush)
+            close(CLOSES[tag], LIMITS[tag])
         if tag in BLOCK:
             flush()
         if tag in VOID:
             continue
         attrs = {a[1].lower(): _html.unescape(a[2] or a[3] or a[4] or "") for a in _ATTR.finditer(m["attrs"])} if m["attrs"].strip() else {}
-        _, path, marked, main, _ = top()
-        main = main or tag in ("article", "main") or attrs.get("role", "").lower() == "main" or attrs.get("itemprop", "").lower() == "articlebody"
-        off = marked or _marked(tag, attrs, main)
+        _, path, way, main, article, _, depth = tree.top()
+        body = tag == "article" or attrs.get("itemprop", "").lower() == "articlebody"
+        main = main or body or tag == "main" or attrs.get("role", "").lower() == "main"
+        order = _marked(tag, attrs, main)
         if tag in BLOCK:
             name = ".".join([tag, *sorted(set(re.sub(r"\d+", "", attrs.get("class", "")).split()))])
-            styles.setdefault(path, []).append(name)
-            path = f"{path}/{name}"
-        stack.append((tag, path, off, main, False))
+            styles.setdefault(path, {})[name] = None
+            depth += 1
+            if depth <= DEPTH:
+                path = f"{path}/{name}"
+        if order:
+            way = marks.below(way, path, order)
+        tree.push(tag, path, way, main, article or body, False, depth)
     flush()
-    return blocks, {p: "|".join(dict.fromkeys(c)) for p, c in styles.items()}
-
-
-def _close(stack, tags, limits, flush) -> None:
-    """Ends the innermost of `tags` unless one of `limits` is nearer."""
-    for k in range(len(stack) - 1, -1, -1):
-        if stack[k][0] in tags:
-            while len(stack) > k:
-                if stack[-1][0] in BLOCK and not stack[-1][4]:
-                    flush()
-                stack.pop()
-            return
-        if stack[k][0] in limits:
-            return
+    wrapper = marks.wrappers(blocks)
+    return [(p, t, bool(way) and way not in wrapper, main) for p, t, way, main, _ in blocks], {p: "|".join(c) for p, c in styles.items()}
 
 
 def copy_key(blocks) -> int | None:
@@ -228,7 +305,7 @@ def parse_pages(pages: DataFrame, html: str = "html") -> DataFrame:
                 nth += part.num_rows
                 yield pa.RecordBatch.from_arrays(cols, names=["page", "row", "host", "page_hash", "copy", "blocks", "styles"])
 
-    return rows.mapInArrow(run, f"page {rows.schema['page'].dataType.simpleString()}, {_PARSED}")
+    return rows.mapInArrow(run, extended(rows, _PARSED, ["page"]))
 
 
 def distinct_pages(parsed: DataFrame) -> DataFrame:
@@ -293,7 +370,6 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
         everywhere = own.result(everywhere, "everywhere")
     contents = F.transform("blocks", lambda b: F.xxhash64(b["text"])).alias("contents")
     out = [c for c in pages.columns if c not in (html, "text")]
-    schema = f"page {parsed.schema['page'].dataType.simpleString()}, text string"
     if floors.count() + everywhere.count() <= BROADCAST_ENTRIES:
         held: dict[str, tuple[dict[str, float], set[int]]] = {}
         for r in floors.toLocalIterator():
@@ -322,4 +398,4 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
                 texts = [main_text(x, c, *k) for x, c, k in zip(part.column("blocks").to_pylist(), part.column("contents").to_pylist(), known(part), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("page"), pa.array(texts, pa.string())], names=["page", "text"])
 
-    return rows.mapInArrow(run, schema).select(*(F.col(f"page.`{c}`").alias(c) for c in out), "text")
+    return rows.mapInArrow(run, extended(rows, "text string", ["page"])).select(*(F.col(f"page.`{c}`").alias(c) for c in out), "text")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, fold, mix64, release, sample_ids, sample_texts
+from .common import U64, extended, fold, mix64, release, sample_ids, sample_texts
 
 LETTERS = re.compile(r"[^\W\d_]+")
 BOS, EOS = 0x110000, 0x110001
@@ -202,7 +202,7 @@ def identify(docs: DataFrame, models: LanguageModels, text: str = "text") -> Dat
     """All columns of `docs` with lang_pred, lang_score, lang_rejected after them (over columns of those names)."""
     own = docs.sparkSession.sparkContext.broadcast(models)
     kept = [c for c in docs.columns if c not in ("lang_pred", "lang_score", "lang_rejected")]
-    docs = docs.select(*kept)
+    docs = docs.select(*(F.col(f"`{c}`") for c in kept))
 
     def run(batches):
         m = own.value
@@ -219,8 +219,7 @@ def identify(docs: DataFrame, models: LanguageModels, text: str = "text") -> Dat
         del score
         release()
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", lang_pred string, lang_score double, lang_rejected boolean"
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, extended(docs, "lang_pred string, lang_score double, lang_rejected boolean"))
 
 
 def language_id(docs: DataFrame, held_out_fold: int = 1, folds: int = 3, per_language: int = 1000) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, U64, _powers, buffers, chunks, materialize, mix64, partitions_for, prefix_hash, release, scratch
+from .common import _BYTE, U64, _powers, buffers, chunks, extended, materialize, mix64, partitions_for, prefix_hash, release, scratch
 
 K = 20
 #: Text of a block, in bytes; a longer document is a block by itself. What a task holds grows with it; the number of runs falls.
@@ -438,8 +438,7 @@ def cut_blocks(spans: DataFrame, base: str, docs: DataFrame, as_text: bool = Fal
         last = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
         return pa.table([*(tab.column(c) for c in names), pa.array(n_bytes, pa.int64()), pa.array(removed, span), last], names=[*names, "n_bytes", "removed", "kept"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names) + ", " + _CUT + ("string" if as_text else "binary")
-    return spans.groupBy("block").applyInArrow(run, schema)
+    return spans.groupBy("block").applyInArrow(run, extended(docs, _CUT + ("string" if as_text else "binary"), names))
 
 
 def remove_repeats(docs: DataFrame, length: int = 100, as_text: bool = False) -> DataFrame:

@@ -19,6 +19,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
+
+from .common import extended
 
 #: Fixed values of the format: tag numbers, compressions, and bytes of each field type.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_AT, SAMPLES, ROWS, STRIP_SIZE, PLANAR, PREDICTOR, TILE_W, TILE_H, TILE_AT, TILE_SIZE, FORMAT = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317, 322, 323, 324, 325, 339
@@ -359,9 +362,9 @@ ROW = 192
 PAGE_ROWS = 4096
 
 
-def _schema(df: DataFrame, more: str, drop: list[str]) -> tuple[list[str], str]:
+def _schema(df: DataFrame, more: str, drop: list[str]) -> tuple[list[str], StructType]:
     names = [c for c in df.columns if c not in drop]
-    return names, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in names] + [more])
+    return names, extended(df, more, names)
 
 
 def store_texts(docs: DataFrame, compression: int = DEFLATE, predictor: int = 1) -> DataFrame:

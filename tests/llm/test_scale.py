@@ -73,3 +73,57 @@ def test_an_article_is_not_noise_as_a_whole(spark):
     top = [edge.prose(i + k, 30) for k in (20, 40) for i in range(6)]  # beside the article, but another on each page
     assert got[:6] == [f"{t}\n\nthe same few words" for t in top[:6]]
     assert got[6:] == [f"{t}\n\n{edge.prose(i, 3)}" for i, t in enumerate(top[6:])]
+
+
+SAID = "the first of many words about it"
+WRAPPED = [
+    f"<div class='content-with-sidebar'><article><p>{SAID}</p></article><div class=sidebar>side</div></div>",
+    f"<div class='layout has-sidebar'><article><p>{SAID}</p></article><aside>side</aside></div>",
+    f"<form id='aspnetForm'><nav>menu</nav><article><p>{SAID}</p></article><div class=footer>foot</div></form>",
+    f"<article class='category-discussion'><p>{SAID}</p></article>",
+    f"<div class=ad>buy</div><article class='post with-sidebar'><p>{SAID}</p></article>",
+    f"<form id='aspnetForm'><nav>menu</nav><div id=content><p>{SAID}</p></div><div class=footer>foot</div></form>",
+    f"<div class=sidebar-layout><main><article><p>{SAID}</p></article></main></div><section class=comments><article class=comment><p>{SAID} is wrong</p></article></section>",
+]
+
+
+@pytest.mark.parametrize("page", WRAPPED)
+def test_marks_of_a_wrapper_do_not_hide_the_article(page):
+    assert kept(page) == [SAID]
+
+
+@pytest.mark.parametrize("page", [
+    f"<article><p>{SAID}</p></article><section class=comments><article><p>{SAID} {SAID}</p></article></section>",
+    f"<div id=content><p>{SAID}</p></div><aside><article><p>{SAID} {SAID}</p></article></aside>",
+    f"<main><p>{SAID}</p></main><div hidden><article><p>{SAID} {SAID}</p></article></div>",
+    f"<div id=content><p>{SAID}</p></div><div class=comments><article>reply</article></div>",
+])
+def test_marks_of_other_articles_stand(page):
+    assert kept(page) == [SAID]
+
+
+def test_wrapped_articles_of_a_host_are_whole(spark):
+    says = [edge.prose(i, 40) for i in range(12)]
+    for wrap in ("<div class='content-with-sidebar'><article><p>{}</p></article></div>", "<form id=aspnetForm><article><p>{}</p></article></form>", "<article class='category-discussion'><p>{}</p></article>"):
+        assert texts(spark, [wrap.format(t) for t in says]) == says
+
+
+def test_words_of_a_sentence_are_no_adverts():
+    assert kept("<p>Buy <span class=share>a share</span> <a class='social ad'>now</a></p>") == ["Buy a share now"]
+
+
+@pytest.mark.parametrize("tag", ["div", "div class=ad", "span", "b", "ul><li", "section class=x"])
+def test_deep_pages_cost_their_length(tag):
+    from time import monotonic
+
+    began = monotonic()
+    assert kept("<p>one</p>" + f"<{tag}>" * 20_000 + "<p>two") == (["one"] if "ad" in tag else ["one", "two"])
+    found = kept("".join(f"<{tag}> text {i}" for i in range(20_000)) + "</div>" * 20_000)
+    assert len(" ".join(found).split()) == 40_000 if "ad" not in tag else True
+    assert monotonic() - began < 20
+
+
+def test_deep_pages_in_a_site(spark):
+    deep = "".join(f"<div>text {i}" for i in range(20_000))
+    got = texts(spark, [deep, f"<article>{deep}</article>", *(f"<div><p>{edge.prose(i, 30)}</p></div>" for i in range(5))])
+    assert [len(t.split()) for t in got] == [40_000, 40_000, *(len(edge.prose(i, 30).split()) for i in range(5))]
