@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import fixed, text
+from . import syntax
 
 CHUNK = (
     "content string, signature string, docstring string, embed_text string, name string, kind string, parent_class string, file_path string, language string, repo string, extends string, "
@@ -83,86 +84,25 @@ def parse_python(path: str, code: str) -> list[dict]:
     return out
 
 
-_CALL = re.compile(r"(?:([A-Za-z_][\w.]*)\.)?([A-Za-z_]\w*)\s*\(")
-_WORDS = frozenset("if for while switch catch return func function new typeof await else do try defer select case match when unless sizeof assert".split())
-
-
-def _block_end(lines: list[str], start: int) -> int:
-    """The line (0-based) on which the braces opened from `start` on are closed."""
-    depth, seen = 0, False
-    for k in range(start, len(lines)):
-        bare = re.sub(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|`[^`]*`|//.*$|#.*$", "", lines[k])
-        depth += bare.count("{") - bare.count("}")
-        seen = seen or "{" in bare
-        if seen and depth <= 0:
-            return k
-        if not seen and bare.rstrip().endswith(";"):
-            return k
-    return len(lines) - 1 if seen else start
-
-
-def _calls(lines: list[str], first: int, last: int) -> list[dict]:
-    out = []
-    for k in range(first, last + 1):
-        line = lines[k] if k > first else lines[k].partition("{")[2]
-        out += [{"name": m[2], "qualifier": m[1] or "", "line": k + 1} for m in _CALL.finditer(line) if m[2] not in _WORDS]
-    return out
-
-
-def _comment_above(lines: list[str], at: int) -> str:
-    k = at - 1
-    while k >= 0 and re.match(r"\s*(//|#|\*|/\*)", lines[k]):
-        k -= 1
-    return "\n".join(lines[k + 1 : at])
-
-
-_GO = re.compile(r"^func\s+(?:\(\s*(?:\w+\s+)?\*?(?P<recv>\w+)[^)]*\)\s*)?(?P<name>\w+)|^type\s+(?P<type>\w+)\s+(?P<kind>struct|interface)")
-_TS = re.compile(r"^\s*(?P<export>export\s+(?:default\s+)?)?(?:(?:async\s+)?function\s*\*?\s*(?P<fn>\w+)|(?:abstract\s+)?class\s+(?P<class>\w+)(?:\s+extends\s+(?P<ext>[\w.]+))?(?:\s+implements\s+(?P<impl>[\w.,\s]+?))?\s*\{|(?:const|let|var)\s+(?P<arrow>\w+)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*(?::[^=]+)?=>|(?:public\s+|private\s+|protected\s+|static\s+|async\s+|get\s+|set\s+)*(?P<method>\w+)\s*\([^)]*\)\s*(?::[^{]+)?\{)")
-_GENERIC = re.compile(r"^\s*(?:(?:pub|public|private|protected|static|final|abstract|async|export|override|open|internal|virtual|inline|unsafe|const|extern)\s+)*(?:(?P<class>class|struct|interface|trait|enum|object|module)\s+(?P<cname>\w+)(?:\s*(?:extends|<|:)\s*(?P<ext>[\w.]+))?|(?:fn|fun|func|def|function|sub)\s+(?P<fn>[\w.]+)|(?:[\w<>\[\],*&:]+\s+)+(?P<typed>\w+)\s*\([^;]*\)\s*\{)")
+#: Languages that share a grammar.
+FAMILIES = {"javascript": "typescript", "jsx": "typescript", "tsx": "typescript", "c++": "cpp", "cc": "cpp", "h": "c", "hpp": "cpp", "cs": "csharp", "rs": "rust", "kt": "kotlin", "rb": "ruby", "ex": "elixir"}
+_IMPORT = re.compile(r"from\s+['\"]([^'\"]+)['\"]|^\s*import\s+['\"]?([\w./:*-]+)|^\s*(?:use|require|#include)\s+[<\"']?([\w./:]+)", re.M)
 
 
 def parse_braces(path: str, code: str, language: str) -> list[dict]:
-    """Go, TypeScript and the other languages by the shapes of their declarations and matching braces."""
-    lines = code.split("\n")
-    if language == "go":
-        imports = re.findall(r'"([^"\n]+)"', " ".join(m[0] for m in re.finditer(r"^import\s*(?:\([^)]*\)|(?:\w+\s+)?\"[^\"]+\")", code, re.M)))
-    else:
-        imports = [a or b or c for a, b, c in re.findall(r"from\s+['\"]([^'\"]+)['\"]|^\s*import\s+['\"]?([\w./:*-]+)|^\s*(?:use|require|#include)\s+[<\"']?([\w./:]+)", code, re.M)]
-    pattern = {"go": _GO, "typescript": _TS, "javascript": _TS, "jsx": _TS}.get(language, _GENERIC)
-    family = "go" if language == "go" else "typescript" if pattern is _TS else "generic"
-    out, classes = [], []
-    for k, line in enumerate(lines):
-        m = pattern.match(line)
-        if not m:
-            continue
-        g = m.groupdict()
-        name = g.get("name") or g.get("type") or g.get("fn") or g.get("class") or g.get("arrow") or g.get("method") or g.get("cname") or g.get("typed")
-        if family == "generic" and g.get("class"):
-            name = g["cname"]
-        if not name or name in _WORDS:
-            continue
-        end = _block_end(lines, k)
-        body = "\n".join(lines[k : end + 1])
-        classes = [c for c in classes if c[1] >= k]
-        is_class = bool(g.get("type") or (family != "go" and g.get("class")))
-        parent = g.get("recv") or (classes[-1][0] if classes and not is_class else "")
-        if g.get("method") and not classes:
-            continue
-        if family == "go":
-            extends = next((x.strip().lstrip("*") for x in lines[k + 1 : end] if re.fullmatch(r"\s*\*?[A-Z][\w.]*\s*", x)), "") if g.get("kind") == "struct" else ""
-            exported = name[0].isupper()
-        else:
-            extends = g.get("ext") or ""
-            exported = bool(g.get("export")) if family == "typescript" else not re.match(r"\s*private", line)
-        head = re.split(r"\{", body)[0]
-        if family == "typescript" and "=>" in body and ("{" not in body or body.index("=>") < body.index("{")):
-            head = body.split("=>")[0]
-        kind = ("struct" if g.get("kind") or g.get("class") == "struct" else "class") if is_class else "method" if parent else "function"
-        out.append(_row(path, content=body, signature=head.strip()[:200], docstring=_comment_above(lines, k), name=name, kind=kind, parent_class="" if is_class else parent, language=language, extends=extends, start_line=k + 1, end_line=end + 1, imports=imports, implements=[x.strip() for x in (g.get("impl") or "").split(",") if x.strip()], calls=[] if is_class else _calls(lines, k, end), is_exported=exported))
-        if is_class:
-            classes.append((name, end))
+    """Go, TypeScript and the other languages by their declarations; one chunk of the whole file where there are none."""
+    family = FAMILIES.get(language, language)
+    found = syntax.Grammar(code, family, jsx=path.rsplit(".", 1)[-1].lower() in ("tsx", "jsx", "js"))
+    imports = found.imports() if family in ("go", "typescript") else [a or b or c for a, b, c in _IMPORT.findall(code)]
+    out = []
+    for f in found.found:
+        first, last = found.tokens[f.first], found.tokens[f.last]
+        head = code[first.start : found.tokens[f.head].start] if f.first < f.head < len(found.tokens) and f.head <= f.last else code[first.start : last.end]
+        calls = [] if f.kind in ("class", "struct") else found.calls(f)
+        out.append(_row(path, content=code[first.start : last.end], signature=head.strip()[:200], docstring=found.comment(f), name=f.name, kind=f.kind, parent_class=f.parent, language=language, extends=f.extends, start_line=first.line, end_line=found.last_line(f.last), imports=imports, implements=f.implements, calls=calls, is_exported=f.exported))
     if not out and code.strip():
-        out.append(_row(path, content=code, signature=path.rsplit("/", 1)[-1], name=path.rsplit("/", 1)[-1], language=language, end_line=len(lines), imports=imports))
+        base = path.rsplit("/", 1)[-1]
+        out.append(_row(path, content=code, signature=base, name=base, language=language, end_line=code.count("\n") + 1, imports=imports))
     return out
 
 
