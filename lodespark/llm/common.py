@@ -136,6 +136,18 @@ def extended(df: DataFrame, more: str, names: list[str] | None = None) -> Struct
     return StructType(own + StructType.fromDDL(more).fields)
 
 
+#: Stands for a dot in names on the way through mapInArrow, which would read it as a path.
+_DOT = "\ue000"
+
+
+def undotted(df: DataFrame) -> DataFrame:
+    return df.toDF(*(c.replace(".", _DOT) for c in df.columns))
+
+
+def dotted(df: DataFrame) -> DataFrame:
+    return df.toDF(*(c.replace(_DOT, ".") for c in df.columns))
+
+
 def partitions_for(df: DataFrame, target_bytes: int) -> int:
     """At least the session's shuffle partitions, more if Catalyst's size estimate asks for it."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

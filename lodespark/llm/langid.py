@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, extended, fold, mix64, release, sample_ids, sample_texts
+from .common import U64, dotted, extended, fold, mix64, release, sample_ids, sample_texts, undotted
 
 LETTERS = re.compile(r"[^\W\d_]+")
 BOS, EOS = 0x110000, 0x110001
@@ -202,7 +202,7 @@ def identify(docs: DataFrame, models: LanguageModels, text: str = "text") -> Dat
     """All columns of `docs` with lang_pred, lang_score, lang_rejected after them (over columns of those names)."""
     own = docs.sparkSession.sparkContext.broadcast(models)
     kept = [c for c in docs.columns if c not in ("lang_pred", "lang_score", "lang_rejected")]
-    docs = docs.select(*(F.col(f"`{c}`") for c in kept))
+    docs = undotted(docs.select(*(F.col(f"`{c}`") for c in kept)))
 
     def run(batches):
         m = own.value
@@ -215,11 +215,11 @@ def identify(docs: DataFrame, models: LanguageModels, text: str = "text") -> Dat
                     k, s, no = m.decide(*score(part.column(text).to_pylist()))
                 else:
                     k, s, no = np.full(part.num_rows, -1), np.zeros(part.num_rows), np.ones(part.num_rows, bool)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names[k], pa.string()), pa.array(s), pa.array(no)], names=[*kept, "lang_pred", "lang_score", "lang_rejected"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names[k], pa.string()), pa.array(s), pa.array(no)], names=[*part.schema.names, "lang_pred", "lang_score", "lang_rejected"])
         del score
         release()
 
-    return docs.mapInArrow(run, extended(docs, "lang_pred string, lang_score double, lang_rejected boolean"))
+    return dotted(docs.mapInArrow(run, extended(docs, "lang_pred string, lang_score double, lang_rejected boolean")))
 
 
 def language_id(docs: DataFrame, held_out_fold: int = 1, folds: int = 3, per_language: int = 1000) -> DataFrame:

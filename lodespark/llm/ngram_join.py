@@ -15,7 +15,7 @@ key by itself.
 Similar documents meet on many keys; buckets of the same members count once. Buckets are not expanded into all pairs. Each is
 first joined to one member, then to another one where its members are not connected yet; a last join gives only pairs
 of different components that the sketches cannot tell apart, so no link between components is lost and links inside a component
-are not needed again.
+are not needed again. It compares by narrow sketches, with a large bucket in parts of PART members, each a task's; the wide sketch is fetched for what is left.
 
 Equal sets are one node, named by a 64-bit hash of the set (two different sets of n documents fall together with a
 chance of about n^2 / 2^65); one row stands for each node, found again by its doc_id and a hash of its text, so rows without an id
@@ -38,6 +38,8 @@ from .common import SPACED, U64, Scratch, chunks, mix64, partitions_for, release
 #: A set of candidate documents up to this many is broadcast to the scan that fetches their texts; more are joined.
 BROADCAST_ROWS = 500_000
 LEVELS = 3
+#: Members of a bucket that a task compares with all of it, and links of a node that are followed in one task.
+PART, MANY = 2000, 20_000
 #: Keys that a task sorts at a time.
 FLUSH = 1_000_000
 
@@ -313,25 +315,52 @@ def _possible(a: str, b: str, percent: int) -> Column:
         half = (F.size(x) / 2).cast("int")
         return F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda v, w: v.bitwiseXOR(w))
 
-    narrow = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{a}.s{w}").bitwiseXOR(F.col(f"{b}.s{w}"))) for w in range(4)))
     n, m, v, w = (F.col(f"{x}.{c}") for c in ("n", "wide") for x in (a, b))
     second = F.when(F.size(v) == F.size(w), apart(v, w)).when(F.size(v) > F.size(w), apart(folded(v), w)).otherwise(apart(v, folded(w)))
-    allowed = (100 - percent) * (n + m)
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * narrow <= allowed) & ((100 + percent) * second <= allowed)
+    return _near(a, b, percent) & ((100 + percent) * second <= (100 - percent) * (n + m))
+
+
+def _near(a: str, b: str, percent: int) -> Column:
+    """Sizes and narrow sketches allow a link."""
+    narrow = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{a}.s{w}").bitwiseXOR(F.col(f"{b}.s{w}"))) for w in range(4)))
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * narrow <= (100 - percent) * (n + m))
+
+
+def _pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a bucket's members (key, comp, m without the wide sketch) in different components that may link.
+
+    A bucket of more than PART members is dealt to as many tasks as it has parts of that size: each meets one part with all members."""
+    size = members.groupBy("key").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    own = members.join(size, "key")
+    x = own.select("key", F.pmod(F.xxhash64("m.node"), F.col("parts")).cast("int").alias("part"), F.col("m").alias("x"), F.col("comp").alias("x_comp"))
+    y = own.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("m").alias("y"), F.col("comp").alias("y_comp"))
+    on = (x["key"] == y["key"]) & (x["part"] == y["part"]) & (F.col("x.node") < F.col("y.node")) & (F.col("x_comp") != F.col("y_comp")) & _near("x", "y", percent)
+    return x.join(y, on).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
 def components(links: DataFrame, own: Scratch) -> DataFrame:
     """(node, comp) for all ends of links (a, b): comp is the smallest node that is connected. Labels move along links and then jump."""
     both = own.keep(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "ends")
     label = own.keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "components")
+    # nodes of many links, if there are any, are followed in parts
+    hubs = own.keep(both.groupBy("b").agg(F.ceil(F.count("*") / MANY).cast("int").alias("parts")).where("parts > 1"), "hubs")
+    if hubs.isEmpty():
+        hubs, both_parts = None, both
+    else:
+        both_parts = own.keep(both.join(hubs, "b", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"), F.lit(0)).alias("part")), "ends-in-parts")
     while True:
-        near = both.join(label.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
+        of = label.select(F.col("node").alias("b"), "comp")
+        if hubs is not None:
+            of = of.join(hubs, "b", "left").select("b", "comp", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+        near = both_parts.join(of, ["b"] if hubs is None else ["b", "part"]).groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
         moved = label.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
         to = label.select(F.col("node").alias("comp"), F.col("comp").alias("jump"))
         before, label = label, own.keep(moved.join(to, "comp", "left").select("node", "old", F.least("comp", F.coalesce("jump", "comp")).alias("comp")), "components")
         own.drop(before)
         if label.where("comp <> old").isEmpty():
-            own.drop(both)
+            for table in {both, both_parts, hubs} - {None}:
+                own.drop(table)
             return label.select("node", "comp")
 
 
@@ -384,10 +413,7 @@ def _link(docs: DataFrame, k: int, percent: int, own: Scratch) -> DataFrame:
                 hub = members.groupBy("key").agg(F.min_by(F.struct("node", "comp"), F.xxhash64("node", "key")).alias("h"))
                 edges = possible(members.join(hub, "key").where("h.comp <> comp").select(F.col("h.node").alias("a"), F.col("node").alias("b")))
             else:
-                members = members.join(nodes.select("node", "m"), "node")
-                x, y = (members.select("key", F.col("m").alias(c), F.col("comp").alias(f"{c}_comp")) for c in "xy")
-                pairs = x.join(y, (x["key"] == y["key"]) & (F.col("x.node") < F.col("y.node")) & (F.col("x_comp") != F.col("y_comp")) & _possible("x", "y", percent))
-                edges = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+                edges = possible(_pairs(members.join(nodes.select("node", F.col("m").dropFields("wide").alias("m")), "node"), percent))
         edges = own.keep(edges, "edges")
         if edges.isEmpty():
             continue

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, U64, _powers, buffers, chunks, extended, materialize, mix64, partitions_for, prefix_hash, release, scratch
+from .common import _BYTE, U64, _powers, buffers, chunks, dotted, extended, materialize, mix64, partitions_for, prefix_hash, release, scratch, undotted
 
 K = 20
 #: Text of a block, in bytes; a longer document is a block by itself. What a task holds grows with it; the number of runs falls.
@@ -444,7 +444,7 @@ def cut_blocks(spans: DataFrame, base: str, docs: DataFrame, as_text: bool = Fal
 def remove_repeats(docs: DataFrame, length: int = 100, as_text: bool = False) -> DataFrame:
     """All columns of `docs` with n_bytes, removed (spans in bytes) and kept (the bytes that remain, or their text)."""
     spark = docs.sparkSession
-    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long")).drop("n_bytes", "removed", "kept")
+    docs = undotted(docs.withColumn("doc_id", F.col("doc_id").cast("long")).drop("n_bytes", "removed", "kept"))
     base = scratch(spark, "text")
     blocks = write_blocks(docs, length, base)
     entries = blocks.select("block", F.explode(F.arrays_zip("h", "many")).alias("e")).select("block", "e.h", "e.many")
@@ -457,7 +457,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, as_text: bool = False) ->
     runs = materialize(make_runs(hits, base, splitters, length), "runs")
     far = merge_ranges(runs.where("part >= 0"), length)
     none = blocks.select("block", F.lit(-1).cast("long").alias("row"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"))
-    return cut_blocks(_unpack(runs.where("part < 0").select("block", "spans")).unionByName(far).unionByName(none), base, docs, as_text)
+    return dotted(cut_blocks(_unpack(runs.where("part < 0").select("block", "spans")).unionByName(far).unionByName(none), base, docs, as_text))
 
 
 def _unpack(rows: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from .common import extended
+from .common import dotted, extended, undotted
 
 #: Fixed values of the format: tag numbers, compressions, and bytes of each field type.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_AT, SAMPLES, ROWS, STRIP_SIZE, PLANAR, PREDICTOR, TILE_W, TILE_H, TILE_AT, TILE_SIZE, FORMAT = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317, 322, 323, 324, 325, 339
@@ -369,6 +369,7 @@ def _schema(df: DataFrame, more: str, drop: list[str]) -> tuple[list[str], Struc
 
 def store_texts(docs: DataFrame, compression: int = DEFLATE, predictor: int = 1) -> DataFrame:
     """All columns of `docs` with n_bytes and media: the text's UTF-8 bytes, padded with spaces to rows of 192, as pages of 64 RGB pixels across."""
+    docs = undotted(docs)
     names, schema = _schema(docs, "n_bytes long, media binary", ["n_bytes", "media"])
 
     def run(batches):
@@ -384,11 +385,12 @@ def store_texts(docs: DataFrame, compression: int = DEFLATE, predictor: int = 1)
                     media.append(write([image[y : y + PAGE_ROWS] for y in range(0, len(image), PAGE_ROWS)], compression, predictor))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(n, pa.int64()), pa.array(media, pa.binary())], names=[*names, "n_bytes", "media"])
 
-    return docs.mapInArrow(run, schema)
+    return dotted(docs.mapInArrow(run, schema))
 
 
 def read_pages(files: DataFrame, media: str = "media") -> DataFrame:
     """One row for each page of each file in the binary column `media`, with the other columns beside it."""
+    files = undotted(files)
     names, schema = _schema(files, _PAGE, _NAMES)
 
     def run(batches):
@@ -403,11 +405,11 @@ def read_pages(files: DataFrame, media: str = "media") -> DataFrame:
                     types = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.binary(), pa.string())
                     yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, 1) for c in names), *(pa.array([v], t) for v, t in zip(values, types, strict=True))], names=[*names, *_NAMES])
 
-    return files.mapInArrow(run, schema)
+    return dotted(files.mapInArrow(run, schema))
 
 
 def page_features(pixels: bytes) -> str:
-    """Mean, standard deviation, entropy in bits and a 64-bit mean hash over an 8 x 8 grid of the samples."""
+    """Mean, standard deviation, entropy in bits and a 64-bit mean hash over 64 runs of the samples, in their order."""
     a = np.frombuffer(pixels, np.uint8)
     if not len(a):
         return "empty"
@@ -422,7 +424,7 @@ def digest_texts(docs: DataFrame, compression: int = DEFLATE, predictor: int = 1
     """doc_id, n_bytes, media, and per document the payload read back from its pages, with its features.
 
     A document's pages lie next to each other in the reader's rows; they are joined in the task that read them."""
-    stored = store_texts(docs, compression, predictor)
+    stored = undotted(store_texts(docs, compression, predictor))
     names, schema = _schema(stored, "payload binary, feature string", ["payload", "feature"])
 
     def run(batches):

@@ -82,6 +82,19 @@ def test_join_of_a_chain_of_near_copies(spark):
     assert got == brute_components(rows, 4, 85)
 
 
+def test_buckets_and_hubs_in_parts(spark, monkeypatch):
+    """The same groups when the last join and the walk over links deal out every bucket and node."""
+    from lodespark.llm import ngram_join
+
+    words = edge.prose(9, 150).split()
+    rows = [(i + 1, " ".join([f"own{i}" if j == (i * 7) % 150 else f"x{j}" if j % 11 == 0 and j // 11 < i // 4 else w for j, w in enumerate(words)])) for i in range(50)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(ngram_join, "PART", 3)
+    monkeypatch.setattr(ngram_join, "MANY", 2)
+    got = sorted(tuple(r) for r in ngram_join.link_components(frame, 4, 85).select("doc_id", "n_shingles", "component_id").collect())
+    assert got == brute_components(rows, 4, 85)
+
+
 @pytest.mark.parametrize("middle", [None, 3, 1])
 def test_rows_without_an_id_or_with_a_shared_one_link_by_their_own_sets(spark, middle):
     """A chain whose middle row alone has its set."""

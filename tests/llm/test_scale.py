@@ -127,3 +127,42 @@ def test_deep_pages_in_a_site(spark):
     deep = "".join(f"<div>text {i}" for i in range(20_000))
     got = texts(spark, [deep, f"<article>{deep}</article>", *(f"<div><p>{edge.prose(i, 30)}</p></div>" for i in range(5))])
     assert [len(t.split()) for t in got] == [40_000, 40_000, *(len(edge.prose(i, 30).split()) for i in range(5))]
+
+
+def test_pairs_of_a_bucket_in_parts(spark, monkeypatch):
+    """All pairs of different components that sizes and narrow sketches allow, whatever the parts."""
+    from lodespark.llm import ngram_join
+
+    rng = np.random.default_rng(4)
+    base = rng.integers(-(2**63), 2**63 - 1, 4)
+    rows = [(k % 3, int(i % 5), (int(i), int(90 + i % 7), *(int(x) for x in base ^ (1 << rng.integers(0, 60, 4))))) for k in range(3) for i in range(40 * k + 5)]
+    members = spark.createDataFrame(rows, "key int, comp int, m struct<node:long,n:int,s0:long,s1:long,s2:long,s3:long>")
+    near = lambda x, y: 100 * min(x[1], y[1]) >= 85 * max(x[1], y[1]) and 185 * sum(bin((a ^ b) & (2**64 - 1)).count("1") for a, b in zip(x[2:], y[2:], strict=True)) <= 15 * (x[1] + y[1])
+    want = sorted((x[0], y[0]) for k, c, x in rows for j, d, y in rows if k == j and c != d and x[0] < y[0] and near(x, y))
+    for part in (2000, 7, 1):
+        monkeypatch.setattr(ngram_join, "PART", part)
+        assert sorted(tuple(r) for r in ngram_join._pairs(members, 85).collect()) == want
+    assert len(want) > 100
+
+
+def test_columns_of_any_name(spark):
+    """Names that are no identifiers, at the top and inside a struct, come out as they went in."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    from lodespark.llm import decontaminate, html_tree, langid, mixing, resample, suffix_dedup, tiff
+
+    text = edge.prose(1, 150)
+    docs = spark.createDataFrame([(1, text, "en", "s", 5), (2, text, "en", "s", 5), (3, edge.prose(2, 80), None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    odd = F.struct(F.lit(1).alias("n-chars"), F.struct(F.lit("x").alias("a.b c")).alias("in side")).alias("o")
+    docs = docs.select("*", F.lit(1).alias("n-chars"), F.lit(2).alias("my col"), F.lit(3).alias("x.y"), odd)
+    items = spark.createDataFrame([(7, edge.prose(5, 30))], "item_id long, text string")
+    models = langid.fit(docs.select("doc_id", "text", "lang"))
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("http://h/").alias("url"), F.col("text").alias("html"), *(F.col(f"`{c}`") for c in docs.columns[5:]))
+    for out in (
+        decontaminate.find_contamination(docs, items), langid.identify(docs, models), suffix_dedup.remove_repeats(docs), tiff.store_texts(docs), tiff.read_pages(tiff.store_texts(docs)), html_tree.extract(pages),
+        mixing.mix(docs), resample.resample(docs, items), *(stage for _, stage in corpus_pipeline.STAGES[:3]),
+    ):
+        out = out(spark, docs, "") if callable(out) else out
+        got = {tuple(r) for r in out.select("`n-chars`", "`my col`", "`x.y`", F.to_json("o")).collect()}
+        assert got == {(1, 2, 3, '{"n-chars":1,"in side":{"a.b c":"x"}}')}
