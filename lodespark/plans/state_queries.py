@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import metrics, state
 from ..sources.tables import shared_dir
-from ..streaming import jobs
+from ..streaming import jobs, timed
 from .catalog import CH, TOKS, chunks, joined, query, rounded, table, tokens, values
 
 # ---- snapshots and change feeds ------------------------------------------------------------------------
@@ -382,21 +382,54 @@ def machine_events(spark, d):
     return table(spark, d, "events").select(F.col("user_id").cast("string").alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), (F.col("event_type") != "error").alias("ok"))
 
 
-@query()
+def _folded(state: str, start: str, step: str, out: str) -> str:
+    """A machine as SQL: its step joins a key's next event, in order of time, to the state before."""
+    return (
+        "with recursive e as (select cast(user_id as varchar) k, epoch_us(ts) / 1e6 ts, event_type <> 'error' ok, row_number() over (partition by user_id order by epoch_us(ts) / 1e6, event_type <> 'error') n from events), "
+        f"r(k, n, ts, {state}, {out}) as (select distinct k, 0::bigint, 0::double, {start} from e union all select e.k, e.n, e.ts, {step} from r join e on e.k = r.k and e.n = r.n + 1) "
+    )
+
+
+_TOKENS = "least(5.0::double, r.tokens + case when r.n = 0 then 0.0::double else greatest(0.0::double, e.ts - r.ts) * 0.0005::double end)"
+_TOKEN_SQL = _folded("tokens", "5.0::double, true", f"{_TOKENS} - case when {_TOKENS} >= 1 then 1 else 0 end, {_TOKENS} >= 1", "allowed") + 'select k "key", ts, allowed, tokens from r where n > 0'
+_SHUT = "(r.phase = 'open' and e.ts - r.opened < 3600)"
+_HALF = "r.phase = 'open'"  # where it is not shut
+_CIRCUIT_SQL = _folded(
+    "phase, failures, opened", "'closed', 0, 0.0::double, false, ''",
+    f"case when {_SHUT} then 'open' when e.ok then case when {_HALF} then 'closed' else r.phase end when {_HALF} or r.failures + 1 >= 5 then 'open' else r.phase end, "
+    f"case when {_SHUT} then r.failures when e.ok then case when {_HALF} then 0 else r.failures end else r.failures + 1 end, "
+    f"case when {_SHUT} then r.opened when e.ok then case when {_HALF} then 0.0::double else r.opened end when {_HALF} or r.failures + 1 >= 5 then e.ts else r.opened end, "
+    f"not {_SHUT}, case when {_SHUT} then 'open' when e.ok then 'closed' when {_HALF} or r.failures + 1 >= 5 then 'open' else r.phase end", "called, said",
+) + 'select k "key", ts, called, said phase from r where n > 0'
+_COOL = "e.ts + least(60.0::double, power(2.0::double, least(r.failures + 1, 6)))"
+_KEY_SQL = _folded(
+    "failures, until_", "0, 0.0::double, true",
+    f"case when e.ts < r.until_ then r.failures when e.ok then 0 else r.failures + 1 end, case when e.ts < r.until_ then r.until_ when e.ok then 0.0::double else {_COOL} end, not e.ts < r.until_", "usable",
+) + 'select k "key", ts, usable, until_ "until" from r where n > 0'
+
+
+@query(_TOKEN_SQL)
 def sm_token_bucket(spark, d):
     return jobs.run_batch(machine_events(spark, d), jobs.TokenBucket(rate=0.0005, burst=5))
 
 
-@query()
+@query(_CIRCUIT_SQL)
 def sm_circuit(spark, d):
     return jobs.run_batch(machine_events(spark, d), jobs.CircuitBreaker(limit=5, wait=3600))
 
 
-@query()
+@query(_KEY_SQL)
 def sm_key_sched(spark, d):
     return jobs.run_batch(machine_events(spark, d), jobs.KeyCooldown())
 
 
+@query('select k "key", ts, "value", ts + 3600 expired from (select cast(user_id as varchar) k, epoch_us(ts) / 1e6 ts, "value", lead(epoch_us(ts) / 1e6) over (partition by user_id order by epoch_us(ts) / 1e6, "value") after from events) where after is null or after >= ts + 3600')
+def sm_ttl_expiries(spark, d):
+    """The entries of a cache with a time to live of an hour that expire, as the stream of timed.expiries gives them."""
+    rows = table(spark, d, "events").select(F.col("user_id").cast("string").alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), "value")
+    return timed.expiries_of_table(rows, 3600.0)
+
+
 @query("select file, event_id, round(value, 6) value from (select user_id file, event_id, value, event_type, row_number() over (partition by user_id order by event_id desc) r from events) where r = 1 and event_type <> 'error'")
 def sm_oneshot(spark, d):
     """The change feed as files, applied by a stream that ends when all is read."""

@@ -65,7 +65,11 @@ class TokenBucket:
     state_schema = "tokens double, last double"
 
     def __init__(self, rate: float = 2.0, burst: float = 200.0):
-        self.rate, self.burst = rate, burst
+        self.rate, self.burst = float(rate), float(burst)
+        self.idle = burst / rate  # a bucket is full again
+
+    def last(self, held: tuple) -> float | None:
+        return held[1]
 
     def start(self) -> tuple:
         return (self.burst, None)
@@ -83,6 +87,7 @@ class CircuitBreaker:
 
     schema = "key string, ts double, called boolean, phase string"
     state_schema = "phase string, failures int, opened double"
+    idle = None  # failures are not forgotten
 
     def __init__(self, limit: int = 5, wait: float = 30.0):
         self.limit, self.wait = limit, wait
@@ -109,6 +114,7 @@ class KeyCooldown:
 
     schema = "key string, ts double, usable boolean, until double"
     state_schema = "failures int, until double"
+    idle = None
 
     def start(self) -> tuple:
         return (0, 0.0)
@@ -133,13 +139,21 @@ def fold(machine, held: tuple, rows: pd.DataFrame) -> tuple[tuple, list[tuple]]:
 
 
 def run_batch(events: DataFrame, machine) -> DataFrame:
-    """The machine over key, ts (seconds), ok, each key's events in order. Keys are the unit of state, so one task holds one key's events."""
+    """The machine over key, ts (seconds), ok, each key's events in order. Rows are sorted by Spark and pass by in batches; a task holds one key's state."""
     names = [c.split()[0] for c in machine.schema.split(", ")]
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(fold(machine, machine.start(), rows)[1], columns=names)
-
-    return events.select("key", "ts", "ok").groupBy("key").applyInPandas(run, machine.schema)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, held = None, None
+        for rows in batches:
+            out = []
+            for key, ts, ok in rows.itertuples(index=False):
+                if held is None or key != own:
+                    own, held = key, machine.start()
+                held, result = machine.step(held, ts, ok)
+                out.append((key, ts, *result))
+            yield pd.DataFrame(out, columns=names)
+
+    return events.select("key", "ts", "ok").repartition("key").sortWithinPartitions("key", "ts", "ok").mapInPandas(run, machine.schema)
 
 
 def run_stream(events: DataFrame, machine) -> DataFrame:
