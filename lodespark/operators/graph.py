@@ -101,10 +101,10 @@ def bfs_layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return layers.unionByName(numbered(rest, "id").crossJoin(F.broadcast(last)).select("id", (F.col("last") + F.col("nth")).cast("int").alias("layer")))
 
 
-def numbered(rows: DataFrame, key: str) -> DataFrame:
-    """rows with nth, from 1 in the order of key: sorted ranges count their own rows, and only the counts of the ranges before are summed up."""
+def numbered(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows with nth, from 1 in the order of the keys: sorted ranges count their own rows, and only the counts of the ranges before are summed up."""
     base = f"{shared_dir(rows.sparkSession)}/lodespark/numbered-{uuid.uuid4().hex}"
-    own = rows.repartitionByRange(key).sortWithinPartitions(key).withColumn("_at", F.monotonically_increasing_id())
+    own = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
     own = _written(own.select(*rows.columns, F.shiftright("_at", 33).alias("_part"), (F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("_nth")), base)
     counts = own.groupBy("_part").agg(F.count("*").alias("n"))
     before = counts.select("_part", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row for each range
@@ -117,8 +117,10 @@ def _written(df: DataFrame, path: str) -> DataFrame:
 
 
 def layout(layers: DataFrame, dx: int = 220, dy: int = 80) -> DataFrame:
-    w = Window.partitionBy("layer").orderBy("id")
-    return layers.select("id", (F.col("layer") * dx).alias("x"), ((F.row_number().over(w) - 1) * dy).alias("y"))
+    """id, x, y: a column for each layer, its nodes below each other by id. A layer may hold most nodes, so all are numbered in ranges and a layer's first number is taken off."""
+    own = numbered(layers.select("layer", "id"), "layer", "id")
+    first = own.groupBy("layer").agg(F.min("nth").alias("first"))
+    return own.join(first, "layer").select("id", (F.col("layer") * dx).alias("x"), ((F.col("nth") - F.col("first")) * dy).alias("y"))
 
 
 def directory_tree(paths: DataFrame) -> DataFrame:

@@ -115,6 +115,30 @@ def s_base(x: str) -> str:
     return f"list_extract(string_split({x}, '/'), -1)"
 
 
+#: The table crc_of of the bytes 0 to 255: eight steps of the polynomial each.
+_STEP = "list_reduce(list_prepend(b, range(8)), lambda c, _: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)"
+S_CRC_TABLE = f"select list({_STEP} order by b) crc_of from range(256) t(b)"
+
+
+def s_crc32(x: str) -> str:
+    """crc32 of a string column, with crc_of in scope."""
+    byte = f"cast('0x' || substr(hex(encode({x})), 2 * i + 1, 2) as bigint)"
+    taken = f"list_prepend(4294967295, list_transform(range(octet_length(encode({x}))), lambda i: {byte}))"
+    return f"xor(list_reduce({taken}, lambda c, x: xor(c >> 8, list_extract(crc_of, (xor(c, x) & 255) + 1))), 4294967295)"
+
+
+def s_vectors(rows: str, keys: str, dim: int = 64) -> str:
+    """CTEs up to vec(keys, pos, x): the non-zero parts of the hashing encoder's vectors of (keys, text) rows."""
+    on = " and ".join(f"a.{k} = b.{k}" for k in keys.split(", "))
+    return (
+        f"crc as ({S_CRC_TABLE}), vin as ({rows}), vword as (select {keys}, unnest(list_filter(string_split_regex(lower(coalesce(text, '')), '\\s+'), lambda t: t <> '')) vw from vin), "
+        f"vhash as (select vw, {s_crc32('vw')} h from (select distinct vw from vword), crc), "
+        f"vsum as (select {keys}, cast(h % {dim} as integer) pos, sum(case when (h >> 16) & 1 = 1 then 1 else -1 end) s from vword join vhash using (vw) group by {keys}, h % {dim}), "
+        f"vnorm as (select {keys}, sqrt(sum(s * s)) n from vsum group by {keys} having sum(s * s) > 0), "
+        f"vec as (select {keys}, pos, s / n x from vsum join vnorm using ({keys}) where s <> 0 union all select {keys}, 0, 1.0 from vin a where not exists (select 1 from vnorm b where {on}))"
+    )
+
+
 S_ASKED = values(ASKED, "a(qid, q)")
 CH = f"""chunks as (select doc_id id, coalesce(text, '') "content", source repo, lang "language", source || '/' || lang || '/doc_' || doc_id || '.txt' file_path,
  coalesce(list_extract({s_tok("text")}, 1), '') function_name, '' parent_class, list_extract(string_split(coalesce(text, ''), chr(10)), 1) signature,

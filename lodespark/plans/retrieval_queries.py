@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, scoring, text
 from ..operators import retrieval as ops
-from .catalog import ASKED, BQ, CH, S_ASKED, TOKS, asked, benchmark_queries, chunks, index, joined, query, rounded, s_any, s_tok, stored, table, tokens
+from .catalog import s_vectors, ASKED, BQ, CH, S_ASKED, TOKS, asked, benchmark_queries, chunks, index, joined, query, rounded, s_any, s_tok, stored, table, tokens
 
 # ---- sparse ---------------------------------------------------------------------------------------
 
@@ -261,7 +261,10 @@ def tk_rerank(spark, d):
     return ops.ranked(rows, 10).select("id", rounded("score").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query()
+_WANTED = "(select list_distinct(string_split_regex(lower(q), '\\s+')) qt from " + S_ASKED + " where qid = 1)"
+
+
+@query(f"with {FUSED} select id, round(len(list_intersect(list_distinct(string_split_regex(lower(\"content\"), '\\s+')), qt))::double / len(qt), 6) score from ordered join (select id, \"content\" from chunks) using (id), {_WANTED} where rank < 20")
 def ml_rerank(spark, d):
     from .models import rerank
 
@@ -436,9 +439,12 @@ def ag_quality_gate(spark, d):
     return ops.quality_gate(_eval(spark, d).agg(rounded(F.avg("recall_5")).alias("recall_5"), rounded(F.avg("mrr")).alias("mrr")))
 
 
-@query(f"with {_EV} select qid, cast(len(list_intersect(list_distinct(string_split(text, ' ')), list_distinct(string_split(q, ' ')))) as integer) shared from bq")
+@query("select a.item_id qid, cast(len(list_intersect(list_distinct(string_split(a.text, ' ')), list_distinct(string_split(b.text, ' ')))) as integer) shared from benchmark a join benchmark b on b.item_id = a.item_id + 1")
 def st_intersect(spark, d):
-    return benchmark_queries(spark, d).select("qid", F.size(F.array_intersect(F.split("text", " "), F.split("q", " "))).alias("shared"))
+    """Words that an item shares with the next one."""
+    items = table(spark, d, "benchmark")
+    after = items.select((F.col("item_id") - 1).alias("item_id"), F.split("text", " ").alias("next"))
+    return items.join(after, "item_id").select(F.col("item_id").alias("qid"), F.size(F.array_intersect(F.split("text", " "), "next")).alias("shared"))
 
 
 @query("select doc_id from documents except select doc_id from labels")
@@ -449,14 +455,18 @@ def st_except(spark, d):
 # ---- models: deterministic stand-ins behind ports -----------------------------------------------------
 
 
-@query("select item_id id, 1.0::double norm from benchmark")
+@query(f"with {s_vectors('select item_id id, text from benchmark', 'id')} select id, pos, round(x, 4) x from vec")
 def emb_model(spark, d):
     from .models import embed
 
-    return embed(table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")).select("id", rounded(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)).alias("norm"))
+    vectors = embed(table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text"))
+    return vectors.select("id", F.posexplode("vec").alias("pos", "x")).where("x <> 0").withColumn("x", rounded(F.col("x").cast("double"), 4))
+
+
+_BOTH = "select doc_id id, 0 k, coalesce(text, '') text from documents union all select doc_id, 1, list_extract(string_split(coalesce(text, ''), chr(10)), 1) from documents"
 
 
-@query()
+@query(f"with {s_vectors(_BOTH, 'id, k')}, dots as (select a.id, sum(a.x * b.x) sim from vec a join vec b on a.id = b.id and a.pos = b.pos and a.k = 0 and b.k = 1 group by a.id) select doc_id id, cast(64 as integer) n, round(coalesce(sim, 0), 4) sim from documents left join dots on id = doc_id")
 def chk_batch_embed(spark, d):
     from .models import embed_pairs
 

@@ -11,7 +11,7 @@ from ..functions import text
 from ..operators import metrics, state
 from ..sources.tables import shared_dir
 from ..streaming import jobs, timed
-from .catalog import CH, TOKS, chunks, joined, query, rounded, table, tokens, values
+from .catalog import s_vectors, CH, TOKS, chunks, joined, query, rounded, table, tokens, values
 
 # ---- snapshots and change feeds ------------------------------------------------------------------------
 
@@ -368,10 +368,12 @@ def sm_late(spark, d):
     """Events more than ten minutes behind the latest of those before them, in order of arrival (a batch view of the late-data rule)."""
     e = table(spark, d, "events")
     day = e.withColumn("bucket", F.expr("event_id div 1000"))
-    top = day.groupBy("bucket").agg(F.max("ts").alias("top"))
-    before = top.withColumn("before", F.max("top").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))).select("bucket", "before")
+    top = day.groupBy("bucket").agg(F.max("ts").alias("top")).withColumn("many", F.expr("bucket div 1000"))
+    earlier = lambda w: F.max("top").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    outer = top.groupBy("many").agg(F.max("top").alias("top")).select("many", earlier(Window.orderBy("many")).alias("outer"))  # a row for a million events
+    before = top.withColumn("inner", earlier(Window.partitionBy("many").orderBy("bucket"))).join(outer, "many").select("bucket", F.greatest("inner", "outer").alias("before"))
     inside = F.max("ts").over(Window.partitionBy("bucket").orderBy("event_id"))
-    rows = day.withColumn("own", inside).join(F.broadcast(before), "bucket").withColumn("w", F.greatest("own", F.coalesce("before", "own")))
+    rows = day.withColumn("own", inside).join(before, "bucket").withColumn("w", F.greatest("own", F.coalesce("before", "own")))
     return rows.groupBy("event_type").agg(F.count_if(F.col("ts") < F.col("w") - F.expr("interval 10 minutes")).alias("late"), F.count("*").alias("n"))
 
 
@@ -438,7 +440,7 @@ def sm_oneshot(spark, d):
     rows.repartition(3, "event_id").write.parquet(f"{base}/in")
     stream = jobs.change_stream(spark, f"{base}/in", rows.schema)
     q = jobs.apply_stream(stream, f"{base}/out", f"{base}/checkpoint", "file", "event_id")
-    q.awaitTermination(300)
+    q.awaitTermination()  # raises if the stream fails
     last = q.lastProgress["batchId"] if q.lastProgress else 0
     return jobs.applied(spark, f"{base}/out", last).select("file", "event_id", rounded("value").alias("value"))
 
@@ -571,8 +573,9 @@ def src_head_poll(spark, d):
     return _tree(spark).groupBy("poll").agg(F.count("*").alias("n"))
 
 
-@query("select conv_id, turn, cast(64 as integer) n from conversations")
+@query(f"with {s_vectors('select conv_id, turn, text from conversations', 'conv_id, turn')} select conv_id, turn, pos, round(x, 4) x from vec")
 def ml_embed(spark, d):
     from .models import embed
 
-    return embed(table(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("id"), "text")).select("id.conv_id", "id.turn", F.size("vec").alias("n"))
+    vectors = embed(table(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("id"), "text"))
+    return vectors.select("id.*", F.posexplode("vec").alias("pos", "x")).where("x <> 0").withColumn("x", rounded(F.col("x").cast("double"), 4))
