@@ -64,8 +64,13 @@ def index_tables(tokens: DataFrame, buckets: int = 64) -> dict[str, DataFrame]:
     counted = tokens.select("id", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("term", "id", "len").agg(F.count("*").alias("tf"))
     terms = counted.groupBy("term").agg(F.count("*").alias("df"))
     stats = corpus_stats(tokens)
+    return {"postings": counted.select("term", "id", "tf", "len", bucket), "terms": terms.select("term", "df", bucket), "stats": with_floor(stats, terms)}
+
+
+def with_floor(stats: DataFrame, terms: DataFrame) -> DataFrame:
+    """The one row of totals with the mean idf over all terms."""
     floor = terms.crossJoin(F.broadcast(stats)).agg(F.avg(_okapi_raw(F.col("n"), F.col("df"))).alias("floor"))
-    return {"postings": counted.select("term", "id", "tf", "len", bucket), "terms": terms.select("term", "df", bucket), "stats": stats.crossJoin(F.broadcast(floor))}
+    return stats.crossJoin(F.broadcast(floor))
 
 
 def _okapi_raw(n: Column, df: Column) -> Column:

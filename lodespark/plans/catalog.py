@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable
 
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
+from ..operators import retrieval
 from ..sources.tables import load_index, persist_index, shared_dir, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,21 +165,30 @@ def tokens(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(F.col("doc_id").alias("id"), text.tokenize(F.col("text")).alias("t"))
 
 
-#: Stored indexes and chunk tables by session, folder and the state of its documents.
+#: Stored indexes and chunk tables that this session has opened.
 _stored: dict[tuple, tuple[dict, DataFrame]] = {}
-BUCKETS = 64
+#: Buckets of an index, and the version of its layout.
+BUCKETS, LAYOUT = 64, 2
 
 
 def stored(spark: SparkSession, d: str) -> tuple[dict, DataFrame]:
-    """The sparse index and the chunk table of the whole of `documents` in the shared folder, written by the first search of a session."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/documents.parquet")
-    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    key = (spark.sparkContext.applicationId, d, fs.getContentSummary(at).getLength(), fs.getFileStatus(at).getModificationTime())
+    """The sparse index and the chunk table of the whole of `documents`, in the shared folder under the name of the documents' state.
+
+    The first search over a state writes them, in a folder of its own that gets the name when it is whole; later ones, of later sessions too, read them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    at = path(f"{d}/documents.parquet")
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    state = (LAYOUT, BUCKETS, at.toString(), files.getContentSummary(at).getLength(), files.getFileStatus(at).getModificationTime())
+    root = f"{shared_dir(spark)}/lodespark/index-{hashlib.sha256(repr(state).encode()).hexdigest()[:24]}"
+    key = (spark.sparkContext.applicationId, root)
     if key not in _stored:
-        root = f"{shared_dir(spark)}/lodespark/index-{uuid.uuid4().hex}"
-        persist_index(tokens(spark, d), root, BUCKETS)
-        rows = chunks(spark, d)
-        rows.sortWithinPartitions("id").write.parquet(f"{root}/chunks")
+        rows, shared = chunks(spark, d), path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+        if not shared.exists(path(root)):
+            own = f"{root}-{uuid.uuid4().hex}"
+            persist_index(tokens(spark, d), own, BUCKETS)
+            rows.sortWithinPartitions("id").write.parquet(f"{own}/chunks")
+            if shared.exists(path(root)) or not shared.rename(path(own), path(root)):  # another session was first
+                shared.delete(path(own), True)
         _stored[key] = ({**load_index(spark, root), "buckets": BUCKETS}, spark.read.schema(rows.schema).parquet(f"{root}/chunks"))
     return _stored[key]
 

@@ -194,3 +194,19 @@ def test_engine(spark, sf):
     assert engine.rerank(hits, "the and", 5).count() == 5
     assert engine.upsert_chunks(c.where("id = 1")).chunks.count() == c.count()
     assert engine.delete_file(c.first().file_path).chunks.count() == c.count() - 1
+
+
+def test_a_stored_index_is_written_once(spark, sf, monkeypatch):
+    """A second session over the same documents reads what the first has written."""
+    from lodespark.plans import catalog
+
+    first, rows = catalog.stored(spark, sf)
+    want = sorted(map(tuple, first["terms"].collect()))
+    catalog._stored.clear()
+    monkeypatch.setattr(catalog, "persist_index", None)  # would fail
+    again, chunks = catalog.stored(spark, sf)
+    assert sorted(map(tuple, again["terms"].collect())) == want and chunks.count() == rows.count()
+    made = sorted(map(tuple, catalog.retrieval.index_tables(catalog.tokens(spark, sf))["terms"].select("term", "df", "bucket").collect()))
+    assert want == made
+    stats, told = again["stats"].first().asDict(), catalog.retrieval.index_tables(catalog.tokens(spark, sf))["stats"].first().asDict()
+    assert stats == pytest.approx({k: told[k] for k in stats})
