@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import math
-import re
 import sys
 import uuid
 from collections.abc import Iterator
@@ -17,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ..sources.tables import spread
+from ..sources.tables import shared_dir, spread
 
 U64 = np.uint64
 #: Odd multipliers of the polynomial and of the finaliser.
@@ -38,16 +37,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(rows) if name in ("documents", "pages") else rows
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Where it is unset, one of our own if the executors are in this process, else an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file:///tmp/checkpoints/lodespark"
-    return found.rstrip("/")
-
-
 _recorders: list[list[str]] = []
 
 

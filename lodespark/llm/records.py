@@ -14,6 +14,10 @@ Documents are range-partitioned by doc_id (nulls first; equal ids by text), so s
 writes its own file pair under a name of its own; the manifest, committed by Spark's Parquet writer, names only files of
 tasks that ended well, so a retried task leaves an unnamed file behind and nothing else. Files go through
 pyarrow.fs, into the shared folder.
+
+Defined results: a null or empty text is a record of the end id alone. Rows without a doc_id come first and say so in their record; rows that repeat a doc_id are
+records of their own, ordered by text. A text of any length is one record. An empty table writes no shard and reads back as no rows. Other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations

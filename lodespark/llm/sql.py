@@ -1,18 +1,9 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-
-#: Of the table crc_of(b), bytes 0 to 255, and of a string's crc32: eight steps of the polynomial for each byte, as a list that is looked up byte by byte.
-_STEP = "list_reduce(list_prepend(b, range(8)), lambda c, _: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)"
-CRC_TABLE = f"select list({_STEP} order by b) crc_of from range(256) t(b)"
-
-
-def crc32(column: str) -> str:
-    """crc32 of a string column, with crc_of in scope."""
-    byte = f"cast('0x' || substr(hex(encode({column})), 2 * i + 1, 2) as bigint)"
-    taken = f"list_prepend(4294967295, list_transform(range(octet_length(encode({column}))), lambda i: {byte}))"
-    return f"xor(list_reduce({taken}, lambda c, x: xor(c >> 8, list_extract(crc_of, (xor(c, x) & 255) + 1))), 4294967295)"
+from ..plans.catalog import S_CRC_TABLE as CRC_TABLE
+from ..plans.catalog import s_crc32 as crc32
 
+LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES: dict[str, str] = {
     "op10_suffix_dedup": r"""
