@@ -170,7 +170,7 @@ def knn(vectors: DataFrame, asked: DataFrame, k: int, exclude_self: bool = False
 
 def _knn_block(vectors: DataFrame, asked: pa.Table, kind: str, k: int, exclude_self: bool) -> DataFrame:
     qids = asked.column("qid").combine_chunks()
-    q = np.array(asked.column("qv").to_pylist(), np.float64).reshape(len(qids), -1)
+    q = np.array(asked.column("qv").to_pylist(), np.float64).reshape(len(qids), -1) if len(qids) else np.zeros((0, 0))
     own = vectors.sparkSession.sparkContext.broadcast((qids, q))
 
     def run(batches):
@@ -201,6 +201,30 @@ def _knn_block(vectors: DataFrame, asked: pa.Table, kind: str, k: int, exclude_s
     return vectors.select("id", "v").mapInArrow(run, f"qid {kind}, id {id_kind}, score double")
 
 
+def byte_scale(vectors: DataFrame, share: float = 0.99) -> float:
+    """The magnitude that `share` of all components of the table do not exceed: what becomes 127."""
+    found = vectors.select(F.explode("v").alias("x")).agg(F.percentile_approx(F.abs("x"), share, 10_000)).first()[0]
+    return float(found or 1.0)
+
+
+def to_bytes(v: Column, scale: Column | float) -> Column:
+    """Components as whole numbers from -127 to 127; larger ones are clipped."""
+    return F.transform(v, lambda x: F.round(F.greatest(F.lit(-127.0), F.least(F.lit(127.0), x / scale * 127.0))).cast("tinyint"))
+
+
+def knn_bytes(stored: DataFrame, asked: DataFrame, k: int, over: int = 4) -> DataFrame:
+    """As knn, over a stored table (id, v, bytes, scale): `over` x k candidates by products of whole numbers, a quarter of the bytes to read, then scored by their own vectors.
+
+    Exact but for neighbours that rank beyond `over` x k by bytes; knn is the exact search."""
+    scale = stored.select("scale").first()
+    if scale is None:
+        return knn(stored.select("id", "v"), asked, k)
+    near = knn(stored.select("id", F.col("bytes").alias("v")), asked.select("qid", to_bytes(F.col("qv"), scale[0]).alias("qv")), k * over)
+    own = near.select("qid", "id").join(stored.select("id", "v"), "id").join(asked, "qid")
+    dot = F.aggregate(F.zip_with("v", "qv", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda total, x: total + x)
+    return ranked(own.select("qid", "id", F.round(dot, 6).alias("score")), k)
+
+
 # ---- fusion ---------------------------------------------------------------------------------------
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, scoring, text
 from ..operators import retrieval as ops
-from .catalog import s_vectors, ASKED, BQ, CH, S_ASKED, TOKS, asked, benchmark_queries, chunks, index, joined, query, rounded, s_any, s_tok, stored, table, tokens
+from ..sources.tables import ensure_vectors, shared_dir
+from .catalog import ASKED, BQ, CH, S_ASKED, TOKS, asked, benchmark_queries, chunks, index, joined, query, rounded, s_any, s_tok, s_vectors, stored, table, tokens
 
 # ---- sparse ---------------------------------------------------------------------------------------
 
@@ -116,6 +119,13 @@ def jn_knn(spark, d):
     return _out(_dense(spark, d))
 
 
+@query(_dense_sql(10))
+def src_vec_ensure(spark, d):
+    """The stored vectors with their bytes, searched by bytes and scored by vectors."""
+    stored = ensure_vectors(vectors(spark, d), f"{shared_dir(spark)}/lodespark/vectors-{uuid.uuid4().hex}")
+    return _out(ops.knn_bytes(stored, _wanted(spark, d), 10))
+
+
 @query(_dense_sql(25))
 def tk_dense(spark, d):
     return _out(_dense(spark, d, 25))

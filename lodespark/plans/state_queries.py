@@ -11,7 +11,7 @@ from ..functions import text
 from ..operators import metrics, state
 from ..sources.tables import shared_dir
 from ..streaming import jobs, timed
-from .catalog import s_vectors, CH, TOKS, chunks, joined, query, rounded, table, tokens, values
+from .catalog import CH, TOKS, chunks, joined, query, rounded, s_vectors, table, tokens, values
 
 # ---- snapshots and change feeds ------------------------------------------------------------------------
 

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import retrieval
 
@@ -42,6 +43,20 @@ def ensure(spark: SparkSession, root: str, name: str) -> DataFrame:
         return spark.read.schema(SCHEMAS[name]).parquet(f"{root}/{name}")
 
 
+def ensure_vectors(vectors: DataFrame, root: str) -> DataFrame:
+    """The table of (id, v) with v as bytes beside it and their scale, written where it is missing."""
+    schema = T.StructType([vectors.schema["id"], vectors.schema["v"], T.StructField("bytes", T.ArrayType(T.ByteType())), T.StructField("scale", T.DoubleType())])
+    spark = vectors.sparkSession
+    try:
+        return spark.read.schema(schema).parquet(f"{root}/vectors")
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    scale = F.lit(retrieval.byte_scale(vectors))
+    vectors.where("v is not null").select("id", "v", retrieval.to_bytes(F.col("v"), scale).alias("bytes"), scale.alias("scale")).write.parquet(f"{root}/vectors")
+    return spark.read.schema(schema).parquet(f"{root}/vectors")
+
+
 def push_jobs(jobs: DataFrame, root: str) -> None:
     """Appends change jobs to the queue folder; a stream over it reads each once, and its checkpoint acknowledges."""
     jobs.selectExpr("file_path", "change_type", "commit_sha").write.mode("append").parquet(f"{root}/jobs")

@@ -210,3 +210,27 @@ def test_a_stored_index_is_written_once(spark, sf, monkeypatch):
     assert want == made
     stats, told = again["stats"].first().asDict(), catalog.retrieval.index_tables(catalog.tokens(spark, sf))["stats"].first().asDict()
     assert stats == pytest.approx({k: told[k] for k in stats})
+
+
+def test_search_by_bytes_finds_what_exact_search_finds(spark, tmp_path):
+    from lodespark.operators import retrieval
+
+    rng = random.Random(6)
+
+    def unit():
+        v = [rng.gauss(0, 1) * (5 if rng.random() < 0.02 else 1) for _ in range(32)]  # some components beyond the scale
+        n = sum(x * x for x in v) ** 0.5
+        return [x / n for x in v]
+
+    rows = [(i, unit()) for i in range(1200)] + [(5000, None)]
+    vectors = spark.createDataFrame(rows, "id long, v array<float>")
+    asked = vectors.where("id % 50 = 0").selectExpr("id qid", "v qv")
+    stored = tables.ensure_vectors(vectors, f"{tmp_path}/t")
+    assert tables.ensure_vectors(vectors.limit(0), f"{tmp_path}/t").count() == stored.count() == 1200  # written once
+    found, exact = ({(r.qid, r.id) for r in df.collect()} for df in (retrieval.knn_bytes(stored, asked, 10), retrieval.knn(vectors, asked, 10)))
+    assert len(exact) == 240 and len(found & exact) >= 0.9 * len(exact)
+    coarse = {(r.qid, r.id) for r in retrieval.knn_bytes(stored, asked, 10, over=1).collect()}
+    assert len(coarse & exact) <= len(found & exact)
+    none = tables.ensure_vectors(vectors.limit(0), f"{tmp_path}/none")
+    assert retrieval.knn_bytes(none, asked, 10).count() == 0
+    assert retrieval.knn_bytes(stored, asked.limit(0), 10).count() == 0
