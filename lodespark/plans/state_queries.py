@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import metrics, state
 from ..sources.tables import shared_dir
-from ..streaming import jobs, timed
+from ..streaming import jobs, sink, timed
 from .catalog import CH, TOKS, chunks, joined, query, rounded, s_vectors, table, tokens, values
 
 # ---- snapshots and change feeds ------------------------------------------------------------------------
@@ -579,3 +579,29 @@ def ml_embed(spark, d):
 
     vectors = embed(table(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("id"), "text"))
     return vectors.select("id.*", F.posexplode("vec").alias("pos", "x")).where("x <> 0").withColumn("x", rounded(F.col("x").cast("double"), 4))
+
+
+_BOUNDS = [1, 5, 20, 100]
+
+
+@query(
+    "with e as (select event_type label, \"value\" v from events where event_type in ('click', 'error', 'purchase', 'signup', 'view')), "
+    "m as (select 'count' metric, label, count(*)::double x from e group by label union all select 'sum', label, sum(v) from e group by label "
+    + " ".join(f"union all select 'le_{b}', label, count(*) filter (v <= {b})::double from e group by label" for b in _BOUNDS)
+    + ') select metric, label, round(x, 4) "value" from m'
+)
+def snk_metrics(spark, d):
+    """Events as a stream whose metrics a listener writes to a table, and the totals of that table."""
+    base, name = f"{shared_dir(spark)}/lodespark/metrics-{uuid.uuid4().hex}", f"metrics_{uuid.uuid4().hex}"
+    rows = table(spark, d, "events").select("event_id", "event_type", "value")
+    rows.repartition(3, "event_id").write.parquet(f"{base}/in")
+    listener = sink.MetricsSink(spark, base, {name})
+    spark.streams.addListener(listener)
+    try:
+        events = sink.counted(jobs.change_stream(spark, f"{base}/in", rows.schema), "event_type", ["click", "error", "purchase", "signup", "view"], F.col("value"), _BOUNDS)
+        q = events.writeStream.queryName(name).format("noop").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+        q.awaitTermination()
+        spark._jsparkSession.sparkContext().listenerBus().waitUntilEmpty()
+    finally:
+        spark.streams.removeListener(listener)
+    return sink.totals(spark, base).select("metric", "label", rounded("value", 4).alias("value"))
