@@ -450,7 +450,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, as_text: bool = False) ->
     entries = blocks.select("block", F.explode(F.arrays_zip("h", "many")).alias("e")).select("block", "e.h", "e.many")
     repeated = entries.groupBy("h").agg(F.count("*").alias("n"), F.max("many").alias("many")).where("n > 1 or many").select("h")
     hits = entries.select("block", "h").join(repeated, "h", "left_semi")
-    n = partitions_for(docs, 64 << 20)
+    n = partitions_for(docs, 24 << 20)
     sample = blocks.select(F.explode("sample").alias("s")).orderBy(F.xxhash64("s")).limit(SAMPLE)
     prefixes = sorted({bytes(r.s) for r in sample.collect()})
     splitters = [prefixes[len(prefixes) * k // n] for k in range(1, n)] if len(prefixes) > n else prefixes
