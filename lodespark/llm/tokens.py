@@ -29,7 +29,7 @@ _EDGE = re.compile("(?<=[^\\s\x1c-\x1f\x85\u200b\ufeff]) (?=[^\\s\x1c-\x1f\x85\u
 #: Characters whose classes no Unicode version disputes.
 _COMMON = re.compile("[\t\n\r -~\xa1-\u024f]*")
 #: Entries of a generation; the one before it is kept too, so what is frequent stays known.
-REMEMBERED = 250_000
+REMEMBERED = 100_000
 
 
 class Memo(dict):
