@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import metrics, state
 from ..sources.tables import shared_dir
-from ..streaming import jobs, sink, timed
+from ..streaming import jobs, keyed, sink, timed
 from .catalog import CH, TOKS, chunks, joined, query, rounded, s_vectors, table, tokens, values
 
 # ---- snapshots and change feeds ------------------------------------------------------------------------
@@ -441,8 +441,7 @@ def sm_oneshot(spark, d):
     stream = jobs.change_stream(spark, f"{base}/in", rows.schema)
     q = jobs.apply_stream(stream, f"{base}/out", f"{base}/checkpoint", "file", "event_id")
     q.awaitTermination()  # raises if the stream fails
-    last = q.lastProgress["batchId"] if q.lastProgress else 0
-    return jobs.applied(spark, f"{base}/out", last).select("file", "event_id", rounded("value").alias("value"))
+    return keyed.KeyedTable(spark, f"{base}/out", rows.schema, "file", "event_id").current().select("file", "event_id", rounded("value").alias("value"))
 
 
 # ---- files and parsers ------------------------------------------------------------------------------------------

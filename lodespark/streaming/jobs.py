@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import state
+from .keyed import KeyedTable
 
 
 def change_stream(spark: SparkSession, path: str, schema: str | T.StructType, files_per_batch: int = 1) -> DataFrame:
@@ -23,28 +23,19 @@ def json_jobs(lines: DataFrame) -> DataFrame:
     return lines.select(own.alias("j")).where("j.file_path is not null and j.change_type in ('A', 'M', 'D')").select("j.*")
 
 
-def apply_stream(changes: DataFrame, target: str, checkpoint: str, key: str, order: str, once: bool = True):
-    """Keeps the Parquet table at target/v<batch> up to date with a stream of rows with `key`, `change` and `order`. Starts the query.
+def apply_stream(changes: DataFrame, target: str, checkpoint: str, key: str, order: str, once: bool = True, **options):
+    """Keeps the KeyedTable at `target` up to date with a stream of rows with `key`, `change` and `order`. Starts the query.
 
-    The change with the greatest `order` of each key counts, in whatever order changes arrive; deletes stay as marks, so a
-    late change does not bring a row back. Each batch reads the version before it and writes its own, so a batch that runs
-    twice gives the same table."""
+    A batch rewrites only the buckets of its keys, and one that runs twice gives the same table (see keyed.py, also for `options`)."""
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in changes.schema])
 
     def step(batch: DataFrame, number: int) -> None:
-        rows = batch
-        if number:
-            rows = batch.sparkSession.read.parquet(f"{target}/v{number - 1}").unionByName(batch)
-        state.latest(rows, [key], [F.desc(order)]).write.mode("overwrite").parquet(f"{target}/v{number}")
+        KeyedTable(batch.sparkSession, target, schema, key, order, **options).apply(batch, number)
 
     writer = changes.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="30 seconds")).start()
 
 
-def applied(spark: SparkSession, target: str, batch: int) -> DataFrame:
-    """The table after a batch, without deleted rows."""
-    return spark.read.parquet(f"{target}/v{batch}").where("change <> 'D'")
-
-
 def windowed(events: DataFrame, late: str = "10 minutes", width: str = "5 minutes", slide: str | None = None) -> DataFrame:
     """Counts and sums per window and type; events later than `late` are dropped."""
     win = F.window("ts", width, slide) if slide else F.window("ts", width)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodespark.functions import fixed, queries, scoring, text
 from lodespark.sources import files, git, tables
-from lodespark.streaming import jobs
+from lodespark.streaming import jobs, keyed
 
 ALPHABET = list("abcXYZ_/.-09 :\n\t\"'()[]{}|,;é") + ["test_", "service", "api", "  ", "flow", "how does "]
 
@@ -127,7 +127,7 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     rows.repartitionByRange(4, "event_id").write.parquet(f"{tmp_path}/in")
     q = jobs.apply_stream(jobs.change_stream(spark, f"{tmp_path}/in", rows.schema), f"{tmp_path}/out", f"{tmp_path}/ck", "file", "event_id")
     q.awaitTermination(120)
-    got = sorted(map(tuple, jobs.applied(spark, f"{tmp_path}/out", q.lastProgress["batchId"]).select("file", "event_id", "value").collect()))
+    got = sorted(map(tuple, keyed.KeyedTable(spark, f"{tmp_path}/out", rows.schema, "file", "event_id").current().select("file", "event_id", "value").collect()))
     last = state.latest(rows, ["file"], [F.desc("event_id")]).where("change <> 'D'").select("file", "event_id", "value")
     assert got == sorted(map(tuple, last.collect()))
 
