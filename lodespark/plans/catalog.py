@@ -165,34 +165,44 @@ def tokens(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(F.col("doc_id").alias("id"), text.tokenize(F.col("text")).alias("t"))
 
 
-#: Stored indexes and chunk tables that this session has opened.
-_stored: dict[tuple, tuple[dict, DataFrame]] = {}
+#: Stored indexes and chunk tables, and stored graphs, that this session has opened.
+_stored: dict[tuple, object] = {}
 #: Buckets of an index, and the version of its layout.
 BUCKETS, LAYOUT = 64, 2
 
 
-def stored(spark: SparkSession, d: str) -> tuple[dict, DataFrame]:
-    """The sparse index and the chunk table of the whole of `documents`, in the shared folder under the name of the documents' state.
+def kept(spark: SparkSession, d: str, name: str, kind: str, write: Callable[[str], None], load: Callable[[str], object]):
+    """What `write` makes of a whole table, in the shared folder under the name of the table's state, as `load` reads it.
 
-    The first search over a state writes them, in a folder of its own that gets the name when it is whole; later ones, of later sessions too, read them."""
+    The first use of a state writes it, in a folder of its own that gets the name when it is whole; later ones, of later sessions too, read it."""
     path = spark._jvm.org.apache.hadoop.fs.Path
-    at = path(f"{d}/documents.parquet")
+    at = path(f"{d}/{name}.parquet")
     files = at.getFileSystem(spark._jsc.hadoopConfiguration())
     state = (LAYOUT, BUCKETS, at.toString(), files.getContentSummary(at).getLength(), files.getFileStatus(at).getModificationTime())
-    root = f"{shared_dir(spark)}/lodespark/index-{hashlib.sha256(repr(state).encode()).hexdigest()[:24]}"
+    root = f"{shared_dir(spark)}/lodespark/{kind}-{hashlib.sha256(repr(state).encode()).hexdigest()[:24]}"
     key = (spark.sparkContext.applicationId, root)
     if key not in _stored:
-        rows, shared = chunks(spark, d), path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+        shared = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
         if not shared.exists(path(root)):
             own = f"{root}-{uuid.uuid4().hex}"
-            persist_index(tokens(spark, d), own, BUCKETS)
-            rows.sortWithinPartitions("id").write.parquet(f"{own}/chunks")
+            write(own)
             if shared.exists(path(root)) or not shared.rename(path(own), path(root)):  # another session was first
                 shared.delete(path(own), True)
-        _stored[key] = ({**load_index(spark, root), "buckets": BUCKETS}, spark.read.schema(rows.schema).parquet(f"{root}/chunks"))
+        _stored[key] = load(root)
     return _stored[key]
 
 
+def stored(spark: SparkSession, d: str) -> tuple[dict, DataFrame]:
+    """The sparse index and the chunk table of the whole of `documents`."""
+    rows = chunks(spark, d)
+
+    def write(root: str) -> None:
+        persist_index(tokens(spark, d), root, BUCKETS)
+        rows.sortWithinPartitions("id").write.parquet(f"{root}/chunks")
+
+    return kept(spark, d, "documents", "index", write, lambda root: ({**load_index(spark, root), "buckets": BUCKETS}, spark.read.schema(rows.schema).parquet(f"{root}/chunks")))
+
+
 def index(spark: SparkSession, d: str) -> dict:
     return stored(spark, d)[0]
 

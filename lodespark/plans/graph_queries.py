@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import graph
 from ..operators.retrieval import bounded
-from .catalog import CH, chunks, query, table
+from ..sources import adjacency
+from .catalog import BUCKETS, CH, chunks, kept, query, table
 from .retrieval_queries import FUSED, ordered
 
 CALLS = "calls as (select distinct l_partkey src, nxt dst from (select l_partkey, lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) nxt from lineitem) where nxt is not null)"
@@ -19,6 +20,12 @@ def calls(spark, d):
     return table(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst")).where("dst is not null").distinct()
 
 
+def call_graph(spark, d) -> adjacency.Adjacency:
+    """The stored graph of all calls."""
+    rows = calls(spark, d)
+    return kept(spark, d, "lineitem", "graph", lambda root: adjacency.persist_graph(rows, root, BUCKETS), lambda root: adjacency.load_graph(rows, root, BUCKETS))
+
+
 def _edges(spark, d):
     return calls(spark, d).withColumn("type", F.lit("CALLS")).withColumn("line", F.lit(None).cast("int"))
 
@@ -98,7 +105,7 @@ def jn_neighbors(spark, d):
 
 @query(f"with {CALLS}, n as (select distinct id, neighbor from (select src id, dst neighbor from calls where src in {_START} union select dst, src from calls where dst in {_START})) select id, neighbor from n order by id, neighbor limit 50")
 def gr_neighbors(spark, d):
-    return graph.neighbors(_edges(spark, d), _start(spark)).select("id", "neighbor").distinct().orderBy("id", "neighbor").limit(50)
+    return call_graph(spark, d).neighbors(_start(spark)).orderBy("id", "neighbor").limit(50)
 
 
 @query(f"with {CALLS} select src, dst from calls order by src, dst limit 200")
@@ -109,23 +116,29 @@ def lm_graph(spark, d):
 REACH = f"{CALLS}, l1 as (select distinct dst id from calls where src in {_START}), l2 as (select distinct dst id from calls where src in (select id from l1)), seen as (select id, min(level) level from (select id, 1 level from l1 union all select id, 2 from l2 union all select distinct src, 0 from calls where src in {_START}) group by id)"
 
 
+@query(f"with {CALLS} select id, cast(sum(o) as bigint) callees, cast(sum(i) as bigint) callers from (select src id, 1 o, 0 i from calls union all select dst, 0, 1 from calls) group by id")
+def src_graph_index(spark, d):
+    """How many calls leave and enter every node of the stored graph, each counted on its own side."""
+    return call_graph(spark, d).degrees()
+
+
 @query(f"with {REACH} select id, level from seen")
 def gr_call_graph(spark, d):
-    return graph.reach(calls(spark, d), _start(spark), 2)
+    return call_graph(spark, d).reach(_start(spark), 2)
 
 
 @query(f"with {REACH} select c.src, c.dst from calls c where (c.src in (select id from seen where level = 0) and c.dst in (select id from l1)) or (c.src in (select id from l1))")
 def gr_call_graph_go(spark, d):
     """Edges on the paths: out of the start and of what one step reaches."""
-    c, start = calls(spark, d), _start(spark)
-    one = c.join(start.withColumnRenamed("id", "src"), "src", "left_semi")
-    return one.unionByName(c.join(one.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")).distinct()
+    c = call_graph(spark, d)
+    one = c.hop(_start(spark))
+    return one.unionByName(c.hop(one.select(F.col("dst").alias("id")))).distinct()
 
 
 @query(f"with {REACH} select count(*) n, cast(sum(src) as bigint) s from calls where src in (select id from seen) or dst in (select id from seen)")
 def gr_expand(spark, d):
-    c = calls(spark, d)
-    return graph.touching(c, graph.reach(c, _start(spark), 2)).agg(F.count("*").alias("n"), F.sum("src").alias("s"))
+    c = call_graph(spark, d)
+    return c.touching(c.reach(_start(spark), 2)).agg(F.count("*").alias("n"), F.sum("src").alias("s"))
 
 
 @query(f"with {GC}, {EDGES} select src, dst, type from edges where src = (select min(src) from edges) or dst = (select min(src) from edges) order by src, dst, type limit 100")
@@ -243,5 +256,5 @@ def jn_optional(spark, d):
 def jn_graph_anti(spark, d):
     """Neighbours of the first 20 hits that are not hits themselves."""
     first, _ = bounded(ordered(spark, d, 20).select("id"))
-    near = calls(spark, d).join(first, F.col("src") == F.col("id")).select("id", F.col("dst").alias("neighbor")).distinct()
+    near = call_graph(spark, d).hop(first).select(F.col("src").alias("id"), F.col("dst").alias("neighbor"))
     return near.join(first.select(F.col("id").alias("neighbor")), "neighbor", "left_anti").select("id", "neighbor")
