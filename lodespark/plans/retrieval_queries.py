@@ -121,7 +121,7 @@ def jn_knn(spark, d):
 
 @query(_dense_sql(10))
 def src_vec_ensure(spark, d):
-    """The stored vectors with their bytes, searched by bytes and scored by vectors."""
+    """The stored vectors with their bytes: bounds by bytes, scores by vectors."""
     stored = ensure_vectors(vectors(spark, d), f"{shared_dir(spark)}/lodespark/vectors-{uuid.uuid4().hex}")
     return _out(ops.knn_bytes(stored, _wanted(spark, d), 10))
 
