@@ -168,7 +168,7 @@ def tokens(spark: SparkSession, d: str) -> DataFrame:
 #: Stored indexes and chunk tables, and stored graphs, that this session has opened.
 _stored: dict[tuple, object] = {}
 #: Buckets of an index, and the version of its layout.
-BUCKETS, LAYOUT = 64, 2
+BUCKETS, LAYOUT = 64, 3
 
 
 def kept(spark: SparkSession, d: str, name: str, kind: str, write: Callable[[str], None], load: Callable[[str], object]):
