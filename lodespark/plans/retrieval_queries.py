@@ -161,8 +161,8 @@ fused as (select qid, id, ds / max(ds) over () dense, ss / max(ss) over () spars
 
 def _lists(spark, d):
     s, v = _sparse(spark, d), _dense(spark, d)
-    part = lambda df, q, side, w: df.where(F.col("qid") == q).select(F.lit(1).alias("qid"), "id", F.lit(side).alias("side"), "rank", F.lit(w).alias("weight"))
-    return part(s, 1, "sparse", 1.0).unionByName(part(v, 50, "dense", 1.0)).unionByName(part(v, 100, "dense", 0.8)).unionByName(part(s, 4, "sparse", 0.75))
+    part = lambda df, side, one, other, w: df.where(F.col("qid").isin(one, other)).select(F.lit(1).alias("qid"), "id", F.lit(side).alias("side"), "rank", F.when(F.col("qid") == one, 1.0).otherwise(w).alias("weight"))
+    return part(s, "sparse", 1, 4, 0.75).unionByName(part(v, "dense", 50, 100, 0.8))
 
 
 @query(f"with {LISTS} select side, id, rank from lists where weight = 1")
