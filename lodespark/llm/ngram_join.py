@@ -15,7 +15,8 @@ key by itself.
 Similar documents meet on many keys; buckets of the same members count once. Buckets are not expanded into all pairs. Each is
 first joined to one member, then to another one where its members are not connected yet; a last join gives only pairs
 of different components that the sketches cannot tell apart, so no link between components is lost and links inside a component
-are not needed again. It compares by narrow sketches, with a large bucket in parts of PART members, each a task's; the wide sketch is fetched for what is left.
+are not needed again. It compares by narrow sketches and then by wide ones inside the join, with a large bucket in parts of PART members, each a task's:
+texts of a family that is alike but not linked meet on many keys, so pairs that narrow sketches of long texts let pass would leave it as the square of the family.
 
 Equal sets are one node, named by a 64-bit hash of the set (two different sets of n documents fall together with a
 chance of about n^2 / 2^65); one row stands for each node, found again by its doc_id and a hash of its text, so rows without an id
@@ -328,14 +329,15 @@ def _near(a: str, b: str, percent: int) -> Column:
 
 
 def _pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of a bucket's members (key, comp, m without the wide sketch) in different components that may link.
+    """Pairs (a, b) of a bucket's members (key, comp, m, with the wide sketch or without) in different components that may link; a pair may come from several buckets.
 
     A bucket of more than PART members is dealt to as many tasks as it has parts of that size: each meets one part with all members."""
+    may_link = _possible if "wide" in members.schema["m"].dataType.names else _near
     size = members.groupBy("key").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     own = members.join(size, "key")
     x = own.select("key", F.pmod(F.xxhash64("m.node"), F.col("parts")).cast("int").alias("part"), F.col("m").alias("x"), F.col("comp").alias("x_comp"))
     y = own.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("m").alias("y"), F.col("comp").alias("y_comp"))
-    on = (x["key"] == y["key"]) & (x["part"] == y["part"]) & (F.col("x.node") < F.col("y.node")) & (F.col("x_comp") != F.col("y_comp")) & _near("x", "y", percent)
+    on = (x["key"] == y["key"]) & (x["part"] == y["part"]) & (F.col("x.node") < F.col("y.node")) & (F.col("x_comp") != F.col("y_comp")) & may_link("x", "y", percent)
     return x.join(y, on).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
@@ -413,7 +415,7 @@ def _link(docs: DataFrame, k: int, percent: int, own: Scratch) -> DataFrame:
                 hub = members.groupBy("key").agg(F.min_by(F.struct("node", "comp"), F.xxhash64("node", "key")).alias("h"))
                 edges = possible(members.join(hub, "key").where("h.comp <> comp").select(F.col("h.node").alias("a"), F.col("node").alias("b")))
             else:
-                edges = possible(_pairs(members.join(nodes.select("node", F.col("m").dropFields("wide").alias("m")), "node"), percent))
+                edges = _pairs(members.join(nodes.select("node", "m"), "node"), percent).distinct()
         edges = own.keep(edges, "edges")
         if edges.isEmpty():
             continue

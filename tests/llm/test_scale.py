@@ -145,6 +145,26 @@ def test_pairs_of_a_bucket_in_parts(spark, monkeypatch):
     assert len(want) > 100
 
 
+def test_pairs_of_long_texts_need_equal_wide_sketches(spark, monkeypatch):
+    """A family of long sets, alike but not linked, gives the pairs that link and no others: narrow sketches of long sets tell nothing."""
+    from lodespark.llm import ngram_join
+
+    rng = np.random.default_rng(7)
+    common = rng.integers(0, 2**63, 1200).astype(np.uint64)
+    all_sets = [np.unique(np.concatenate([common, rng.integers(0, 2**63, 400).astype(np.uint64)])) for _ in range(24)]
+    all_sets += [np.unique(np.append(s[:-40], rng.integers(0, 2**63, 40).astype(np.uint64))) for s in all_sets[:3]]
+    first = np.append(0, np.cumsum([len(s) for s in all_sets]))
+    node, narrow = ngram_join.named(np.concatenate(all_sets), first)
+    bits, begin = ngram_join.wide(np.concatenate(all_sets), first)
+    node, narrow, bits = node.view(np.int64), narrow.view(np.int64), bits.view(np.int64)
+    rows = [(1, int(node[i]), (int(node[i]), len(all_sets[i]), *(int(w[i]) for w in narrow), bits[begin[i] : begin[i + 1]].tolist())) for i in range(len(all_sets))]
+    members = spark.createDataFrame(rows, "key int, comp long, m struct<node:long,n:int,s0:long,s1:long,s2:long,s3:long,wide:array<long>>")
+    want = sorted(tuple(sorted((int(node[i]), int(node[24 + i])))) for i in range(3))
+    for part in (2000, 5):
+        monkeypatch.setattr(ngram_join, "PART", part)
+        assert sorted(tuple(r) for r in ngram_join._pairs(members, 85).collect()) == want
+
+
 def test_columns_of_any_name(spark):
     """Names that are no identifiers, at the top and inside a struct, come out as they went in."""
     import corpus_pipeline
