@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodespark.llm import decontaminate, langid, ngram_join, packing, suffix_dedup
-from lodespark.llm.common import Scratch, bounded_batches, delete, reads, recorded, table
+from lodespark.llm.common import Scratch, bounded_batches, delete, reads, recorded, release, table
 from lodespark.llm.queries import tokenizer
 
 #: DuckDB SQL for run()'s rows: none, as packing and language ID have no SQL form; tests hold each stage against brute force.
@@ -40,6 +40,7 @@ def _stage(f):
         with recorded() as paths:
             out = f(spark, docs, sf_dir)
         _left.append(paths)
+        release()  # what the driver's Python has freed (fitting language models: half of its memory) stands beside the JVM else
         return out
 
     return run

@@ -165,6 +165,16 @@ def test_pairs_of_long_texts_need_equal_wide_sketches(spark, monkeypatch):
         assert sorted(tuple(r) for r in ngram_join._pairs(members, 85).collect()) == want
 
 
+def test_stages_give_the_drivers_memory_back(monkeypatch):
+    import corpus_pipeline
+
+    given = []
+    monkeypatch.setattr(corpus_pipeline, "_left", [])
+    monkeypatch.setattr(corpus_pipeline, "release", lambda: given.append(1), raising=False)
+    assert corpus_pipeline._stage(lambda spark, docs, sf_dir: docs)(None, None, "") is None
+    assert given == [1]
+
+
 def test_columns_of_any_name(spark):
     """Names that are no identifiers, at the top and inside a struct, come out as they went in."""
     import corpus_pipeline
