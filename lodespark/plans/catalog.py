@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, text
 from ..operators import retrieval
-from ..sources.tables import load_index, persist_index, shared_dir, spread
+from ..sources.tables import load_index, persist_index, portions, shared_dir, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -162,7 +162,11 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), text.tokenize(F.col("text")).alias("t"))
+    return _tokens(table(spark, d, "documents"))
+
+
+def _tokens(documents: DataFrame) -> DataFrame:
+    return documents.select(F.col("doc_id").alias("id"), text.tokenize(F.col("text")).alias("t"))
 
 
 #: Stored indexes and chunk tables, and stored graphs, that this session has opened.
@@ -197,7 +201,7 @@ def stored(spark: SparkSession, d: str) -> tuple[dict, DataFrame]:
     rows = chunks(spark, d)
 
     def write(root: str) -> None:
-        persist_index(tokens(spark, d), root, BUCKETS)
+        persist_index(_tokens(portions(table(spark, d, "documents").select("doc_id", "text"), "doc_id")), root, BUCKETS)
         rows.sortWithinPartitions("id").write.parquet(f"{root}/chunks")
 
     return kept(spark, d, "documents", "index", write, lambda root: ({**load_index(spark, root), "buckets": BUCKETS}, spark.read.schema(rows.schema).parquet(f"{root}/chunks")))
