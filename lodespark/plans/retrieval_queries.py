@@ -23,8 +23,13 @@ bm as (select qid, id, sum(ln(1 + (n - df + 0.5::double) / (df + 0.5)) * (tf * 2
 sparse as (select qid, id, row_number() over (partition by qid order by round(score, 9) desc, id) - 1 rank from bm where score > 0)"""
 
 
-def _sparse(spark, d, k=20):
-    return ops.ranked(ops.bm25(index(spark, d), asked(spark)), k)
+def _some(queries, qids):
+    """All queries, or those that the SQL takes the lists of: a search gives each query its own list, so a filter on qid may come before it."""
+    return queries.where(F.col("qid").isin(*qids)) if qids else queries
+
+
+def _sparse(spark, d, k=20, qids=()):
+    return ops.ranked(ops.bm25(index(spark, d), _some(asked(spark), qids)), k)
 
 
 @query(f"with {POST} select id, term, tf from post")
@@ -106,8 +111,8 @@ def _wanted(spark, d):
     return table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"))
 
 
-def _dense(spark, d, k=20):
-    return ops.knn(vectors(spark, d), _wanted(spark, d), k)
+def _dense(spark, d, k=20, qids=()):
+    return ops.knn(vectors(spark, d), _some(_wanted(spark, d), qids), k)
 
 
 _dense_sql = lambda k: f"with {KNN} select qid, id, score, rank from dense where rank < {k}"
@@ -160,7 +165,7 @@ fused as (select qid, id, ds / max(ds) over () dense, ss / max(ss) over () spars
 
 
 def _lists(spark, d):
-    s, v = _sparse(spark, d), _dense(spark, d)
+    s, v = _sparse(spark, d, qids=(1, 4)), _dense(spark, d, qids=(50, 100))
     part = lambda df, side, one, other, w: df.where(F.col("qid").isin(one, other)).select(F.lit(1).alias("qid"), "id", F.lit(side).alias("side"), "rank", F.when(F.col("qid") == one, 1.0).otherwise(w).alias("weight"))
     return part(s, "sparse", 1, 4, 0.75).unionByName(part(v, "dense", 50, 100, 0.8))
 
@@ -284,14 +289,14 @@ def ml_rerank(spark, d):
 @query(f"with {FUSED} select id, 0 src from ordered where rank < 10 union all select id, 1 src from (select distinct id from sparse where qid = 2 and rank < 10) where id not in (select id from ordered where rank < 10)")
 def jn_subquery_anti(spark, d):
     first = ordered(spark, d, 10).select("id", F.lit(0).alias("src"))
-    more = _sparse(spark, d, 10).where("qid = 2").select("id").distinct().join(first, "id", "left_anti").withColumn("src", F.lit(1))
+    more = _sparse(spark, d, 10, (2,)).select("id").distinct().join(first, "id", "left_anti").withColumn("src", F.lit(1))
     return first.unionByName(more)
 
 
 @query(f"with {FUSED} select id, 0 part, rank o from ordered where rank < 5 union all select id, 1, rank from sparse where qid = 2 and rank < 5")
 def st_union_ordered(spark, d):
     a = ordered(spark, d, 5).select("id", F.lit(0).alias("part"), F.col("rank").cast("long").alias("o"))
-    return a.unionByName(_sparse(spark, d, 5).where("qid = 2").select("id", F.lit(1).alias("part"), F.col("rank").cast("long").alias("o")))
+    return a.unionByName(_sparse(spark, d, 5, (2,)).select("id", F.lit(1).alias("part"), F.col("rank").cast("long").alias("o")))
 
 
 # ---- prompts and citations --------------------------------------------------------------------------
